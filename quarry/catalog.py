@@ -1,0 +1,183 @@
+"""Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per
+operator of the blueprint, each running a library job over the whole driver
+tables (bound to the logical views where the job expects them)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.operators.joins import not_in
+from quarry.plans import engagement as eng
+from quarry.plans import profit as pro
+from quarry.plans import revenue as rev
+from quarry.sources import tables as tb
+
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, Query] = {}
+
+BONUS_MIN = 2        # bound data: at most 4 deliveries per courier-day
+SHARE_MIN = 1.5      # bound data: 36 of 64 names reach 1.5 %
+
+
+def query(name: str):
+    def deco(fn: Query) -> Query:
+        REGISTRY[name] = fn
+        return fn
+    return deco
+
+
+def _units(spark, sf):
+    s = tb.shop(spark, sf)
+    return s, rev.valid_units(s.orders, s.user_actions, s.products)
+
+
+# --- audience (M1-M4, M7, M9) -------------------------------------------------
+
+@query("dau")
+def q_dau(spark, sf):
+    return eng.dau(tb.shop(spark, sf).user_actions)
+
+
+@query("wau")
+def q_wau(spark, sf):
+    return eng.wau(tb.shop(spark, sf).user_actions)
+
+
+@query("wau_distinct")
+def q_wau_distinct(spark, sf):
+    return eng.wau(tb.shop(spark, sf).user_actions, distinct=True)
+
+
+@query("mau")
+def q_mau(spark, sf):
+    return eng.mau(tb.shop(spark, sf).user_actions)
+
+
+@query("mau_distinct")
+def q_mau_distinct(spark, sf):
+    return eng.mau(tb.shop(spark, sf).user_actions, distinct=True)
+
+
+@query("valid_orders")
+def q_valid_orders(spark, sf):
+    s = tb.shop(spark, sf)
+    return (eng.valid_orders(s.orders, s.user_actions)
+            .select("order_id", "creation_time",
+                    F.size("product_ids").cast("bigint").alias("n_products")))
+
+
+@query("not_in_null_guard")
+def q_not_in_null_guard(spark, sf):
+    """Orders whose key is blanked for urgent orders, NOT IN the cancelled
+    set: the NULL keys must be dropped, as SQL NOT IN does."""
+    s = tb.shop(spark, sf)
+    orders = tb.table(spark, sf, "orders").select(
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None).cast("bigint"))
+         .otherwise(F.col("o_orderkey")).alias("order_id"), "o_orderpriority")
+    return not_in(orders, "order_id", eng.cancelled_order_ids(s.user_actions), "order_id")
+
+
+@query("daily_users")
+def q_daily_users(spark, sf):
+    return eng.daily_users(tb.shop(spark, sf).user_actions)
+
+
+@query("daily_paying_users")
+def q_daily_paying_users(spark, sf):
+    return eng.daily_paying_users(tb.shop(spark, sf).user_actions)
+
+
+@query("new_users")
+def q_new_users(spark, sf):
+    return eng.new_users(tb.shop(spark, sf).user_actions)
+
+
+@query("new_paying_users")
+def q_new_paying_users(spark, sf):
+    return eng.new_paying_users(tb.shop(spark, sf).user_actions)
+
+
+# --- revenue (M5, M6, M8, M10-M13) ---------------------------------------------
+
+@query("daily_revenue")
+def q_daily_revenue(spark, sf):
+    _, units = _units(spark, sf)
+    return rev.daily_revenue(units).select("date", F.col("revenue").cast("double").alias("revenue"))
+
+
+@query("revenue_trend")
+def q_revenue_trend(spark, sf):
+    _, units = _units(spark, sf)
+    return rev.revenue_trend(units)
+
+
+@query("arpu_daily")
+def q_arpu_daily(spark, sf):
+    s, units = _units(spark, sf)
+    return rev.arpu_daily(units, s.user_actions)
+
+
+@query("arpu_running")
+def q_arpu_running(spark, sf):
+    s, units = _units(spark, sf)
+    return rev.arpu_running(units, s.user_actions)
+
+
+@query("order_price")
+def q_order_price(spark, sf):
+    _, units = _units(spark, sf)
+    return rev.order_price(units).select(
+        "order_id", F.col("order_price").cast("double").alias("order_price"))
+
+
+@query("new_user_revenue_share")
+def q_new_user_revenue_share(spark, sf):
+    s, units = _units(spark, sf)
+    return rev.new_user_revenue_share(units, s.user_actions)
+
+
+@query("product_revenue_share")
+def q_product_revenue_share(spark, sf):
+    _, units = _units(spark, sf)
+    return rev.product_revenue_share(units, min_share=SHARE_MIN)
+
+
+# --- unit economics (M14-M18) ----------------------------------------------------
+
+@query("vat")
+def q_vat(spark, sf):
+    _, units = _units(spark, sf)
+    taxed = pro.units_with_vat(units, tb.BOUND_REDUCED_NAMES)
+    return (taxed.groupBy(F.to_date("creation_time").alias("date"))
+            .agg(F.sum("tax").cast("double").alias("tax")))
+
+
+@query("orders_delivered")
+def q_orders_delivered(spark, sf):
+    s = tb.shop(spark, sf)
+    return pro.orders_delivered(s.courier_actions, s.user_actions)
+
+
+@query("bonus_couriers")
+def q_bonus_couriers(spark, sf):
+    s = tb.shop(spark, sf)
+    return pro.bonus_couriers(s.courier_actions, s.user_actions, BONUS_MIN)
+
+
+@query("daily_costs")
+def q_daily_costs(spark, sf):
+    s, units = _units(spark, sf)
+    day = pro.daily_costs(units, s.courier_actions, s.user_actions, BONUS_MIN,
+                          tb.BOUND_REDUCED_NAMES)
+    return day.select("date", "orders_packed", "orders_delivered", "couriers_count",
+                      F.col("costs").cast("double").alias("costs"))
+
+
+@query("gross_profit_report")
+def q_gross_profit_report(spark, sf):
+    s, units = _units(spark, sf)
+    return pro.gross_profit_report(units, s.courier_actions, s.user_actions, BONUS_MIN,
+                                   tb.BOUND_REDUCED_NAMES)
