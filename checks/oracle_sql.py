@@ -1,6 +1,7 @@
 """All DuckDB oracle statements, keyed like ``quarry.catalog.REGISTRY``."""
 
-from checks import oracle_pe
+from checks import oracle_pe, oracle_storage
 
 SQL: dict[str, str] = {}
 SQL.update(oracle_pe.SQL)
+SQL.update(oracle_storage.SQL)

@@ -1,34 +1,20 @@
-"""Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per
-operator of the blueprint, each running a library job over the whole driver
-tables (bound to the logical views where the job expects them)."""
+"""Registered product-metric queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.joins import not_in
 from quarry.plans import engagement as eng
 from quarry.plans import profit as pro
 from quarry.plans import revenue as rev
+from quarry.catalog.base import query
 from quarry.sources import tables as tb
 
-Query = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, Query] = {}
-
 BONUS_MIN = 2        # bound data: at most 4 deliveries per courier-day
 SHARE_MIN = 1.5      # bound data: 36 of 64 names reach 1.5 %
 
 
-def query(name: str):
-    def deco(fn: Query) -> Query:
-        REGISTRY[name] = fn
-        return fn
-    return deco
-
-
 def _units(spark, sf):
     s = tb.shop(spark, sf)
     return s, rev.valid_units(s.orders, s.user_actions, s.products)
