@@ -1,7 +1,7 @@
 """All DuckDB oracle statements, keyed like ``quarry.catalog.REGISTRY``."""
 
-from checks import oracle_pe, oracle_storage
+from checks import oracle_catalogue, oracle_pe, oracle_storage
 
 SQL: dict[str, str] = {}
-SQL.update(oracle_pe.SQL)
-SQL.update(oracle_storage.SQL)
+for part in (oracle_pe, oracle_storage, oracle_catalogue):
+    SQL.update(part.SQL)

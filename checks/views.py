@@ -50,3 +50,33 @@ def ratio(num: str, den: str) -> str:
 
 def pct(num: str, den: str) -> str:
     return r2(f"{ratio(num, den)} * 100.0")
+
+
+ITEMS = """
+  SELECT l_orderkey * 1000000 + l_partkey * 8 + l_linenumber AS item_id,
+         p_name AS name, p_type AS category, l_extendedprice AS price,
+         CASE l_partkey % 4
+           WHEN 0 THEN 'No old price'
+           WHEN 1 THEN 'SR ' || format('{:,}', CAST(floor(l_extendedprice * 1.2) AS BIGINT))
+           WHEN 2 THEN 'SR ' || CAST(CAST(floor(l_extendedprice * 1.1) AS BIGINT) AS VARCHAR) || '/4 pack'
+           ELSE 'SR ' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) END AS old_price,
+         l_returnflag <> 'R' AS sellable_online,
+         CASE WHEN l_linestatus = 'F' THEN 'Yes' ELSE 'No' END AS other_colors,
+         p_brand AS designer,
+         CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS depth,
+         CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_quantity END AS height,
+         CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE p_retailprice / 10 END AS width
+  FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+VIEWS["items"] = ITEMS
+
+VIEWS["bikes"] = """
+  SELECT l_shipdate AS "timestamp", CAST(l_quantity AS INTEGER) AS cnt,
+         l_extendedprice / 10000 AS t1, l_extendedprice / 10000 - 1 AS t2,
+         l_discount * 1000 AS hum, l_tax * 100 AS wind_speed,
+         CAST(l_linenumber AS DOUBLE) AS weather_code,
+         CAST(l_returnflag = 'R' AS DOUBLE) AS is_holiday,
+         CAST(dayofweek(l_shipdate) IN (0, 6) AS DOUBLE) AS is_weekend,
+         CAST(l_partkey % 5 AS DOUBLE) AS season,
+         l_orderkey, l_linenumber, l_partkey, l_suppkey
+  FROM lineitem"""

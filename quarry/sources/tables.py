@@ -110,3 +110,61 @@ def shop(spark: SparkSession, sf_dir: str) -> Shop:
 BOUND_REDUCED_NAMES = tuple(f"{adj} {noun}" for adj in ("blue", "red")
                             for noun in ("anvil", "bolt", "gear", "gizmo",
                                          "plate", "ring", "rod", "widget"))
+
+
+def thousands(n):
+    """Integer text with comma thousands separators ("1,345")."""
+    return F.format_number(n, 0)
+
+
+def bind_items(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """Catalogue items (the furniture-catalogue schema) from order lines:
+    one line = one item; price = extended price, category = part type,
+    designer = brand; the old price arrives as text in three shapes
+    ('No old price', 'SR 1,345', and an unparsable 'SR 1345/4 pack'); the
+    three sizes have missing values."""
+    j = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    price = F.col("l_extendedprice")
+    shape = F.col("l_partkey") % 4
+    old = (F.when(shape == 0, F.lit("No old price"))
+           .when(shape == 1, F.concat(F.lit("SR "), thousands(F.floor(price * 1.2))))
+           .when(shape == 2, F.concat(F.lit("SR "), F.floor(price * 1.1).cast("string"),
+                                      F.lit("/4 pack")))
+           .otherwise(F.concat(F.lit("SR "), F.floor(price).cast("string"))))
+    return j.select(
+        (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 8 + F.col("l_linenumber"))
+        .alias("item_id"),
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("category"),
+        price.alias("price"),
+        old.alias("old_price"),
+        (F.col("l_returnflag") != "R").alias("sellable_online"),
+        F.when(F.col("l_linestatus") == "F", "Yes").otherwise("No").alias("other_colors"),
+        F.col("p_brand").alias("designer"),
+        F.when(F.col("l_partkey") % 7 == 0, F.lit(None))
+         .otherwise(F.col("p_size").cast("double")).alias("depth"),
+        F.when(F.col("l_suppkey") % 7 == 0, F.lit(None))
+         .otherwise(F.col("l_quantity")).alias("height"),
+        F.when(F.col("l_orderkey") % 7 == 0, F.lit(None))
+         .otherwise(F.col("p_retailprice") / 10).alias("width"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind_items(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+def bind_bikes(lineitem: DataFrame) -> DataFrame:
+    """Hourly bike-hire-like readings from order lines (raw column names and
+    float-coded categories as in the original export)."""
+    return lineitem.select(
+        F.col("l_shipdate").alias("timestamp"),
+        F.col("l_quantity").cast("int").alias("cnt"),
+        (F.col("l_extendedprice") / 10000).alias("t1"),
+        (F.col("l_extendedprice") / 10000 - 1).alias("t2"),
+        (F.col("l_discount") * 1000).alias("hum"),
+        (F.col("l_tax") * 100).alias("wind_speed"),
+        F.col("l_linenumber").cast("double").alias("weather_code"),
+        (F.col("l_returnflag") == "R").cast("double").alias("is_holiday"),
+        F.dayofweek("l_shipdate").isin(1, 7).cast("double").alias("is_weekend"),
+        (F.col("l_partkey") % 5).cast("double").alias("season"),
+        F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))
