@@ -54,12 +54,12 @@ def pct(num: str, den: str) -> str:
 
 ITEMS = """
   SELECT l_orderkey * 1000000 + l_partkey * 8 + l_linenumber AS item_id,
-         p_name AS name, p_type AS category, l_extendedprice AS price,
+         p_name AS name, p_type AS category, l_quantity * p_retailprice AS price,
          CASE l_partkey % 4
            WHEN 0 THEN 'No old price'
-           WHEN 1 THEN 'SR ' || format('{:,}', CAST(floor(l_extendedprice * 1.2) AS BIGINT))
-           WHEN 2 THEN 'SR ' || CAST(CAST(floor(l_extendedprice * 1.1) AS BIGINT) AS VARCHAR) || '/4 pack'
-           ELSE 'SR ' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) END AS old_price,
+           WHEN 1 THEN 'SR ' || format('{:,}', CAST(floor(l_quantity * p_retailprice * 1.2) AS BIGINT))
+           WHEN 2 THEN 'SR ' || CAST(CAST(floor(l_quantity * p_retailprice * 1.1) AS BIGINT) AS VARCHAR) || '/4 pack'
+           ELSE 'SR ' || CAST(CAST(floor(l_quantity * p_retailprice) AS BIGINT) AS VARCHAR) END AS old_price,
          l_returnflag <> 'R' AS sellable_online,
          CASE WHEN l_linestatus = 'F' THEN 'Yes' ELSE 'No' END AS other_colors,
          p_brand AS designer,

@@ -119,12 +119,12 @@ def thousands(n):
 
 def bind_items(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Catalogue items (the furniture-catalogue schema) from order lines:
-    one line = one item; price = extended price, category = part type,
+    one line = one item; price = quantity x part list price, category = part type,
     designer = brand; the old price arrives as text in three shapes
     ('No old price', 'SR 1,345', and an unparsable 'SR 1345/4 pack'); the
     three sizes have missing values."""
     j = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    price = F.col("l_extendedprice")
+    price = F.col("l_quantity") * F.col("p_retailprice")
     shape = F.col("l_partkey") % 4
     old = (F.when(shape == 0, F.lit("No old price"))
            .when(shape == 1, F.concat(F.lit("SR "), thousands(F.floor(price * 1.2))))
