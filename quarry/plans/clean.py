@@ -72,15 +72,17 @@ def add_geometry(df: DataFrame) -> DataFrame:
 
 def impute_group_median(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
     """Fill missing values with the exact median of the item's group
-    (a group with no values stays NULL). Medians come from the distributed
-    order statistics, one small table per column, joined back."""
-    out = df
-    for c in cols:
-        med = ranks.median(df, c, [by]).withColumnRenamed("median", f"__med_{c}")
-        out = (out.join(sized_broadcast(med), by, "left")
-               .withColumn(c, F.coalesce(F.col(c), F.col(f"__med_{c}")))
-               .drop(f"__med_{c}"))
-    return out
+    (a group with no values stays NULL). All columns go through one pass of
+    the distributed order statistics in long form ``(group, column, value)``;
+    the medians (one row per group) are joined back once."""
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = df.selectExpr(f"`{by}`", f"stack({len(cols)}, {pairs}) as (__col, __val)")
+    med = ranks.median(long, "__val", [by, "__col"])
+    wide = med.groupBy(by).agg(*[F.max(F.when(F.col("__col") == c, F.col("median")))
+                                 .alias(f"__med_{c}") for c in cols])
+    out = df.join(sized_broadcast(wide), by, "left")
+    return out.select(*[F.coalesce(F.col(c), F.col(f"__med_{c}")).alias(c) if c in cols
+                        else F.col(c) for c in df.columns])
 
 
 def complete_cases(df: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.joins import one_row
+from quarry.session import cut_lineage
 
 FEATURES = ["depth", "height", "width", "s1", "s2", "s3"]
 SEED = 5
@@ -77,7 +78,7 @@ ESTIMATORS = {
 
 def fit_predict(split: DataFrame, kind: str, features=FEATURES) -> DataFrame:
     """Fit one MLlib regressor on the train rows, predict the test rows."""
-    data = assemble(split, features)
+    data = assemble(cut_lineage(split), features)
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
     model = ESTIMATORS[kind]().fit(train)
@@ -111,7 +112,7 @@ def fourier_features(df: DataFrame, features=FEATURES, d: int = 40, gamma: float
 
 def kernel_predict(split: DataFrame, features=FEATURES, d: int = 40,
                    reg: float = 1e-3) -> DataFrame:
-    rff, names = fourier_features(split, features, d)
+    rff, names = fourier_features(cut_lineage(split), features, d)
     data = VectorAssembler(inputCols=names, outputCol="features").transform(rff)
     lr = LinearRegression(featuresCol="features", labelCol="label", regParam=reg,
                           elasticNetParam=0.0, solver="normal")
@@ -132,44 +133,57 @@ def _block_topk(k: int):
         t = np.stack(train["t_vec"].to_numpy()).astype(np.float64)
         tids = train["t_id"].to_numpy()
         labels = train["t_label"].to_numpy().astype(np.float64)
+        qids = test["q_id"].to_numpy()
         kk = min(k, len(t))
+        tn = np.einsum("ij,ij->i", t, t)
         out = []
-        step = max(1, 2_000_000 // max(1, len(t) * q.shape[1]))
+        step = max(1, 8_000_000 // max(1, len(t)))
         for s in range(0, len(q), step):
-            diff = q[s:s + step, None, :] - t[None, :, :]
-            d2 = np.einsum("ijk,ijk->ij", diff, diff)
-            # order by (distance, train id): lexsort per row on the k+ties best
-            for r in range(d2.shape[0]):
-                row = d2[r]
-                part = np.argpartition(row, kk - 1)[:kk] if kk < len(row) else np.arange(len(row))
-                cut = row[part].max()
-                cand = np.nonzero(row <= cut)[0]
-                order = cand[np.lexsort((tids[cand], row[cand]))][:kk]
-                out.append(pd.DataFrame({"qid": test["q_id"].iloc[s + r], "tid": tids[order],
-                                         "dist": row[order], "label": labels[order],
-                                         "nb_rank": np.arange(1, len(order) + 1, dtype=np.int32)}))
+            qs = q[s:s + step]
+            qn = np.einsum("ij,ij->i", qs, qs)
+            # fast squared distances by one matrix product; its rounding error
+            # is below tol, so every true k-nearest row is among the candidates
+            fast = qn[:, None] + tn[None, :] - 2.0 * (qs @ t.T)
+            tol = 1e-9 * (qn[:, None] + tn.max()) + 1e-12
+            kth = np.partition(fast, kk - 1, axis=1)[:, kk - 1]
+            rows, cols = np.nonzero(fast <= (kth[:, None] + tol))
+            # exact distances on the candidates, then (row, distance, train id)
+            diff = qs[rows] - t[cols]
+            exact = np.einsum("ij,ij->i", diff, diff)
+            order = np.lexsort((tids[cols], exact, rows))
+            rows, cols, exact = rows[order], cols[order], exact[order]
+            first = np.searchsorted(rows, rows, side="left")
+            rank = np.arange(len(rows)) - first + 1
+            keep = rank <= kk
+            rows, cols, exact, rank = rows[keep], cols[keep], exact[keep], rank[keep]
+            out.append(pd.DataFrame({"qid": qids[s + rows], "tid": tids[cols],
+                                     "dist": exact, "label": labels[cols],
+                                     "nb_rank": rank.astype(np.int32)}))
         return pd.concat(out, ignore_index=True)
     return run
 
 
-def neighbours(train: DataFrame, test: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
+def neighbours(train: DataFrame, test: DataFrame, k: int,
+               block_rows: int = 20_000) -> DataFrame:
     """The ``k`` nearest train rows of every test row by Euclidean distance
     (ties by train id): ``qid, tid, dist (squared), label, nb_rank``.
 
     ``train`` has ``id, vec array<double>, label``; ``test`` has ``id, vec``.
-    Blocks are sized from the row counts so one block pair fits a task.
+    Both inputs are checkpointed first (every block reads them again); their
+    row counts, cheap on the checkpoint, size the blocks so one block pair
+    fits a task.
     """
-    n_train, n_test = train.count(), test.count()
-    nb = max(1, math.ceil(n_train / block_rows))
-    nq = max(1, math.ceil(n_test / block_rows))
+    train, test = cut_lineage(train), cut_lineage(test)
+    nb = max(1, math.ceil(train.count() / block_rows))
+    nq = max(1, math.ceil(test.count() / block_rows))
     # distinct column names on the two sides: both may derive from one frame,
     # and same-lineage columns must not be merged by the cogroup
     tr = (train.select(F.col("id").alias("t_id"), F.col("vec").alias("t_vec"),
                        F.col("label").cast("double").alias("t_label"))
-          .withColumn("rb", F.pmod(F.xxhash64("t_id"), F.lit(nb)))
+          .withColumn("rb", F.pmod(F.xxhash64("t_id"), F.lit(nb)).cast("int"))
           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
     te = (test.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
-          .withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(nq)))
+          .withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(nq)).cast("int"))
           .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))))
     partial = (te.groupBy("qb", "rb")
                .cogroup(tr.groupBy("qb", "rb"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions.normal import norm_ppf, norm_sf
 from quarry.operators import ranks
 from quarry.operators.joins import one_row, sized_broadcast
+from quarry.session import cut_lineage
 
 CHUNK = 100_000  # positions expanded per task row when a value repeats
 
@@ -112,11 +113,49 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
                                                           & F.col(y).isNotNull(), 1)).alias("n"))
 
 
-def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+def _complete(df: DataFrame, cols: list[str]) -> bool:
+    """True when no selected column has a NULL or NaN (one-row aggregate)."""
+    miss = [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in cols]
+    return sum(df.agg(*miss).first()) == 0
+
+
+def _mirror(off: DataFrame, cols: list[str]) -> DataFrame:
+    mirrored = off.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "rho")
+    diag = off.sparkSession.createDataFrame(
+        [(c, c, 1.0) for c in cols], "col_a string, col_b string, rho double")
+    return reduce(DataFrame.unionByName, [off, mirrored, diag])
+
+
+def spearman_matrix(df: DataFrame, cols: list[str], complete: bool | None = None) -> DataFrame:
     """T4: Spearman correlation of every pair of ``cols``, long form
     ``(col_a, col_b, rho)``. As in pandas each pair uses the rows where both
-    values are present and ranks them afresh (average ranks for ties)."""
+    values are present, ranked afresh (average ranks for ties).
+
+    When no column has a gap (checked with one aggregate unless ``complete``
+    is given) every column is ranked once: one pass of the order statistics
+    over the long form ``(column, value)``, one join per column to attach the
+    ranks, and one aggregate with all pairwise correlations. Otherwise each
+    pair is ranked on its own complete rows."""
+    # the input is read once per column below: freeze it in the shared
+    # checkpoint folder instead of recomputing its lineage every time
+    df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    if complete is None:
+        complete = _complete(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if complete:
+        table = ranks.average_ranks(ranks.value_positions(
+            df.selectExpr("stack({}, {}) as (column, value)".format(
+                len(cols), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols))),
+            "value", ["column"]))
+        ranked = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+        for c in cols:
+            rc = table.where(F.col("column") == c).select(
+                F.col("x").alias(f"__x_{c}"), F.col("rank").alias(f"__r_{c}"))
+            ranked = ranked.join(sized_broadcast(rc), F.col(c) == F.col(f"__x_{c}"))
+        corr = ranked.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}\t{b}") for a, b in pairs])
+        stacked = ", ".join(f"'{a}', '{b}', `{a}\t{b}`" for a, b in pairs)
+        off = corr.selectExpr(f"stack({len(pairs)}, {stacked}) as (col_a, col_b, rho)")
+        return _mirror(off, cols)
     rows = F.explode(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                  F.col(a).cast("double").alias("xa"), F.col(b).cast("double").alias("xb"))
@@ -131,10 +170,7 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         *key, F.col("x").alias("xb"), F.col("rank").alias("rb"))
     ranked = long.join(ra, [*key, "xa"]).join(rb, [*key, "xb"])
     off = ranked.groupBy(*key).agg(F.corr("ra", "rb").alias("rho"))
-    mirrored = off.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "rho")
-    spark = df.sparkSession
-    diag = spark.createDataFrame([(c, c, 1.0) for c in cols], "col_a string, col_b string, rho double")
-    return reduce(DataFrame.unionByName, [off, mirrored, diag])
+    return _mirror(off, cols)
 
 
 def feature_selection(matrix: DataFrame, target: str, threshold: float) -> DataFrame:

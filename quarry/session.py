@@ -38,6 +38,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master.startswith("local"):
+        conf["spark.driver.memory"] = "16g"  # local mode: the driver JVM runs the tasks
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
