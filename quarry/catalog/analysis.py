@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.catalog.base import query
-from quarry.catalog.catalogue import SIDES, _clean
+from quarry.catalog.catalogue import SIDES
 from quarry.plans import clean as cl
 from quarry.plans import models as ml
 from quarry.plans import stats as st
@@ -21,8 +21,14 @@ DIM = 64
 
 
 def prepared(spark, sf) -> DataFrame:
-    """Items after cleaning, label codes, median imputation and geometry."""
-    return cl.add_geometry(cl.impute_group_median(_clean(spark, sf), "category", SIDES))
+    """Items after cleaning, median imputation, label codes and geometry.
+    Imputation runs before the label codes (they touch different columns, so
+    the result is the same) to keep the code joins out of its boundary pass."""
+    items = cl.discounts(cl.clean_old_price(tb.items(spark, sf)))
+    items = cl.impute_group_median(items, "category", SIDES)
+    items = cl.label_encode(items, {"other_colors": "other_colors_le",
+                                    "category": "other_category_le"})
+    return cl.add_geometry(items)
 
 
 def split_items(spark, sf) -> DataFrame:

@@ -10,8 +10,9 @@ Plan, all lazy:
 1. ``groupBy(group, value).count()`` - partial aggregation, so a value or
    group holding a third of the rows costs one row per task.
 2. Bucket ids are a pure function of the value: literal boundaries taken from
-   ``approxQuantile`` (computed once on the driver, a few hundred doubles), so
-   recomputing a lost task cannot move a value to another bucket.
+   ``approxQuantile`` of a seeded sample (computed once on the driver, a few
+   dozen doubles), so recomputing a lost task cannot move a value to another
+   bucket. The sample only balances buckets; results use every row.
 3. Per ``(group, bucket)`` totals - a small table - give bucket offsets by a
    window partitioned by group over at most ``buckets`` rows per group.
 4. Inside a bucket a window over the *distinct* values (bounded by the rows
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from quarry.operators.joins import sized_broadcast
 
 DEFAULT_BUCKETS = 64
+# Boundaries only balance the buckets (like the sample behind Spark's range
+# partitioner); every count and position is computed over all rows.
+BOUNDARY_SAMPLE = 0.05
+BOUNDARY_SEED = 17
 
 
 def _boundaries(df: DataFrame, value: str, buckets: int) -> list[float]:
@@ -33,7 +38,8 @@ def _boundaries(df: DataFrame, value: str, buckets: int) -> list[float]:
         return []
     probs = [i / buckets for i in range(1, buckets)]
     try:
-        qs = df.approxQuantile(value, probs, 1.0 / (4 * buckets))
+        sample = df.sample(withReplacement=False, fraction=BOUNDARY_SAMPLE, seed=BOUNDARY_SEED)
+        qs = sample.approxQuantile(value, probs, 1.0 / (4 * buckets))
     except Exception:  # empty frame or all-null column
         return []
     return sorted({float(q) for q in qs if q is not None})

@@ -61,9 +61,8 @@ def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
         F.max(F.when(i == F.col("n") - 1, F.col("x"))).alias("xn1"),
         F.max(F.when(i == F.col("n"), F.col("x"))).alias("xn"),
         F.max(F.when(i == F.col("n"), m)).alias("mn"),
-        F.max(F.when(i == F.col("n") - 1, m)).alias("mn1"))
-    spread = df.where(F.col(value).isNotNull()).agg(
-        (F.var_samp(value) * (F.count(value) - 1)).alias("SS"))
+        F.max(F.when(i == F.col("n") - 1, m)).alias("mn1"),
+        (F.var_samp("x") * (F.count("x") - 1)).alias("SS"))
     r = F.lit(1.0) / F.sqrt(n)
     an = F.col("mn") / F.sqrt("S") + _poly(C1, r)
     an1 = F.col("mn1") / F.sqrt("S") + _poly(C2, r)
@@ -75,7 +74,7 @@ def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
     ln = F.log(n)
     mu, sigma = _poly(C5, ln), F.exp(_poly(C6, ln))
     z = (F.log(F.lit(1.0) - F.col("w")) - mu) / sigma
-    res = agg.crossJoin(one_row(spread)).select(F.col("n").cast("bigint").alias("n"), w.alias("w"))
+    res = agg.select(F.col("n").cast("bigint").alias("n"), w.alias("w"))
     return res.select("n", "w", F.when(F.col("n") >= 12, norm_sf(z)).alias("p"))
 
 
@@ -143,10 +142,12 @@ def spearman_matrix(df: DataFrame, cols: list[str], complete: bool | None = None
         complete = _complete(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if complete:
-        table = ranks.average_ranks(ranks.value_positions(
+        # one rank table for all columns (distinct values only), frozen once:
+        # each per-column join below reads it instead of recomputing it
+        table = cut_lineage(ranks.average_ranks(ranks.value_positions(
             df.selectExpr("stack({}, {}) as (column, value)".format(
                 len(cols), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols))),
-            "value", ["column"]))
+            "value", ["column"])))
         ranked = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
         for c in cols:
             rc = table.where(F.col("column") == c).select(
