@@ -15,8 +15,10 @@ Plan, all lazy:
    bucket. The sample only balances buckets; results use every row.
 3. Per ``(group, bucket)`` totals - a small table - give bucket offsets by a
    window partitioned by group over at most ``buckets`` rows per group.
-4. Inside a bucket a window over the *distinct* values (bounded by the rows
-   of one bucket, never by a hot value) gives the cumulative counts.
+4. Inside a bucket a window over the *distinct* values gives the cumulative
+   counts; the bucket count grows with the data (about ``ROWS_PER_BUCKET``
+   rows per bucket), so that window stays bounded, and a hot value is a
+   single row there.
 """
 
 from __future__ import annotations
@@ -26,37 +28,71 @@ from pyspark.sql import functions as F
 
 from quarry.operators.joins import sized_broadcast
 
-DEFAULT_BUCKETS = 64
+import math
+
+import numpy as np
+import pandas as pd
+
+MIN_BUCKETS = 64
 # Boundaries only balance the buckets (like the sample behind Spark's range
 # partitioner); every count and position is computed over all rows.
 BOUNDARY_SAMPLE = 0.05
 BOUNDARY_SEED = 17
+GRID = 256                  # quantiles taken in the sizing pass
+ROWS_PER_BUCKET = 2_000_000  # bound on the rows (hence distinct values) of one bucket
+CASE_LIMIT = 64             # up to this many boundaries a literal CASE, else binary search
 
 
-def _boundaries(df: DataFrame, value: str, buckets: int) -> list[float]:
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
+def _boundaries(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """Sorted literal bucket boundaries for ``value``.
+
+    One pass over a seeded sample returns its size and a grid of approximate
+    quantiles; the bucket count is the larger of ``MIN_BUCKETS`` and the
+    estimated rows / ``ROWS_PER_BUCKET`` (so a bucket - and the window over
+    it - stays bounded however large the data), and only beyond the grid a
+    second, finer pass is made."""
+    sample = df.sample(withReplacement=False, fraction=BOUNDARY_SAMPLE, seed=BOUNDARY_SEED)
+    probs = [i / GRID for i in range(1, GRID)]
     try:
-        sample = df.sample(withReplacement=False, fraction=BOUNDARY_SAMPLE, seed=BOUNDARY_SEED)
-        qs = sample.approxQuantile(value, probs, 1.0 / (4 * buckets))
+        row = sample.agg(F.count(F.lit(1)).alias("n"),
+                         F.percentile_approx(value, probs, 4 * GRID).alias("q")).first()
     except Exception:  # empty frame or all-null column
         return []
+    if row is None or not row["n"] or row["q"] is None:
+        return []
+    est_rows = row["n"] / BOUNDARY_SAMPLE
+    want = buckets or max(MIN_BUCKETS, math.ceil(est_rows / ROWS_PER_BUCKET))
+    if want <= GRID:
+        grid = row["q"]
+        qs = [grid[min(GRID - 2, round(i * GRID / want) - 1)] for i in range(1, want)]
+    else:
+        qs = sample.approxQuantile(value, [i / want for i in range(1, want)], 1.0 / (4 * want))
     return sorted({float(q) for q in qs if q is not None})
 
 
 def bucket_of(value_col, bounds: list[float]):
-    """Index of the first boundary >= value, as a CASE over literals."""
+    """Number of boundaries below the value (bucket index 0..len(bounds)):
+    a literal CASE for a few boundaries, a vectorised binary search over the
+    literal boundary array otherwise. Either way a pure function of the value."""
     if not bounds:
         return F.lit(0)
-    expr = F.when(value_col <= F.lit(bounds[0]), F.lit(0))
-    for i, b in enumerate(bounds[1:], start=1):
-        expr = expr.when(value_col <= F.lit(b), F.lit(i))
-    return expr.otherwise(F.lit(len(bounds)))
+    if len(bounds) <= CASE_LIMIT:
+        expr = F.when(value_col <= F.lit(bounds[0]), F.lit(0))
+        for i, b in enumerate(bounds[1:], start=1):
+            expr = expr.when(value_col <= F.lit(b), F.lit(i))
+        return expr.otherwise(F.lit(len(bounds)))
+    edges = np.asarray(bounds, dtype=np.float64)
+
+    @F.pandas_udf("int")
+    def search(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, x.to_numpy(dtype=np.float64), side="left"),
+                         dtype="int32")
+
+    return search(value_col)
 
 
 def value_positions(df: DataFrame, value: str, by: list[str] | None = None,
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """One row per distinct ``(by..., value)``: ``t`` copies, ``start`` smaller
     values in the group, ``n`` group size. NULL and NaN values are left out."""
     by = list(by or [])
@@ -83,7 +119,7 @@ def average_ranks(positions: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics
     (``h = (n-1)q``), one row per ``(by..., q)`` with column ``value``."""
     by = list(by or [])
@@ -115,9 +151,11 @@ def dense_codes(df: DataFrame, col: str, name: str = "code") -> DataFrame:
     (label encoding). Same bucketing idea on the distinct values."""
     distinct = df.where(F.col(col).isNotNull()).select(col).distinct()
     if dict(distinct.dtypes)[col] in ("string",):
-        # strings: rank by a window over the distinct values; cardinality of
-        # a label column is small (one row per class)
-        w = Window.orderBy(col)
-        return distinct.select(col, (F.row_number().over(w) - 1).cast("int").alias(name))
+        # strings: the global row index of the sorted distinct values
+        # (range-partitioned, no single-task window however many classes)
+        from quarry.sources.files import with_row_index
+
+        return with_row_index(distinct, [col], "__code").select(
+            col, F.col("__code").cast("int").alias(name))
     pos = value_positions(distinct.withColumnRenamed(col, "__v"), "__v")
     return pos.select(F.col("x").alias(col), F.col("start").cast("int").alias(name))

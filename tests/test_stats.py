@@ -138,3 +138,18 @@ def test_pearson(spark):
 def test_decision(spark):
     df = spark.createDataFrame([(0.2, 0.001)], "w double, p double")
     assert st.decide(df, "t", 0.01, "w").first()["reject"] is True
+
+
+def test_quantiles_binary_search_buckets(spark):
+    rng = np.random.default_rng(13)
+    vals = np.concatenate([np.full(5000, 2.5), rng.normal(0, 3, 20000).round(4)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    bounds = ranks._boundaries(df, "v", 300)
+    assert len(bounds) > ranks.CASE_LIMIT          # exercises the searchsorted path
+    got = {r["q"]: r["value"] for r in ranks.quantiles(df, "v", [0.01, 0.3, 0.5, 0.99],
+                                                        buckets=300).collect()}
+    for q, v in got.items():
+        assert math.isclose(v, float(np.quantile(vals, q)), rel_tol=1e-12, abs_tol=1e-12)
+    b = df.select(ranks.bucket_of(F.col("v"), bounds).alias("b"), "v").collect()
+    edges = np.asarray(bounds)
+    assert all(r["b"] == int(np.searchsorted(edges, r["v"])) for r in b[:2000])
