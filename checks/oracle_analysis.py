@@ -105,3 +105,55 @@ SELECT * FROM {_vote(1)}""",
 v AS {_vote(1)}
 SELECT avg(CAST(v.predicted = tr.label AS DOUBLE)) AS accuracy FROM v JOIN tr ON tr.id = v.qid""",
 }
+
+
+def _horner(coefs, x):
+    expr = repr(coefs[0])
+    for c in coefs[1:]:
+        expr = f"({expr}) * ({x}) + {c!r}"
+    return expr
+
+
+def _ppf(p):
+    """AS 241 inverse normal CDF in SQL (published coefficients)."""
+    from quarry.functions.normal import A, B, C, D, E, G
+    q = f"(({p}) - 0.5)"
+    rc = f"(0.180625 - {q} * {q})"
+    r = f"sqrt(-ln(CASE WHEN {q} < 0 THEN ({p}) ELSE 1.0 - ({p}) END))"
+    near = f"({_horner(C, f'{r} - 1.6')}) / ({_horner(D, f'{r} - 1.6')})"
+    far = f"({_horner(E, f'{r} - 5.0')}) / ({_horner(G, f'{r} - 5.0')})"
+    tail = f"(CASE WHEN {r} <= 5.0 THEN {near} ELSE {far} END)"
+    return (f"CASE WHEN abs({q}) <= 0.425 THEN {q} * ({_horner(A, rc)}) / ({_horner(B, rc)}) "
+            f"WHEN {q} < 0 THEN -{tail} ELSE {tail} END")
+
+
+SQL["shapiro_wilk_w"] = with_views("items") + f""",
+x AS (SELECT price AS x FROM items WHERE price IS NOT NULL AND NOT isnan(price)),
+o AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM x),
+m AS (SELECT x, i, n, {_ppf("(i - 0.375) / (n + 0.25)")} AS m FROM o),
+a AS (SELECT n, sum(m * m) AS s, sum(CASE WHEN i > 2 AND i < n - 1 THEN m * x END) AS mx,
+             max(CASE WHEN i = 1 THEN x END) AS x1, max(CASE WHEN i = 2 THEN x END) AS x2,
+             max(CASE WHEN i = n - 1 THEN x END) AS xn1, max(CASE WHEN i = n THEN x END) AS xn,
+             max(CASE WHEN i = n THEN m END) AS mn, max(CASE WHEN i = n - 1 THEN m END) AS mn1,
+             var_samp(x) * (count(x) - 1) AS ss
+      FROM m GROUP BY n),
+c AS (SELECT *, 1.0 / sqrt(n) AS r FROM a),
+d AS (SELECT *,
+        mn / sqrt(s) + (0.221157 * r - 0.147981 * r ^ 2 - 2.07119 * r ^ 3 + 4.434685 * r ^ 4
+                        - 2.706056 * r ^ 5) AS an,
+        mn1 / sqrt(s) + (0.042981 * r - 0.293762 * r ^ 2 - 1.752461 * r ^ 3 + 5.682633 * r ^ 4
+                         - 3.582633 * r ^ 5) AS an1
+      FROM c),
+e AS (SELECT *, sqrt((s - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1)) AS fac
+      FROM d)
+SELECT n, least(1.0, (coalesce(mx, 0) / fac + an * (xn - x1) + an1 * (xn1 - x2)) ^ 2 / ss) AS w
+FROM e"""
+
+SQL["ols_one_feature"] = ML + f""",
+sp AS (SELECT *, {SPLIT.format(id='item_id')} AS split FROM ml),
+fit AS (SELECT regr_slope(label, s2) AS b, regr_intercept(label, s2) AS a FROM sp
+        WHERE split = 'train'),
+p AS (SELECT label, a + b * s2 AS prediction FROM sp, fit WHERE split = 'test')
+SELECT 'linear_s2' AS model, sqrt(avg((label - prediction) ^ 2)) AS rmse,
+       1 - avg((label - prediction) ^ 2) / var_pop(label) AS r2, count(*) AS n
+FROM p"""

@@ -170,3 +170,14 @@ def q_model_comparison(spark, sf):
     parts.append(ml.metrics(ml.kernel_predict(split), "kernel_rff"))
     parts.append(ml.metrics(knn_regression(spark, sf), "knn"))
     return reduce(DataFrame.unionByName, parts).orderBy("rmse")
+
+
+@query("shapiro_wilk_w")
+def q_shapiro_wilk_w(spark, sf):
+    return st.shapiro_wilk(tb.items(spark, sf), "price").select("n", "w")
+
+
+@query("ols_one_feature")
+def q_ols_one_feature(spark, sf):
+    pred = ml.fit_predict(split_items(spark, sf), "linear", features=["s2"])
+    return ml.metrics(pred, "linear_s2")

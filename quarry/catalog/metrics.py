@@ -15,11 +15,6 @@ BONUS_MIN = 2        # bound data: at most 4 deliveries per courier-day
 SHARE_MIN = 1.5      # bound data: 36 of 64 names reach 1.5 %
 
 
-def _units(spark, sf):
-    s = tb.shop(spark, sf)
-    return s, rev.valid_units(s.orders, s.user_actions, s.products)
-
-
 # --- audience (M1-M4, M7, M9) -------------------------------------------------
 
 @query("dau")
@@ -90,80 +85,67 @@ def q_new_paying_users(spark, sf):
 
 @query("daily_revenue")
 def q_daily_revenue(spark, sf):
-    _, units = _units(spark, sf)
-    return rev.daily_revenue(units).select("date", F.col("revenue").cast("double").alias("revenue"))
+    return rev.daily_revenue(tb.shop(spark, sf)).select(
+        "date", F.col("revenue").cast("double").alias("revenue"))
 
 
 @query("revenue_trend")
 def q_revenue_trend(spark, sf):
-    _, units = _units(spark, sf)
-    return rev.revenue_trend(units)
+    return rev.revenue_trend(tb.shop(spark, sf))
 
 
 @query("arpu_daily")
 def q_arpu_daily(spark, sf):
-    s, units = _units(spark, sf)
-    return rev.arpu_daily(units, s.user_actions)
+    return rev.arpu_daily(tb.shop(spark, sf))
 
 
 @query("arpu_running")
 def q_arpu_running(spark, sf):
-    s, units = _units(spark, sf)
-    return rev.arpu_running(units, s.user_actions)
+    return rev.arpu_running(tb.shop(spark, sf))
 
 
 @query("order_price")
 def q_order_price(spark, sf):
-    _, units = _units(spark, sf)
-    return rev.order_price(units).select(
+    return rev.order_price(tb.shop(spark, sf)).select(
         "order_id", F.col("order_price").cast("double").alias("order_price"))
 
 
 @query("new_user_revenue_share")
 def q_new_user_revenue_share(spark, sf):
-    s, units = _units(spark, sf)
-    return rev.new_user_revenue_share(units, s.user_actions)
+    return rev.new_user_revenue_share(tb.shop(spark, sf))
 
 
 @query("product_revenue_share")
 def q_product_revenue_share(spark, sf):
-    _, units = _units(spark, sf)
-    return rev.product_revenue_share(units, min_share=SHARE_MIN)
+    return rev.product_revenue_share(tb.shop(spark, sf), min_share=SHARE_MIN)
 
 
 # --- unit economics (M14-M18) ----------------------------------------------------
 
 @query("vat")
 def q_vat(spark, sf):
-    _, units = _units(spark, sf)
-    taxed = pro.units_with_vat(units, tb.BOUND_REDUCED_NAMES)
-    return (taxed.groupBy(F.to_date("creation_time").alias("date"))
-            .agg(F.sum("tax").cast("double").alias("tax")))
+    sums = rev.priced_counts(tb.shop(spark, sf), ["date"],
+                             {"tax": pro.vat(reduced=tb.BOUND_REDUCED_NAMES)})
+    return sums.select("date", F.col("tax").cast("double").alias("tax"))
 
 
 @query("orders_delivered")
 def q_orders_delivered(spark, sf):
-    s = tb.shop(spark, sf)
-    return pro.orders_delivered(s.courier_actions, s.user_actions)
+    return pro.orders_delivered(tb.shop(spark, sf))
 
 
 @query("bonus_couriers")
 def q_bonus_couriers(spark, sf):
-    s = tb.shop(spark, sf)
-    return pro.bonus_couriers(s.courier_actions, s.user_actions, BONUS_MIN)
+    return pro.bonus_couriers(tb.shop(spark, sf), BONUS_MIN)
 
 
 @query("daily_costs")
 def q_daily_costs(spark, sf):
-    s, units = _units(spark, sf)
-    day = pro.daily_costs(units, s.courier_actions, s.user_actions, BONUS_MIN,
-                          tb.BOUND_REDUCED_NAMES)
+    day = pro.daily_costs(tb.shop(spark, sf), BONUS_MIN, tb.BOUND_REDUCED_NAMES)
     return day.select("date", "orders_packed", "orders_delivered", "couriers_count",
                       F.col("costs").cast("double").alias("costs"))
 
 
 @query("gross_profit_report")
 def q_gross_profit_report(spark, sf):
-    s, units = _units(spark, sf)
-    return pro.gross_profit_report(units, s.courier_actions, s.user_actions, BONUS_MIN,
-                                   tb.BOUND_REDUCED_NAMES)
+    return pro.gross_profit_report(tb.shop(spark, sf), BONUS_MIN, tb.BOUND_REDUCED_NAMES)

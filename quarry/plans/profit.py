@@ -10,6 +10,7 @@ from quarry.functions.numeric import money_out, pct
 from quarry.operators.joins import not_in
 from quarry.plans import engagement as eng
 from quarry.plans import revenue as rev
+from quarry.sources.tables import Shop
 
 # Fixed values of the original cost model: reduced-VAT product names (10 % VAT
 # included in the price, everything else 20 %) and the monthly tariffs.
@@ -41,34 +42,34 @@ def units_with_vat(units: DataFrame, reduced=REDUCED_VAT_NAMES) -> DataFrame:
     return units.withColumn("tax", vat(reduced=reduced))
 
 
-def daily_sales(units: DataFrame, reduced=REDUCED_VAT_NAMES) -> DataFrame:
-    """Per creation date: orders packed, revenue and tax (decimal sums)."""
-    per_order = rev.order_totals(units_with_vat(units, reduced), {"order_tax": "tax"})
-    return (per_order.groupBy("date")
-            .agg(F.count(F.lit(1)).alias("orders_packed"),
-                 F.sum("order_price").alias("revenue"),
-                 F.sum("order_tax").alias("tax")))
+def daily_sales(shop: Shop, reduced=REDUCED_VAT_NAMES) -> DataFrame:
+    """Per creation date: orders packed, revenue and tax (exact decimal sums
+    of per-unit amounts, from units counted per day and product)."""
+    sums = rev.priced_counts(shop, ["date"], {"revenue": F.col("price"),
+                                              "tax": vat(reduced=reduced)})
+    packed = rev.daily_orders(shop).withColumnRenamed("orders", "orders_packed")
+    return sums.join(packed, "date")
 
 
-def valid_deliveries(courier_actions: DataFrame, actions: DataFrame) -> DataFrame:
-    delivered = courier_actions.where(F.col("action") == DELIVER)
-    return not_in(delivered, "order_id", eng.cancelled_order_ids(actions), "order_id")
+def valid_deliveries(shop: Shop) -> DataFrame:
+    """Distinct ``(date, courier_id, order_id)`` deliveries of valid orders."""
+    delivered = shop.courier_actions.where(F.col("action") == DELIVER)
+    valid = not_in(delivered, "order_id", eng.cancelled_order_ids(shop.user_actions), "order_id")
+    return valid.select(F.to_date("time").alias("date"), "courier_id", "order_id").distinct()
 
 
-def orders_delivered(courier_actions: DataFrame, actions: DataFrame) -> DataFrame:
+def orders_delivered(shop: Shop, deliveries: DataFrame | None = None) -> DataFrame:
     """Distinct valid orders delivered per day."""
-    return (valid_deliveries(courier_actions, actions)
-            .groupBy(F.to_date("time").alias("date"))
-            .agg(F.countDistinct("order_id").alias("orders_delivered")))
+    d = deliveries if deliveries is not None else valid_deliveries(shop)
+    return d.groupBy("date").agg(F.countDistinct("order_id").alias("orders_delivered"))
 
 
-def bonus_couriers(courier_actions: DataFrame, actions: DataFrame,
-                   min_orders: int = 5) -> DataFrame:
+def bonus_couriers(shop: Shop, min_orders: int = 5,
+                   deliveries: DataFrame | None = None) -> DataFrame:
     """Per day, couriers who delivered at least ``min_orders`` distinct
     valid orders that day."""
-    per_courier = (valid_deliveries(courier_actions, actions)
-                   .groupBy(F.to_date("time").alias("date"), "courier_id")
-                   .agg(F.countDistinct("order_id").alias("n"))
+    d = deliveries if deliveries is not None else valid_deliveries(shop)
+    per_courier = (d.groupBy("date", "courier_id").agg(F.count(F.lit(1)).alias("n"))
                    .where(F.col("n") >= min_orders))
     return per_courier.groupBy("date").agg(F.count("courier_id").alias("couriers_count"))
 
@@ -87,24 +88,25 @@ def cost_expr(date="date", packed="orders_packed", delivered="orders_delivered",
     return expr
 
 
-def daily_costs(units: DataFrame, courier_actions: DataFrame, actions: DataFrame,
-                min_orders: int = 5, reduced=REDUCED_VAT_NAMES, tariffs=TARIFFS) -> DataFrame:
+def daily_costs(shop: Shop, min_orders: int = 5, reduced=REDUCED_VAT_NAMES,
+                tariffs=TARIFFS) -> DataFrame:
     """Per sales day: revenue, tax, orders packed / delivered, bonus couriers
-    and the cost of the day (the day spine is the sales days)."""
-    return (daily_sales(units, reduced)
-            .join(orders_delivered(courier_actions, actions), "date", "left")
-            .join(bonus_couriers(courier_actions, actions, min_orders), "date", "left")
+    and the cost of the day (the day spine is the sales days). Deliveries are
+    de-duplicated once and feed both delivery aggregates."""
+    deliveries = valid_deliveries(shop)
+    return (daily_sales(shop, reduced)
+            .join(orders_delivered(shop, deliveries), "date", "left")
+            .join(bonus_couriers(shop, min_orders, deliveries), "date", "left")
             .withColumn("costs", cost_expr(tariffs=tariffs)))
 
 
-def gross_profit_report(units: DataFrame, courier_actions: DataFrame, actions: DataFrame,
-                        min_orders: int = 5, reduced=REDUCED_VAT_NAMES,
+def gross_profit_report(shop: Shop, min_orders: int = 5, reduced=REDUCED_VAT_NAMES,
                         tariffs=TARIFFS) -> DataFrame:
     """Daily and cumulative revenue, costs, tax and gross profit with
     ratios. Days without a tariff have NULL costs, hence NULL profit, and the
     running sums skip them."""
     w = Window.orderBy("date")
-    day = daily_costs(units, courier_actions, actions, min_orders, reduced, tariffs)
+    day = daily_costs(shop, min_orders, reduced, tariffs)
     gross = F.col("revenue") - F.col("costs") - F.col("tax")
     t8 = day.select(
         "date", "revenue", "costs", "tax", gross.alias("gross_profit"),

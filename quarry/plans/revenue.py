@@ -1,11 +1,18 @@
 """Revenue metrics.
 
-Shared shape: valid orders -> ``explode(product_ids)`` -> left join products
-(broadcast when its estimated size is small, shuffle join otherwise) -> an
-aggregate per order, which reuses the order-id partitioning of the anti join,
--> a tiny aggregate per day. Running totals and previous-row comparisons use
-an unpartitioned window, but only over the per-day rows (thousands), never
-over raw units.
+Every job takes the four logical tables (a ``Shop``) and picks its plan:
+
+* Day-level revenue, tax and product shares: with a broadcastable product
+  table the units are priced in place and aggregated straight to days (no
+  shuffle of units); with a large one, units are first counted per
+  ``(day, product)`` map-side so only those pairs are shuffled to the
+  product join - ``sum(units x price)`` is the same exact decimal sum.
+* Order counts per day come from the valid orders themselves
+  (``size(product_ids) > 0``), without the explode.
+* Per-order prices (M11, M12) need unit rows; they aggregate per order,
+  reusing the order-id partitioning of the anti join.
+* Running totals and previous-row comparisons use an unpartitioned window,
+  but only over the per-day rows (thousands), never over raw units.
 """
 
 from __future__ import annotations
@@ -14,8 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import money_out, pct, ratio, round_half_up
-from quarry.operators.joins import one_row, sized_broadcast
+from quarry.operators.joins import (BROADCAST_LIMIT_BYTES, estimated_bytes, one_row,
+                                    sized_broadcast)
 from quarry.plans import engagement as eng
+from quarry.sources.tables import Shop
 
 OTHER = "ДРУГОЕ"  # fixed value: label of the collapsed small products
 
@@ -31,46 +40,74 @@ def valid_units(orders: DataFrame, actions: DataFrame, products: DataFrame) -> D
     return units.join(sized_broadcast(products), "product_id", "left")
 
 
-def order_totals(units: DataFrame, extra: dict | None = None) -> DataFrame:
-    """Per order: creation date and ``order_price`` (plus extra sums)."""
-    aggs = [F.sum("price").alias("order_price")]
-    aggs += [F.sum(c).alias(n) for n, c in (extra or {}).items()]
-    return (units.groupBy("order_id", F.to_date("creation_time").alias("date"))
-            .agg(*aggs))
+def valid_lines(shop: Shop) -> DataFrame:
+    """One row per unit of a valid order: ``order_id, date, product_id``
+    (empty ``product_ids`` give no row, as ``unnest`` does)."""
+    return (eng.valid_orders(shop.orders, shop.user_actions)
+            .select("order_id", F.to_date("creation_time").alias("date"),
+                    F.explode("product_ids").alias("product_id")))
 
 
-def order_price(units: DataFrame) -> DataFrame:
-    """Total price of each valid order."""
-    return (units.groupBy("order_id").agg(F.sum("price").alias("order_price")))
+def priced_counts(shop: Shop, keys: list[str], amounts: dict) -> DataFrame:
+    """Per-unit amounts of valid orders summed per ``keys``; ``amounts`` maps
+    an output name to a column over the product row (e.g. ``price``).
 
+    With a product table that fits a broadcast (Catalyst's size estimate)
+    the units meet it in place and are aggregated straight to ``keys``
+    (partial aggregation, no shuffle of units). Otherwise units are first
+    counted per ``keys`` + product, so only those pairs are shuffled to the
+    product join, and the amounts are ``count x amount``."""
+    lines = valid_lines(shop)
+    size = estimated_bytes(shop.products)
+    if size is not None and size <= BROADCAST_LIMIT_BYTES:
+        joined = lines.join(F.broadcast(shop.products), "product_id", "left")
+        return joined.groupBy(*keys).agg(*[F.sum(col).alias(name) for name, col in amounts.items()])
+    unit_keys = [k for k in keys if k in lines.columns]   # keys may be product columns
+    counts = lines.groupBy(*unit_keys, "product_id").agg(F.count(F.lit(1)).alias("__units"))
+    joined = counts.join(shop.products, "product_id", "left")
+    return joined.groupBy(*keys).agg(*[F.sum(F.col("__units") * col).alias(name)
+                                       for name, col in amounts.items()])
 
-def daily_orders_revenue(units: DataFrame) -> DataFrame:
-    """Per creation date: ``orders`` (valid orders with at least one unit)
-    and ``revenue`` (decimal sum of unit prices)."""
-    return (order_totals(units).groupBy("date")
-            .agg(F.count(F.lit(1)).alias("orders"),
-                 F.sum("order_price").alias("revenue")))
 
+def daily_orders(shop: Shop) -> DataFrame:
+    """Valid orders with at least one unit, per creation date."""
+    return (eng.valid_orders(shop.orders, shop.user_actions)
+            .where(F.size("product_ids") > 0)
+            .groupBy(F.to_date("creation_time").alias("date"))
+            .agg(F.count(F.lit(1)).alias("orders")))
 
-def daily_revenue(units: DataFrame) -> DataFrame:
-    """M5: revenue per creation date."""
-    return daily_orders_revenue(units).select("date", "revenue")
 
+def order_price(shop: Shop) -> DataFrame:
+    """Total price of each valid order (per unit rows, summed per order)."""
+    units = valid_units(shop.orders, shop.user_actions, shop.products)
+    return units.groupBy("order_id").agg(F.sum("price").alias("order_price"))
 
-def revenue_trend(units: DataFrame) -> DataFrame:
+
+def daily_revenue(shop: Shop) -> DataFrame:
+    """M5: revenue per creation date (decimal sum of unit prices)."""
+    return priced_counts(shop, ["date"], {"revenue": F.col("price")})
+
+
+def daily_orders_revenue(shop: Shop) -> DataFrame:
+    """Per creation date: ``orders`` and ``revenue``."""
+    return daily_revenue(shop).join(daily_orders(shop), "date")
+
+
+def revenue_trend(shop: Shop) -> DataFrame:
     """M6: daily revenue, running total, % change vs the previous existing day."""
     w = Window.orderBy("date")
     prev = F.lag("revenue", 1).over(w)
-    return (daily_revenue(units)
+    return (daily_revenue(shop)
             .select("date",
                     money_out("revenue").alias("revenue"),
                     money_out(F.sum("revenue").over(w)).alias("total_revenue"),
                     pct(F.col("revenue") - prev, prev).alias("revenue_change")))
 
 
-def arpu_daily(units: DataFrame, actions: DataFrame) -> DataFrame:
+def arpu_daily(shop: Shop) -> DataFrame:
     """M8: ARPU, ARPPU and AOV per creation date (revenue-day spine)."""
-    base = (daily_orders_revenue(units)
+    actions = shop.user_actions
+    base = (daily_orders_revenue(shop)
             .join(eng.daily_users(actions), "date", "left")
             .join(eng.daily_paying_users(actions), "date", "left"))
     return base.select(
@@ -80,11 +117,12 @@ def arpu_daily(units: DataFrame, actions: DataFrame) -> DataFrame:
         round_half_up(ratio("revenue", "orders")).alias("aov"))
 
 
-def arpu_running(units: DataFrame, actions: DataFrame) -> DataFrame:
+def arpu_running(shop: Shop) -> DataFrame:
     """Running ARPU / ARPPU / AOV: cumulative revenue over cumulative new
     users, new paying users and orders. Days without new users add nothing."""
     w = Window.orderBy("date")
-    base = (daily_orders_revenue(units)
+    actions = shop.user_actions
+    base = (daily_orders_revenue(shop)
             .join(eng.new_users(actions), "date", "left")
             .join(eng.new_paying_users(actions), "date", "left"))
     run = {c: F.sum(c).over(w) for c in ("revenue", "new_users", "new_paying_users", "orders")}
@@ -95,21 +133,22 @@ def arpu_running(units: DataFrame, actions: DataFrame) -> DataFrame:
         round_half_up(ratio(run["revenue"], run["orders"])).alias("running_aov"))
 
 
-def new_user_revenue_share(units: DataFrame, actions: DataFrame) -> DataFrame:
+def new_user_revenue_share(shop: Shop) -> DataFrame:
     """Revenue on each user's first action date and its share of the
     day's revenue. The first date comes from all actions, revenue per user-day
     from valid actions joined to order prices."""
+    actions = shop.user_actions
     firsts = eng.first_dates(actions, "start_date")
     spent = (eng.valid_actions(actions)
              .select("user_id", F.to_date("time").alias("date"), "order_id")
-             .join(order_price(units), "order_id", "left")
+             .join(order_price(shop), "order_id", "left")
              .groupBy("user_id", "date").agg(F.sum("order_price").alias("revenue")))
     newcomer = (firsts.join(spent, (firsts.user_id == spent.user_id)
                             & (firsts.start_date == spent.date), "left")
                 .groupBy(F.col("start_date").alias("date"))
                 .agg(F.sum(F.coalesce("revenue", F.lit(0))).alias("new_users_revenue")))
     share = pct("new_users_revenue", "revenue")
-    return (daily_revenue(units).join(newcomer, "date", "left")
+    return (daily_revenue(shop).join(newcomer, "date", "left")
             .select("date",
                     money_out("revenue").alias("revenue"),
                     money_out("new_users_revenue").alias("new_users_revenue"),
@@ -117,12 +156,12 @@ def new_user_revenue_share(units: DataFrame, actions: DataFrame) -> DataFrame:
                     (F.lit(100.0) - share).alias("old_users_revenue_share")))
 
 
-def product_revenue_share(units: DataFrame, min_share: float = 0.5,
+def product_revenue_share(shop: Shop, min_share: float = 0.5,
                           other: str = OTHER) -> DataFrame:
     """Revenue per product name; names whose rounded share is below
     ``min_share`` percent (or unknown) collapse into ``other``. Shares are
     rounded per name and then summed, as in the original."""
-    by_name = units.groupBy("name").agg(F.sum("price").alias("revenue"))
+    by_name = priced_counts(shop, ["name"], {"revenue": F.col("price")})
     total = one_row(by_name.agg(F.sum("revenue").alias("__total")))
     share = pct("revenue", "__total")
     labelled = (by_name.crossJoin(total)

@@ -18,11 +18,6 @@ def s(spark):
     return shop(spark)
 
 
-@pytest.fixture(scope="module")
-def units(s):
-    return rev.valid_units(s.orders, s.user_actions, s.products)
-
-
 def test_dau(s):
     assert rows(eng.dau(s.user_actions)) == [(D30, 2), (D31, 2), (O01, 1)]
 
@@ -33,14 +28,14 @@ def test_wau_counts_actions_unless_distinct(s):
     assert dict(rows(eng.wau(s.user_actions, distinct=True)))[date(2022, 8, 29)] == 3
 
 
-def test_revenue_trend(units):
-    got = rows(rev.revenue_trend(units))
+def test_revenue_trend(s):
+    got = rows(rev.revenue_trend(s))
     assert got == [(D30, 350.0, 350.0, None), (D31, 220.0, 570.0, -37.14),
                    (O01, 240.0, 810.0, 9.09)]
 
 
-def test_arpu_daily(units, s):
-    got = rows(rev.arpu_daily(units, s.user_actions))
+def test_arpu_daily(s):
+    got = rows(rev.arpu_daily(s))
     assert got == [(D30, 175.0, 350.0, 350.0), (D31, 110.0, 110.0, 220.0),
                    (O01, 240.0, 240.0, 240.0)]
 
@@ -50,49 +45,54 @@ def test_new_users(s):
     assert rows(eng.new_paying_users(s.user_actions)) == [(D30, 1), (D31, 1)]
 
 
-def test_arpu_running(units, s):
-    got = rows(rev.arpu_running(units, s.user_actions))
+def test_arpu_running(s):
+    got = rows(rev.arpu_running(s))
     assert got == [(D30, 175.0, 350.0, 350.0), (D31, 190.0, 285.0, 285.0),
                    (O01, 270.0, 405.0, 270.0)]
 
 
-def test_new_user_revenue_share(units, s):
-    got = rows(rev.new_user_revenue_share(units, s.user_actions))
+def test_new_user_revenue_share(s):
+    got = rows(rev.new_user_revenue_share(s))
     assert got == [(D30, 350.0, 350.0, 100.0, 0.0), (D31, 220.0, 0.0, 0.0, 100.0),
                    (O01, 240.0, None, None, None)]
 
 
-def test_product_revenue_share(units):
+def test_product_revenue_share(s):
     got = {r["product_name"]: (r["revenue"], r["share_in_revenue"])
-           for r in rev.product_revenue_share(units).collect()}
+           for r in rev.product_revenue_share(s).collect()}
     assert got == {"B": (480.0, 59.26), "A": (330.0, 40.74), "ДРУГОЕ": (None, None)}
 
 
-def test_tax_and_costs(units, s):
-    day = {r["date"]: r for r in pro.daily_costs(units, s.courier_actions, s.user_actions,
-                                                 min_orders=1, reduced=["A"]).collect()}
+def test_tax_and_costs(s):
+    day = {r["date"]: r for r in pro.daily_costs(s, min_orders=1, reduced=["A"]).collect()}
     assert [float(day[d]["tax"]) for d in (D30, D31, O01)] == [50.0, 20.0, 40.0]
     assert [day[d]["costs"] for d in (D30, D31, O01)] == [120690, 120690, None]
-    day5 = {r["date"]: r["costs"] for r in pro.daily_costs(
-        units, s.courier_actions, s.user_actions, min_orders=5, reduced=["A"]).collect()}
+    day5 = {r["date"]: r["costs"] for r in pro.daily_costs(s, min_orders=5, reduced=["A"]).collect()}
     assert [day5[d] for d in (D30, D31, O01)] == [120290, 120290, None]
 
 
-def test_gross_profit_report(units, s):
-    rep = {r["date"]: r for r in pro.gross_profit_report(
-        units, s.courier_actions, s.user_actions, min_orders=1, reduced=["A"]).collect()}
+def test_gross_profit_report(s):
+    rep = {r["date"]: r for r in pro.gross_profit_report(s, min_orders=1, reduced=["A"]).collect()}
     assert [rep[d]["gross_profit"] for d in (D30, D31, O01)] == [-120390.0, -120490.0, None]
     assert [rep[d]["total_gross_profit"] for d in (D30, D31, O01)] == [-120390.0, -240880.0, -240880.0]
     assert [rep[d]["gross_profit_ratio"] for d in (D30, D31, O01)] == [-34397.14, -54768.18, None]
     assert [rep[d]["total_gross_profit_ratio"] for d in (D30, D31, O01)] == [-34397.14, -42259.65,
                                                                              -29738.27]
-    rep5 = {r["date"]: r for r in pro.gross_profit_report(
-        units, s.courier_actions, s.user_actions, min_orders=5, reduced=["A"]).collect()}
+    rep5 = {r["date"]: r for r in pro.gross_profit_report(s, min_orders=5, reduced=["A"]).collect()}
     assert [rep5[d]["total_gross_profit"] for d in (D30, D31, O01)] == [-119990.0, -240080.0,
                                                                         -240080.0]
 
 
 def test_orders_delivered_and_bonus(s):
-    assert rows(pro.orders_delivered(s.courier_actions, s.user_actions)) == [(D30, 1), (D31, 1)]
-    assert rows(pro.bonus_couriers(s.courier_actions, s.user_actions, 1)) == [(D30, 1), (D31, 1)]
-    assert rows(pro.bonus_couriers(s.courier_actions, s.user_actions, 5)) == []
+    assert rows(pro.orders_delivered(s)) == [(D30, 1), (D31, 1)]
+    assert rows(pro.bonus_couriers(s, 1)) == [(D30, 1), (D31, 1)]
+    assert rows(pro.bonus_couriers(s, 5)) == []
+
+
+def test_large_product_path_gives_same_sums(s, monkeypatch):
+    from quarry.plans import revenue as r
+    small = {row["product_name"]: row["revenue"] for row in rev.product_revenue_share(s).collect()}
+    day_small = rows(rev.daily_revenue(s))
+    monkeypatch.setattr(r, "BROADCAST_LIMIT_BYTES", -1)      # force the pre-aggregated path
+    big = {row["product_name"]: row["revenue"] for row in rev.product_revenue_share(s).collect()}
+    assert big == small and rows(rev.daily_revenue(s)) == day_small
