@@ -29,6 +29,12 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFr
     return df
 
 
+def broadcast_if_rows(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint after counting the rows - for checkpointed tables, whose
+    count is a cheap read while Catalyst has no size estimate for them."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def one_row(df: DataFrame) -> DataFrame:
     """Broadcast a global (one-row) aggregate; its size is fixed by construction."""
     return F.broadcast(df)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import ranks
-from quarry.operators.joins import sized_broadcast
+from quarry.operators.joins import broadcast_if_rows, sized_broadcast
 
 # Code books of the bike-hire export (keys are the text of the
 # float codes, as the original maps them after a cast to string).
@@ -58,8 +58,8 @@ def label_encode(df: DataFrame, cols: dict[str, str]) -> DataFrame:
     per class and are broadcast when their estimated size is small."""
     out = df
     for src, dst in cols.items():
-        codes = ranks.dense_codes(df, src, dst)
-        out = out.join(sized_broadcast(codes), src, "left")
+        codes = ranks.dense_codes(df, src, dst)     # checkpointed: counting it is cheap
+        out = out.join(broadcast_if_rows(codes), src, "left")
     return out
 
 

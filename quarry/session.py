@@ -63,10 +63,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir``; only when the session has none (tests,
     local runs) a fresh scratch folder is created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    registered = sc.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None) or registered
     if current:
+        if not registered:
+            sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="quarry-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
