@@ -41,6 +41,7 @@ BOUNDARY_SEED = 17
 GRID = 256                  # quantiles taken in the sizing pass
 ROWS_PER_BUCKET = 2_000_000  # bound on the rows (hence distinct values) of one bucket
 CASE_LIMIT = 64             # up to this many boundaries a literal CASE, else binary search
+MAX_LOCAL_CLASSES = 100_000  # label codes numbered on the driver up to this many classes
 
 
 def _boundaries(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
@@ -150,9 +151,17 @@ def dense_codes(df: DataFrame, col: str, name: str = "code") -> DataFrame:
     """0-based code of each distinct non-null value in ascending order
     (label encoding). Same bucketing idea on the distinct values."""
     distinct = df.where(F.col(col).isNotNull()).select(col).distinct()
+    # a label column usually has few classes: fetch at most MAX_LOCAL_CLASSES + 1
+    # of them (a bounded collect) and number them locally, as a string indexer does
+    few = distinct.limit(MAX_LOCAL_CLASSES + 1).collect()
+    if len(few) <= MAX_LOCAL_CLASSES:
+        classes = sorted(r[0] for r in few)   # code-point order = Spark's UTF-8 byte order
+        dtype = dict(distinct.dtypes)[col]
+        return F.broadcast(df.sparkSession.createDataFrame(
+            [(c, i) for i, c in enumerate(classes)], f"`{col}` {dtype}, `{name}` int"))
     if dict(distinct.dtypes)[col] in ("string",):
-        # strings: the global row index of the sorted distinct values
-        # (range-partitioned, no single-task window however many classes)
+        # many string classes: the global row index of the sorted distinct
+        # values (range-partitioned, no single-task window)
         from quarry.sources.files import with_row_index
 
         return with_row_index(distinct, [col], "__code").select(

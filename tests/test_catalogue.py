@@ -87,3 +87,12 @@ def test_group_stats_and_extremes(items):
     assert ext == [("Beds", 200.0, True), ("Chairs", 56.666666666666664, False)]
     sh = dict((r["other_colors"], r["percent"]) for r in ch.shares(items, "other_colors").collect())
     assert sh == {"No": 50.0, "Yes": 50.0}
+
+
+def test_label_codes_many_classes_path(spark, monkeypatch):
+    from quarry.operators import ranks
+    df = spark.createDataFrame([(f"c{i:03d}",) for i in range(50)] * 2, "c string")
+    local = dict(rows(ranks.dense_codes(df, "c", "code")))
+    monkeypatch.setattr(ranks, "MAX_LOCAL_CLASSES", 10)          # force the distributed path
+    dist = dict(rows(ranks.dense_codes(df, "c", "code")))
+    assert local == dist == {f"c{i:03d}": i for i in range(50)}
