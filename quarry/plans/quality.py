@@ -35,8 +35,16 @@ def duplicate_rows(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Number of repeated full rows (all copies but the first)."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    """Number of repeated full rows (all copies but the first; NULLs
+    compare equal here, as in a row-duplicate check). Only rows whose 64-bit
+    row hash repeats are shuffled with their full content for the exact
+    comparison; everything else moves as one hash per task."""
+    cols = df.columns
+    keyed = df.withColumn("__h", F.xxhash64(*cols))
+    repeated = (keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+                .where(F.col("__n") > 1).select("__h"))
+    groups = (keyed.join(repeated, "__h", "left_semi")
+              .groupBy("__h", *cols).agg(F.count(F.lit(1)).alias("__n")))
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint")
                       .alias("duplicates"))
 
@@ -76,24 +84,23 @@ def type_violations(df: DataFrame, key: str, spec: dict) -> DataFrame:
     """Q4: values that break a declared type, long form ``(key, column, value,
     reason)``. ``spec`` maps a column to ``("varchar", n)``, ``("char", n)``,
     ``("date",)`` or ``("double",)``; text that does not parse is reported,
-    as is text longer than the declared length."""
-    parts = []
+    as is text longer than the declared length. One pass: each row yields an
+    array of its violations, which is exploded."""
+    checks = []
     for c, rule in spec.items():
         v = F.col(c).cast("string")
         kind = rule[0]
         if kind in ("varchar", "char"):
-            bad, why = F.length(v) > rule[1], F.lit(f"longer than {rule[1]}")
+            bad, why = F.length(v) > rule[1], f"longer than {rule[1]}"
         elif kind in ("date", "double", "int", "bigint"):
-            bad = v.isNotNull() & v.try_cast(kind).isNull()
-            why = F.lit(f"not a {kind}")
+            bad, why = v.isNotNull() & v.try_cast(kind).isNull(), f"not a {kind}"
         else:
             raise ValueError(f"unknown rule {rule!r}")
-        parts.append(df.where(bad).select(F.col(key).alias("key"), F.lit(c).alias("column"),
-                                          v.alias("value"), why.alias("reason")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        checks.append(F.when(bad, F.struct(F.lit(c).alias("column"), v.alias("value"),
+                                           F.lit(why).alias("reason"))))
+    found = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return (df.select(F.col(key).alias("key"), F.explode(found).alias("v"))
+            .select("key", "v.column", "v.value", "v.reason"))
 
 
 def partition_counts(df: DataFrame, date_col: str, first_upper: int, last_lower: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.operators.joins import one_row
+from quarry.operators.joins import estimated_bytes, one_row
 from quarry.session import cut_lineage, scratch_dir
 
 
@@ -92,13 +92,25 @@ def year_range_bucket(date_col: str, first_upper: int, last_lower: int):
     return F.least(F.greatest(y, F.lit(first_upper - 1)), F.lit(last_lower))
 
 
+FILE_BYTES = 512 * 1024 * 1024
+
+
 def write_year_partitioned(df: DataFrame, path: str, date_col: str,
                            first_upper: int, last_lower: int,
-                           part_col: str = "part_year") -> str:
-    """Partitioned Parquet write, one directory per range bucket. Rows are
-    clustered by the bucket first so each task writes few files."""
+                           part_col: str = "part_year", salts: int | None = None) -> str:
+    """Partitioned Parquet write, one directory per range bucket.
+
+    Rows are clustered by (bucket, salt) before writing: each task writes one
+    file into one directory, and a bucket (a year may hold a third of the
+    rows) is spread over ``salts`` tasks instead of one. The salt is a hash
+    of the row, so a retried task writes the same rows; by default it is
+    sized from Catalyst's size estimate (about ``FILE_BYTES`` per file)."""
+    if salts is None:
+        size = estimated_bytes(df)
+        salts = 1 if not size else max(1, min(1024, -(-size // FILE_BYTES)))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
     (df.withColumn(part_col, year_range_bucket(date_col, first_upper, last_lower))
-       .repartition(part_col)
+       .repartition(part_col, salt)
        .write.mode("overwrite").partitionBy(part_col).parquet(path))
     return path
 

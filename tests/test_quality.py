@@ -109,3 +109,9 @@ def test_typed_table_pads_char_and_rejects_long_varchar(spark):
 def test_duplicate_count(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, "b")], "x int, y string")
     assert qa.duplicate_count(df).first()[0] == 2
+
+
+def test_duplicate_count_with_nulls(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, None), (1, None), (1, None), (2, "b")],
+                               "x int, y string")
+    assert qa.duplicate_count(df).first()[0] == 3
