@@ -38,10 +38,6 @@ def vat(price="price", name="name", reduced=REDUCED_VAT_NAMES) -> Column:
              .otherwise(F.round(p / 120 * 20, 2)))
 
 
-def units_with_vat(units: DataFrame, reduced=REDUCED_VAT_NAMES) -> DataFrame:
-    return units.withColumn("tax", vat(reduced=reduced))
-
-
 def daily_sales(shop: Shop, reduced=REDUCED_VAT_NAMES) -> DataFrame:
     """Per creation date: orders packed, revenue and tax (exact decimal sums
     of per-unit amounts, from units counted per day and product)."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.operators.joins import estimated_bytes, one_row
+from quarry.operators.joins import estimated_bytes
 from quarry.session import cut_lineage, scratch_dir
 
 
@@ -178,7 +178,3 @@ def tail(df: DataFrame, order_by: list, n: int = 5) -> DataFrame:
     """Last ``n`` rows by the key, returned in ascending order."""
     desc = [F.col(c).desc() if isinstance(c, str) else c.desc() for c in order_by]
     return df.orderBy(*desc).limit(n).orderBy(*order_by)
-
-
-def row_count_summary(df: DataFrame) -> DataFrame:
-    return one_row(df.agg(F.count(F.lit(1)).alias("rows")))
