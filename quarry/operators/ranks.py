@@ -122,19 +122,22 @@ def average_ranks(positions: DataFrame) -> DataFrame:
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
               buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics
-    (``h = (n-1)q``), one row per ``(by..., q)`` with column ``value``."""
+    (``h = (n-1)q``), one row per ``(by..., q)`` with column ``value``.
+
+    Every position row carries its group size ``n``, so the wanted order
+    statistics are found in place (no join keyed by group): a row is kept if
+    its rank range holds ``floor(h)`` or ``ceil(h)``, and a tiny aggregate
+    per ``(group, q)`` interpolates."""
     by = list(by or [])
     pos = value_positions(df, value, by, buckets)
-    groups = pos.select(*by, "n").distinct()
     qs = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
-    targets = (groups.select(*by, "n", qs)
-               .withColumn("h", (F.col("n") - 1) * F.col("q"))
-               .withColumn("k_lo", F.floor("h"))
-               .withColumn("k_hi", F.ceil("h")))
-    joined = pos.join(sized_broadcast(targets.drop("n")), by, "inner") if by else \
-        pos.crossJoin(F.broadcast(targets.drop("n")))
+    h = (F.col("n") - 1) * F.col("q")
+    rows = (pos.select(*by, "x", "t", "start", "n", qs)
+            .withColumn("h", h)
+            .withColumn("k_lo", F.floor("h"))
+            .withColumn("k_hi", F.ceil("h")))
     has = lambda k: (F.col("start") <= F.col(k)) & (F.col(k) < F.col("start") + F.col("t"))
-    picked = (joined.where(has("k_lo") | has("k_hi"))
+    picked = (rows.where(has("k_lo") | has("k_hi"))
               .groupBy(*by, "q", "h", "k_lo")
               .agg(F.max(F.when(has("k_lo"), F.col("x"))).alias("x_lo"),
                    F.max(F.when(has("k_hi"), F.col("x"))).alias("x_hi")))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions.normal import norm_ppf, norm_sf
 from quarry.operators import ranks
-from quarry.operators.joins import sized_broadcast
 from quarry.session import cut_lineage
 
 CHUNK = 100_000  # positions expanded per task row when a value repeats
+RANK_TABLE_BROADCAST_ROWS = 2_000_000  # (value, rank) rows of one column that may be broadcast
 
 
 def _poly(coefs, x):
@@ -149,10 +149,16 @@ def spearman_matrix(df: DataFrame, cols: list[str], complete: bool | None = None
                 len(cols), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols))),
             "value", ["column"])))
         ranked = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+        # distinct values per column, a cheap count on the checkpoint: bounded
+        # rank tables are broadcast (a low-cardinality column must not become
+        # a sort-merge join keyed by a handful of values)
+        sizes = {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}
         for c in cols:
             rc = table.where(F.col("column") == c).select(
                 F.col("x").alias(f"__x_{c}"), F.col("rank").alias(f"__r_{c}"))
-            ranked = ranked.join(sized_broadcast(rc), F.col(c) == F.col(f"__x_{c}"))
+            if sizes.get(c, 0) <= RANK_TABLE_BROADCAST_ROWS:
+                rc = F.broadcast(rc)
+            ranked = ranked.join(rc, F.col(c) == F.col(f"__x_{c}"))
         corr = ranked.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}\t{b}") for a, b in pairs])
         stacked = ", ".join(f"'{a}', '{b}', `{a}\t{b}`" for a, b in pairs)
         off = corr.selectExpr(f"stack({len(pairs)}, {stacked}) as (col_a, col_b, rho)")
