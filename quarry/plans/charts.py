@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.numeric import round_half_up
 from quarry.operators import ranks
-from quarry.operators.joins import one_row, sized_broadcast
+from quarry.operators.joins import broadcast_if_rows, one_row
+from quarry.session import cut_lineage
 
 
 def count_by(df: DataFrame, by: str, col: str) -> DataFrame:
@@ -102,7 +103,8 @@ def box_stats(df: DataFrame, by: str, col: str) -> DataFrame:
                          (F.col("q3") + 1.5 * iqr).alias("__hi"))
     v = F.col(col)
     inside = (v >= F.col("__lo")) & (v <= F.col("__hi"))
-    agg = (df.where(v.isNotNull()).join(sized_broadcast(fences), by)
+    fences = cut_lineage(fences)     # one row per group; counted, then broadcast
+    agg = (df.where(v.isNotNull()).join(broadcast_if_rows(fences), by)
            .groupBy(by, "q1", "median", "q3")
            .agg(F.min(F.when(inside, v)).alias("whisker_low"),
                 F.max(F.when(inside, v)).alias("whisker_high"),

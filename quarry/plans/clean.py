@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import ranks
-from quarry.operators.joins import broadcast_if_rows, sized_broadcast
+from quarry.operators.joins import broadcast_if_rows
+from quarry.session import cut_lineage
 
 # Code books of the bike-hire export (keys are the text of the
 # float codes, as the original maps them after a cast to string).
@@ -78,9 +79,11 @@ def impute_group_median(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.selectExpr(f"`{by}`", f"stack({len(cols)}, {pairs}) as (__col, __val)")
     med = ranks.median(long, "__val", [by, "__col"])
-    wide = med.groupBy(by).agg(*[F.max(F.when(F.col("__col") == c, F.col("median")))
-                                 .alias(f"__med_{c}") for c in cols])
-    out = df.join(sized_broadcast(wide), by, "left")
+    wide = cut_lineage(med.groupBy(by).agg(*[F.max(F.when(F.col("__col") == c, F.col("median")))
+                                             .alias(f"__med_{c}") for c in cols]))
+    # one row per group: broadcast after a cheap count on the checkpoint, so
+    # a few large groups never become a sort-merge join keyed by a few values
+    out = df.join(broadcast_if_rows(wide), by, "left")
     return out.select(*[F.coalesce(F.col(c), F.col(f"__med_{c}")).alias(c) if c in cols
                         else F.col(c) for c in df.columns])
 
