@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.joins import broadcast_if_rows
+from quarry.session import cut_lineage
 from quarry.sources.files import year_range_bucket
 
 
@@ -26,9 +28,11 @@ def duplicate_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     for c in cols:
         not_null = not_null & F.col(c).isNotNull()
     keyed = df.where(not_null).withColumn("__h", h)
-    repeated = (keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
-                .where(F.col("__n") > 1).select("__h"))
-    candidates = keyed.join(repeated, "__h", "left_semi")
+    repeated = cut_lineage(keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+                           .where(F.col("__n") > 1).select("__h"))
+    # a bounded set of repeated hashes is broadcast, so the rows are never
+    # shuffled by key (a hot key stays spread over the scan tasks)
+    candidates = keyed.join(broadcast_if_rows(repeated, 5_000_000), "__h", "left_semi")
     dup_keys = (candidates.groupBy("__h", *cols).agg(F.count(F.lit(1)).alias("__n"))
                 .where(F.col("__n") > 1).drop("__n"))
     return candidates.join(dup_keys, ["__h", *cols], "left_semi").drop("__h")
@@ -41,9 +45,9 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     comparison; everything else moves as one hash per task."""
     cols = df.columns
     keyed = df.withColumn("__h", F.xxhash64(*cols))
-    repeated = (keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
-                .where(F.col("__n") > 1).select("__h"))
-    groups = (keyed.join(repeated, "__h", "left_semi")
+    repeated = cut_lineage(keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+                           .where(F.col("__n") > 1).select("__h"))
+    groups = (keyed.join(broadcast_if_rows(repeated, 5_000_000), "__h", "left_semi")
               .groupBy("__h", *cols).agg(F.count(F.lit(1)).alias("__n")))
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint")
                       .alias("duplicates"))
