@@ -112,12 +112,6 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
                                                           & F.col(y).isNotNull(), 1)).alias("n"))
 
 
-def _complete(df: DataFrame, cols: list[str]) -> bool:
-    """True when no selected column has a NULL or NaN (one-row aggregate)."""
-    miss = [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in cols]
-    return sum(df.agg(*miss).first()) == 0
-
-
 def _mirror(off: DataFrame, cols: list[str]) -> DataFrame:
     mirrored = off.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "rho")
     diag = off.sparkSession.createDataFrame(
@@ -130,33 +124,39 @@ def spearman_matrix(df: DataFrame, cols: list[str], complete: bool | None = None
     ``(col_a, col_b, rho)``. As in pandas each pair uses the rows where both
     values are present, ranked afresh (average ranks for ties).
 
-    When no column has a gap (checked with one aggregate unless ``complete``
-    is given) every column is ranked once: one pass of the order statistics
+    When no column has a gap (read off the rank table's per-column counts
+    unless ``complete`` is given) every column is ranked once: one pass of the order statistics
     over the long form ``(column, value)``, one join per column to attach the
     ranks, and one aggregate with all pairwise correlations. Otherwise each
     pair is ranked on its own complete rows."""
     # the input is read once per column below: freeze it in the shared
     # checkpoint folder instead of recomputing its lineage every time
     df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    if complete is None:
-        complete = _complete(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if complete:
+    if complete is not False:
         # one rank table for all columns (distinct values only), frozen once:
         # each per-column join below reads it instead of recomputing it
         table = cut_lineage(ranks.average_ranks(ranks.value_positions(
             df.selectExpr("stack({}, {}) as (column, value)".format(
-                len(cols), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols))),
+                len(cols), ", ".join(f"'{c}', `{c}`" for c in cols))),
             "value", ["column"])))
-        ranked = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-        # distinct values per column, a cheap count on the checkpoint: bounded
-        # rank tables are broadcast (a low-cardinality column must not become
-        # a sort-merge join keyed by a handful of values)
-        sizes = {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}
+        # per column: distinct values and present values, one small job on the
+        # checkpoint. Complete when every column has a value in every row.
+        summary = {r["column"]: (r["d"], r["n"]) for r in
+                   table.groupBy("column").agg(F.count(F.lit(1)).alias("d"),
+                                               F.max("n").alias("n")).collect()}
+        if complete is None:
+            rows_total = df.count()
+            complete = all(summary.get(c, (0, 0))[1] == rows_total for c in cols)
+    if complete:
+        ranked = df
         for c in cols:
             rc = table.where(F.col("column") == c).select(
                 F.col("x").alias(f"__x_{c}"), F.col("rank").alias(f"__r_{c}"))
-            if sizes.get(c, 0) <= RANK_TABLE_BROADCAST_ROWS:
+            # a bounded rank table is broadcast (a low-cardinality column must
+            # not become a sort-merge join keyed by a handful of values); a
+            # large one is a join keyed by distinct values
+            if summary.get(c, (0, 0))[0] <= RANK_TABLE_BROADCAST_ROWS:
                 rc = F.broadcast(rc)
             ranked = ranked.join(rc, F.col(c) == F.col(f"__x_{c}"))
         corr = ranked.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}\t{b}") for a, b in pairs])
