@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.normal import norm_ppf, norm_sf
 from quarry.operators import ranks
+from quarry.operators.joins import broadcast_if_rows
 from quarry.session import cut_lineage
 
 CHUNK = 100_000  # positions expanded per task row when a value repeats
@@ -171,10 +172,14 @@ def spearman_matrix(df: DataFrame, cols: list[str], complete: bool | None = None
             .where(F.col("xa").isNotNull() & F.col("xb").isNotNull()
                    & ~F.isnan("xa") & ~F.isnan("xb")))
     key = ["col_a", "col_b"]
-    ra = ranks.average_ranks(ranks.value_positions(long, "xa", key)).select(
-        *key, F.col("x").alias("xa"), F.col("rank").alias("ra"))
-    rb = ranks.average_ranks(ranks.value_positions(long, "xb", key)).select(
-        *key, F.col("x").alias("xb"), F.col("rank").alias("rb"))
+    # rank tables per pair, frozen and broadcast when bounded (keys such as
+    # (pair, one of two label codes) must not drive a sort-merge join)
+    ra = broadcast_if_rows(cut_lineage(ranks.average_ranks(ranks.value_positions(long, "xa", key))
+                                       .select(*key, F.col("x").alias("xa"), F.col("rank").alias("ra"))),
+                           RANK_TABLE_BROADCAST_ROWS)
+    rb = broadcast_if_rows(cut_lineage(ranks.average_ranks(ranks.value_positions(long, "xb", key))
+                                       .select(*key, F.col("x").alias("xb"), F.col("rank").alias("rb"))),
+                           RANK_TABLE_BROADCAST_ROWS)
     ranked = long.join(ra, [*key, "xa"]).join(rb, [*key, "xb"])
     off = ranked.groupBy(*key).agg(F.corr("ra", "rb").alias("rho"))
     return _mirror(off, cols)
