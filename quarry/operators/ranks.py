@@ -10,9 +10,10 @@ Plan, all lazy:
 1. ``groupBy(group, value).count()`` - partial aggregation, so a value or
    group holding a third of the rows costs one row per task.
 2. Bucket ids are a pure function of the value: literal boundaries taken from
-   ``approxQuantile`` of a seeded sample (computed once on the driver, a few
-   dozen doubles), so recomputing a lost task cannot move a value to another
-   bucket. The sample only balances buckets; results use every row.
+   approximate quantiles of a seeded sample (computed once on the driver: a
+   few hundred doubles, more only for very large data), so recomputing a lost
+   task cannot move a value to another bucket. The sample only balances
+   buckets; results use every row.
 3. Per ``(group, bucket)`` totals - a small table - give bucket offsets by a
    window partitioned by group over at most ``buckets`` rows per group.
 4. Inside a bucket a window over the *distinct* values gives the cumulative
@@ -23,15 +24,14 @@ Plan, all lazy:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from quarry.operators.joins import sized_broadcast
-
 import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.operators.joins import sized_broadcast
 
 MIN_BUCKETS = 64
 # Boundaries only balance the buckets (like the sample behind Spark's range
