@@ -63,9 +63,11 @@ def daily_users(actions: DataFrame) -> DataFrame:
             .agg(F.countDistinct("user_id").alias("users")))
 
 
-def daily_paying_users(actions: DataFrame) -> DataFrame:
-    """M7: distinct users with an action on a non-cancelled order per day."""
-    return (valid_actions(actions).groupBy(action_date().alias("date"))
+def daily_paying_users(actions: DataFrame, valid: DataFrame | None = None) -> DataFrame:
+    """M7: distinct users with an action on a non-cancelled order per day
+    (``valid``: those actions, when the caller already has them)."""
+    valid = valid if valid is not None else valid_actions(actions)
+    return (valid.groupBy(action_date().alias("date"))
             .agg(F.countDistinct("user_id").alias("paying_users")))
 
 
@@ -80,7 +82,8 @@ def new_users(actions: DataFrame) -> DataFrame:
             .agg(F.count("user_id").alias("new_users")))
 
 
-def new_paying_users(actions: DataFrame) -> DataFrame:
+def new_paying_users(actions: DataFrame, valid: DataFrame | None = None) -> DataFrame:
     """M9: users whose first action on a valid order falls on the day."""
-    return (first_dates(valid_actions(actions)).groupBy("date")
+    valid = valid if valid is not None else valid_actions(actions)
+    return (first_dates(valid).groupBy("date")
             .agg(F.count("user_id").alias("new_paying_users")))

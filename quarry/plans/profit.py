@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.numeric import money_out, pct
 from quarry.operators.joins import not_in
-from quarry.plans import engagement as eng
 from quarry.plans import revenue as rev
 from quarry.sources.tables import Shop
 
@@ -41,16 +40,14 @@ def vat(price="price", name="name", reduced=REDUCED_VAT_NAMES) -> Column:
 def daily_sales(shop: Shop, reduced=REDUCED_VAT_NAMES) -> DataFrame:
     """Per creation date: orders packed, revenue and tax (exact decimal sums
     of per-unit amounts, from units counted per day and product)."""
-    sums = rev.priced_counts(shop, ["date"], {"revenue": F.col("price"),
-                                              "tax": vat(reduced=reduced)})
-    packed = rev.daily_orders(shop).withColumnRenamed("orders", "orders_packed")
-    return sums.join(packed, "date")
+    return (rev.daily_orders_revenue(shop, {"tax": vat(reduced=reduced)})
+            .withColumnRenamed("orders", "orders_packed"))
 
 
 def valid_deliveries(shop: Shop) -> DataFrame:
     """Distinct ``(date, courier_id, order_id)`` deliveries of valid orders."""
     delivered = shop.courier_actions.where(F.col("action") == DELIVER)
-    valid = not_in(delivered, "order_id", eng.cancelled_order_ids(shop.user_actions), "order_id")
+    valid = not_in(delivered, "order_id", rev.shop_cancelled(shop), "order_id")
     return valid.select(F.to_date("time").alias("date"), "courier_id", "order_id").distinct()
 
 

@@ -29,21 +29,28 @@ from quarry.sources.tables import Shop
 OTHER = "ДРУГОЕ"  # fixed value: label of the collapsed small products
 
 
-def valid_units(orders: DataFrame, actions: DataFrame, products: DataFrame) -> DataFrame:
-    """One row per unit of a product in a non-cancelled order:
-    ``order_id, creation_time, product_id, name, price``. Orders with an
-    empty ``product_ids`` vanish (``explode``, not ``explode_outer``); unknown
-    products keep the row with NULL name and price."""
-    units = (eng.valid_orders(orders, actions)
-             .select("order_id", "creation_time",
-                     F.explode("product_ids").alias("product_id")))
-    return units.join(sized_broadcast(products), "product_id", "left")
+def shop_valid_orders(shop: Shop) -> DataFrame:
+    """The shop's valid orders, built once per shop (see ``Shop.derived``)."""
+    cancelled = shop_cancelled(shop)
+    return shop.derived("valid_orders",
+                        lambda: eng.not_in(shop.orders, "order_id", cancelled, "order_id"))
+
+
+def shop_cancelled(shop: Shop) -> DataFrame:
+    return shop.derived("cancelled", lambda: eng.cancelled_order_ids(shop.user_actions))
+
+
+def shop_valid_actions(shop: Shop) -> DataFrame:
+    """User actions on valid orders, built once per shop."""
+    cancelled = shop_cancelled(shop)
+    return shop.derived("valid_actions", lambda: eng.not_in(
+        shop.user_actions, "order_id", cancelled, "order_id"))
 
 
 def valid_lines(shop: Shop) -> DataFrame:
     """One row per unit of a valid order: ``order_id, date, product_id``
     (empty ``product_ids`` give no row, as ``unnest`` does)."""
-    return (eng.valid_orders(shop.orders, shop.user_actions)
+    return (shop_valid_orders(shop)
             .select("order_id", F.to_date("creation_time").alias("date"),
                     F.explode("product_ids").alias("product_id")))
 
@@ -58,8 +65,7 @@ def priced_counts(shop: Shop, keys: list[str], amounts: dict) -> DataFrame:
     counted per ``keys`` + product, so only those pairs are shuffled to the
     product join, and the amounts are ``count x amount``."""
     lines = valid_lines(shop)
-    size = estimated_bytes(shop.products)
-    if size is not None and size <= BROADCAST_LIMIT_BYTES:
+    if products_fit_broadcast(shop):
         joined = lines.join(F.broadcast(shop.products), "product_id", "left")
         return joined.groupBy(*keys).agg(*[F.sum(col).alias(name) for name, col in amounts.items()])
     unit_keys = [k for k in keys if k in lines.columns]   # keys may be product columns
@@ -71,7 +77,7 @@ def priced_counts(shop: Shop, keys: list[str], amounts: dict) -> DataFrame:
 
 def daily_orders(shop: Shop) -> DataFrame:
     """Valid orders with at least one unit, per creation date."""
-    return (eng.valid_orders(shop.orders, shop.user_actions)
+    return (shop_valid_orders(shop)
             .where(F.size("product_ids") > 0)
             .groupBy(F.to_date("creation_time").alias("date"))
             .agg(F.count(F.lit(1)).alias("orders")))
@@ -79,7 +85,7 @@ def daily_orders(shop: Shop) -> DataFrame:
 
 def order_price(shop: Shop) -> DataFrame:
     """Total price of each valid order (per unit rows, summed per order)."""
-    units = valid_units(shop.orders, shop.user_actions, shop.products)
+    units = valid_lines(shop).join(sized_broadcast(shop.products), "product_id", "left")
     return units.groupBy("order_id").agg(F.sum("price").alias("order_price"))
 
 
@@ -88,9 +94,27 @@ def daily_revenue(shop: Shop) -> DataFrame:
     return priced_counts(shop, ["date"], {"revenue": F.col("price")})
 
 
-def daily_orders_revenue(shop: Shop) -> DataFrame:
-    """Per creation date: ``orders`` and ``revenue``."""
-    return daily_revenue(shop).join(daily_orders(shop), "date")
+def products_fit_broadcast(shop: Shop) -> bool:
+    size = estimated_bytes(shop.products)
+    return size is not None and size <= BROADCAST_LIMIT_BYTES
+
+
+def daily_orders_revenue(shop: Shop, amounts: dict | None = None) -> DataFrame:
+    """Per creation date: ``orders`` (valid orders with a unit), ``revenue``
+    and any extra per-unit ``amounts`` (name -> column over the product row).
+
+    Small product table: one pass - units priced in place, summed per order
+    (the anti join already partitions by order id, so no shuffle), then per
+    day, which also counts the orders. Large product table: the pre-counted
+    (day, product) path plus an order count taken from the valid orders."""
+    amounts = {"revenue": F.col("price"), **(amounts or {})}
+    if products_fit_broadcast(shop):
+        units = valid_lines(shop).join(F.broadcast(shop.products), "product_id", "left")
+        per_order = units.groupBy("order_id", "date").agg(
+            *[F.sum(col).alias(name) for name, col in amounts.items()])
+        return per_order.groupBy("date").agg(
+            F.count(F.lit(1)).alias("orders"), *[F.sum(n).alias(n) for n in amounts])
+    return priced_counts(shop, ["date"], amounts).join(daily_orders(shop), "date")
 
 
 def revenue_trend(shop: Shop) -> DataFrame:
@@ -109,7 +133,7 @@ def arpu_daily(shop: Shop) -> DataFrame:
     actions = shop.user_actions
     base = (daily_orders_revenue(shop)
             .join(eng.daily_users(actions), "date", "left")
-            .join(eng.daily_paying_users(actions), "date", "left"))
+            .join(eng.daily_paying_users(actions, shop_valid_actions(shop)), "date", "left"))
     return base.select(
         "date",
         round_half_up(ratio("revenue", "users")).alias("arpu"),
@@ -124,7 +148,7 @@ def arpu_running(shop: Shop) -> DataFrame:
     actions = shop.user_actions
     base = (daily_orders_revenue(shop)
             .join(eng.new_users(actions), "date", "left")
-            .join(eng.new_paying_users(actions), "date", "left"))
+            .join(eng.new_paying_users(actions, shop_valid_actions(shop)), "date", "left"))
     run = {c: F.sum(c).over(w) for c in ("revenue", "new_users", "new_paying_users", "orders")}
     return base.select(
         "date",
@@ -139,7 +163,7 @@ def new_user_revenue_share(shop: Shop) -> DataFrame:
     from valid actions joined to order prices."""
     actions = shop.user_actions
     firsts = eng.first_dates(actions, "start_date")
-    spent = (eng.valid_actions(actions)
+    spent = (shop_valid_actions(shop)
              .select("user_id", F.to_date("time").alias("date"), "order_id")
              .join(order_price(shop), "order_id", "left")
              .groupBy("user_id", "date").agg(F.sum("order_price").alias("revenue")))

@@ -40,7 +40,12 @@ def register_all(spark: SparkSession, sf_dir: str) -> None:
 
 
 class Shop:
-    """The four logical tables of the grocery-delivery schema."""
+    """The four logical tables of the grocery-delivery schema.
+
+    ``derived`` memoises frames built from them (cancelled ids, valid orders):
+    every metric that needs one gets the same DataFrame object, so a report
+    combining several metrics plans one subtree for it, which Spark computes
+    once and reuses, instead of rescanning per use."""
 
     def __init__(self, user_actions: DataFrame, orders: DataFrame,
                  products: DataFrame, courier_actions: DataFrame):
@@ -48,6 +53,12 @@ class Shop:
         self.orders = orders
         self.products = products
         self.courier_actions = courier_actions
+        self._derived: dict = {}
+
+    def derived(self, key: str, build):
+        if key not in self._derived:
+            self._derived[key] = build()
+        return self._derived[key]
 
 
 def bind_user_actions(orders: DataFrame) -> DataFrame:

@@ -93,6 +93,10 @@ def test_large_product_path_gives_same_sums(s, monkeypatch):
     from quarry.plans import revenue as r
     small = {row["product_name"]: row["revenue"] for row in rev.product_revenue_share(s).collect()}
     day_small = rows(rev.daily_revenue(s))
+    arpu_small = rows(rev.arpu_daily(s))
+    gpr_small = rows(pro.gross_profit_report(s, min_orders=1, reduced=["A"]))
     monkeypatch.setattr(r, "BROADCAST_LIMIT_BYTES", -1)      # force the pre-aggregated path
     big = {row["product_name"]: row["revenue"] for row in rev.product_revenue_share(s).collect()}
     assert big == small and rows(rev.daily_revenue(s)) == day_small
+    assert rows(rev.arpu_daily(s)) == arpu_small
+    assert rows(pro.gross_profit_report(s, min_orders=1, reduced=["A"])) == gpr_small
