@@ -34,33 +34,41 @@ def valid_actions(actions: DataFrame) -> DataFrame:
     return not_in(actions, "order_id", cancelled_order_ids(actions), "order_id")
 
 
-def dau(actions: DataFrame) -> DataFrame:
+def distinct_users(approx: bool = False, rsd: float = 0.01):
+    """Exact distinct count, or opt-in HyperLogLog++ (``approx=True``, relative
+    standard deviation ``rsd``) - one fixed-size sketch per group instead of
+    the exact count's (group, user) shuffle."""
+    return F.approx_count_distinct("user_id", rsd) if approx else F.countDistinct("user_id")
+
+
+def dau(actions: DataFrame, approx: bool = False) -> DataFrame:
     """M1: distinct users per day, cancellations included."""
     return (actions.groupBy(action_date().alias("dt"))
-            .agg(F.countDistinct("user_id").alias("dau")))
+            .agg(distinct_users(approx).alias("dau")))
 
 
-def _period_users(actions: DataFrame, unit: str, name: str, distinct: bool) -> DataFrame:
+def _period_users(actions: DataFrame, unit: str, name: str, distinct: bool,
+                  approx: bool = False) -> DataFrame:
     period = F.date_trunc(unit, F.col("time")).cast("date").alias(unit)
-    measure = F.countDistinct("user_id") if distinct else F.count("user_id")
+    measure = distinct_users(approx) if distinct else F.count("user_id")
     return actions.groupBy(period).agg(measure.alias(name))
 
 
-def wau(actions: DataFrame, distinct: bool = False) -> DataFrame:
+def wau(actions: DataFrame, distinct: bool = False, approx: bool = False) -> DataFrame:
     """M2: per ISO week (Monday start). As in the original the default counts
     actions (``COUNT(user_id)``); ``distinct=True`` gives true weekly users."""
-    return _period_users(actions, "week", "wau", distinct)
+    return _period_users(actions, "week", "wau", distinct, approx)
 
 
-def mau(actions: DataFrame, distinct: bool = False) -> DataFrame:
+def mau(actions: DataFrame, distinct: bool = False, approx: bool = False) -> DataFrame:
     """M3: per calendar month, same convention as :func:`wau`."""
-    return _period_users(actions, "month", "mau", distinct)
+    return _period_users(actions, "month", "mau", distinct, approx)
 
 
-def daily_users(actions: DataFrame) -> DataFrame:
+def daily_users(actions: DataFrame, approx: bool = False) -> DataFrame:
     """M7: distinct users with any action per day."""
     return (actions.groupBy(action_date().alias("date"))
-            .agg(F.countDistinct("user_id").alias("users")))
+            .agg(distinct_users(approx).alias("users")))
 
 
 def daily_paying_users(actions: DataFrame, valid: DataFrame | None = None) -> DataFrame:

@@ -96,3 +96,11 @@ def test_label_codes_many_classes_path(spark, monkeypatch):
     monkeypatch.setattr(ranks, "MAX_LOCAL_CLASSES", 10)          # force the distributed path
     dist = dict(rows(ranks.dense_codes(df, "c", "code")))
     assert local == dist == {f"c{i:03d}": i for i in range(50)}
+
+
+def test_describe_approx_close_to_exact(items):
+    exact = {r["column"]: r for r in pf.describe(items, ["price", "height"]).collect()}
+    approx = {r["column"]: r for r in pf.describe(items, ["price", "height"], approx=True).collect()}
+    for c in ("price", "height"):
+        assert approx[c]["count"] == exact[c]["count"] and approx[c]["max"] == exact[c]["max"]
+        assert exact[c]["min"] <= approx[c]["p50"] <= exact[c]["max"]

@@ -100,3 +100,7 @@ def test_large_product_path_gives_same_sums(s, monkeypatch):
     assert big == small and rows(rev.daily_revenue(s)) == day_small
     assert rows(rev.arpu_daily(s)) == arpu_small
     assert rows(pro.gross_profit_report(s, min_orders=1, reduced=["A"])) == gpr_small
+
+
+def test_approx_distinct_users_option(s):
+    assert rows(eng.dau(s.user_actions, approx=True)) == rows(eng.dau(s.user_actions))
