@@ -36,3 +36,33 @@ FROM placed
 """
 
 ORACLE_SQL = {"op7_interleave": OP7}
+
+OP6 = r"""
+WITH RECURSIVE
+words AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN []
+                      WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3),
+                             lambda i: concat_ws(' ', w[i], w[i+1], w[i+2], w[i+3], w[i+4]))) END AS s
+  FROM words),
+classes AS (SELECT min(rid) AS c, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+grams AS (SELECT c, len(s) AS n, unnest(s) AS g FROM classes),
+links AS (
+  SELECT a.c AS x, b.c AS y FROM grams a JOIN grams b ON a.g = b.g AND a.c < b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT c, c FROM classes UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y),
+comp AS (SELECT x AS c, min(y) AS comp FROM reach GROUP BY x),
+member AS (SELECT s.doc_id, len(s.s) AS n, p.comp FROM sets s
+           LEFT JOIN classes k ON k.s = list_sort(s.s) LEFT JOIN comp p USING (c))
+SELECT doc_id, n::BIGINT AS n_shingles,
+       CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY comp) END AS component_id
+FROM member
+"""
+
+ORACLE_SQL["op6_partenum"] = OP6
