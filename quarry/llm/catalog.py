@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, interleave, partenum
+from quarry.llm import decontam, interleave, partenum, sparse_suffix
 from quarry.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return partenum.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document that passages of 50 words or more, found in another document, cover."""
+    return sparse_suffix.passages(read_table(spark, sf_dir, "documents"))

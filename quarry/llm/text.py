@@ -75,6 +75,16 @@ class Words:
         ok[: n - k + 1] = self.doc[: n - k + 1] == self.doc[k - 1:]
         return np.concatenate([h, np.zeros(k - 1, U)]), ok
 
+    def runs(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hash of the ``length`` words from each position of ``at`` (any length at the same cost)."""
+        n = len(self.hash)
+        with np.errstate(over="ignore"):
+            if not hasattr(self, "_sums"):
+                self._sums = np.zeros(n + 1, U)
+                np.cumsum(self.hash * _powers(n, _BASE), dtype=U, out=self._sums[1:])
+                self._back = _powers(n + 1, _BASE_INV)
+            return mix((self._sums[at + length] - self._sums[at]) * self._back[at] + U(length))
+
 
 def run_hash(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k neighbouring word hashes (len - k + 1 values)."""
