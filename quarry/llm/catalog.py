@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, interleave, partenum, sparse_suffix
-from quarry.llm.common import read_table
+from quarry.llm import decontam, interleave, langid, partenum, quality, sparse_suffix
+from quarry.llm.common import hash_fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -42,3 +42,21 @@ def op6_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document that passages of 50 words or more, found in another document, cover."""
     return sparse_suffix.passages(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned from four fifths of the labelled ones."""
+    docs = read_table(spark, sf_dir, "documents")
+    machine = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, machine).select(
+        "doc_id", (hash_fold("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from two thirds of the labelled ones."""
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs)).select(
+        "doc_id", (hash_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
