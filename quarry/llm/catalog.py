@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, interleave, langid, partenum, quality, sparse_suffix
+from quarry.llm import decontam, interleave, langid, partenum, quality, secrets, sparse_suffix
 from quarry.llm.common import hash_fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs)).select(
         "doc_id", (hash_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: spans of the fixed patterns and of the Markov models."""
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))

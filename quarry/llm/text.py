@@ -36,6 +36,20 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
         return np.cumprod(p, dtype=U)
 
 
+def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every maximal run of marked bytes; runs end with their document."""
+    n = len(inside)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    before = np.ones(n, bool)
+    before[1:] = ~inside[:-1]
+    after = np.ones(n, bool)
+    after[:-1] = ~inside[1:]
+    start = np.flatnonzero(inside & (before | edge[:n]))
+    end = np.flatnonzero(inside & (after | edge[1:])) + 1
+    return start, end, np.searchsorted(offsets[1:], start, side="right")
+
+
 class Words:
     """Words of a chunk: ``hash``, byte ``start``/``end`` and ``doc`` of each,
     and ``first`` with the index of each document's first word (n + 1 entries)."""
@@ -47,16 +61,7 @@ class Words:
         lower[65:91] += 32
         codes = mix((lower + 1).astype(U) * GRAM)
         n = len(data)
-        inside = ~sep[data]
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        before = np.ones(n, bool)
-        before[1:] = ~inside[:-1]
-        after = np.ones(n, bool)
-        after[:-1] = ~inside[1:]
-        self.start = np.flatnonzero(inside & (before | edge[:n]))
-        self.end = np.flatnonzero(inside & (after | edge[1:])) + 1
-        self.doc = np.searchsorted(offsets[1:], self.start, side="right")
+        self.start, self.end, self.doc = spans_of(~sep[data], offsets)
         self.first = np.searchsorted(self.doc, np.arange(len(offsets)))
         self.offsets = offsets
         with np.errstate(over="ignore"):
