@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, interleave, langid, partenum, quality, secrets, sparse_suffix
+from quarry.llm import backoff, decontam, interleave, langid, partenum, quality, secrets, sparse_suffix
 from quarry.llm.common import hash_fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: spans of the fixed patterns and of the Markov models."""
     docs = read_table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.train(docs))
+
+
+@query
+def op4_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff log score of every document under the bigram counts of all others."""
+    return backoff.scores(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_bigrams", F.round("log_score", 4).alias("log_score"),
+        F.round("mean_log", 6).alias("mean_log"))
