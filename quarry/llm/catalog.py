@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import backoff, decontam, interleave, langid, partenum, quality, secrets, sparse_suffix
+from quarry.llm import backoff, decontam, interleave, langid, partenum, pieces, quality, secrets, sparse_suffix
 from quarry.llm.common import hash_fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op4_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.scores(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_bigrams", F.round("log_score", 4).alias("log_score"),
         F.round("mean_log", 6).alias("mean_log"))
+
+
+@query
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document, and whether decoding gives its text back."""
+    return pieces.encode(read_table(spark, sf_dir, "documents"))
