@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import backoff, decontam, interleave, langid, partenum, pieces, quality, secrets, sparse_suffix
+from quarry.llm import backoff, decontam, interleave, itq, langid, partenum, pieces, quality, secrets, sparse_suffix
 from quarry.llm.common import hash_fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op4_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document, and whether decoding gives its text back."""
     return pieces.encode(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of each label (cosine 0.98 or more): links, component, and the one kept."""
+    return itq.near_duplicates(read_table(spark, sf_dir, "embeddings"))

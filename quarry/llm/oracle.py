@@ -96,3 +96,22 @@ FROM texts LEFT JOIN summed USING (rid)
 """
 
 ORACLE_SQL["op4_backoff"] = OP4
+
+OP1 = """
+WITH RECURSIVE
+vectors AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+good AS (
+  SELECT * FROM vectors WHERE label IS NOT NULL AND len(v) > 0
+  AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.rid AS x, b.rid AS y FROM good a JOIN good b ON a.label = b.label AND a.rid <> b.rid AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(x, y) AS (SELECT rid, rid FROM vectors UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.x = v.rid)::BIGINT AS n_links,
+       min(o.vec_id) AS component_id, v.vec_id IS NOT DISTINCT FROM min(o.vec_id) AS kept
+FROM vectors v JOIN reach r ON r.x = v.rid JOIN vectors o ON o.rid = r.y
+GROUP BY v.rid, v.vec_id
+"""
+
+ORACLE_SQL["op1_itq"] = OP1
