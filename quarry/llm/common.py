@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +80,38 @@ def _small_star(e: DataFrame) -> DataFrame:
     m = written(down.groupBy("u").agg(F.min("v").alias("m")), "minima")
     moved = down.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(m.select("u", F.col("m").alias("v"))).distinct()
+
+
+def deal(entries: DataFrame, bucket: list[str], member: str, size: int) -> DataFrame:
+    """Deal the members of each bucket (of two or more) to groups of about ``size``.
+
+    A bucket of n members has s = n / size sub-buckets; a member is sent to the
+    groups of its own sub-bucket with every other, so any two meet once (twice
+    never). Adds ``grp``, and ``side``: whether it belongs to the later
+    sub-bucket of the two; in a group with both sides only members of different
+    sides are to be compared.
+    """
+    counts = written(entries.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    return (entries.join(counts, bucket)
+            .withColumn("s", F.expr(f"cast((n + {size} - 1) div {size} as int)"))
+            .withColumn("q", F.pmod(F.xxhash64(member, *bucket), F.col("s")).cast("int"))
+            .withColumn("r", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+            .withColumn("grp", F.xxhash64(*bucket, F.least("q", "r"), F.greatest("q", "r")))
+            .withColumn("side", F.col("q") > F.col("r")).drop("n", "s", "q", "r"))
+
+
+def groups_of(batches, key: str = "grp"):
+    """Tables of the rows of each group, from batches sorted by group; a group may span batches."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column(key).to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if held and held[0].column(key)[0].as_py() != group[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, written
+from quarry.llm.common import components, deal, groups_of, written
 
 THRESHOLD = 0.98
 TABLES = 12
@@ -147,20 +147,9 @@ def _groups(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(n[at]), pa.array(root[at])], ["cls", "n", "root"])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = batch.column("grp").to_numpy()
-            cut = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if held and held[0].column("grp")[0].as_py() != group[a]:
-                    if (found := one(pa.Table.from_batches(held))) is not None:
-                        yield found
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held and (found := one(pa.Table.from_batches(held))) is not None:
-            yield found
+        for rows in groups_of(batches):
+            if (found := one(rows)) is not None:
+                yield found
     return run
 
 
@@ -184,15 +173,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     index = written(classes.mapInArrow(
         _index(models), "cls long, label string, weight long, keys array<int>, vec binary"), "index")
     entries = index.select("cls", "label", F.posexplode("keys").alias("tab", "key"))
-    bucket = ["label", "tab", "key"]
-    counts = written(entries.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    # a bucket of n vectors is dealt to s sub-buckets; a vector meets its own and every other
-    dealt = (entries.join(counts, bucket)
-             .withColumn("s", F.expr(f"cast((n + {GROUP} - 1) div {GROUP} as int)"))
-             .withColumn("q", F.expr("cast(pmod(xxhash64(cls, tab), s) as int)"))
-             .withColumn("r", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-             .select("cls", "tab", F.xxhash64("label", "tab", "key", F.least("q", "r"), F.greatest("q", "r")).alias("grp"),
-                     (F.col("q") > F.col("r")).alias("side")))
+    dealt = deal(entries, ["label", "tab", "key"], "cls", GROUP).drop("label", "key")
     groups = dealt.join(index.select("cls", "weight", "keys", "vec"), "cls").repartition("grp").sortWithinPartitions("grp")
     found = written(groups.mapInArrow(_groups(threshold), "cls long, n long, root long"), "found")
 

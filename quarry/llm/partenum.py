@@ -12,10 +12,11 @@ documents share hardly ever become a signature of their own. A set emits
 signatures for its own band and, if a partner can lie there, for the next one.
 
 Candidates are not paired within a signature: every set is compared to the
-smallest set id (the hub) under each of its signatures. Sets that are still in
-different components though they share a signature are compared afterwards, so
-no link between different components stays unseen. Candidates are verified on
-whole sets. Equal sets are one class and are never paired.
+smallest set id (the hub) under each of its signatures, then to the most central
+one. Sets that are still in different components though they share a signature
+are compared afterwards, in groups of bounded size, by the number of parts in
+which they agree, so no link between different components stays unseen.
+Candidates are verified on whole sets. Equal sets are one class and are never paired.
 
 Edge cases: texts of 1 to 4 words have one shingle, the whole sequence; null,
 empty and wordless texts have the empty set and link with nothing; repeated rows
@@ -31,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, small, written
+from quarry.llm.common import components, deal, groups_of, small, written
 from quarry.llm.text import Words, chunks, mix, run_hash, utf8
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # links: DEN * intersection >= NUM * union
 _SLOTS = 20
+GROUP = 2048  # classes of a sub-bucket, about
+ROUNDS = 2  # comparisons with the centre of a signature before all remaining pairs
 SEEN = 1 << 16  # classes of a task whose signatures are not repeated
 
 
@@ -78,6 +81,20 @@ def parts_of(band: int) -> int:
     return distance(top, top) + 1 + max(1, top // 16)
 
 
+def part_numbers(s: np.ndarray, scheme: int) -> np.ndarray:
+    """Part of each element of a set."""
+    parts = np.uint64(parts_of(scheme))
+    return ((mix(s ^ np.uint64(scheme + 1)) >> np.uint64(32)) * parts >> np.uint64(32)).astype(np.int64)
+
+
+def outline(s: np.ndarray, scheme: int) -> np.ndarray:
+    """One byte for each part of a scheme; sets that agree in a part agree in its byte."""
+    value = np.zeros(parts_of(scheme), np.uint64)
+    with np.errstate(over="ignore"):
+        np.add.at(value, part_numbers(s, scheme), mix(s))
+    return (mix(value) >> np.uint64(56)).astype(np.uint8)
+
+
 def signatures(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """PartEnum signatures that the set emits; ``hot``: level of each frequency slot."""
     n = len(s)
@@ -88,7 +105,7 @@ def signatures(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
         if k < 1 or (scheme > band and partner < 2 << band):
             continue
         parts = parts_of(scheme)
-        part = ((mix(s ^ np.uint64(scheme + 1)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        part = part_numbers(s, scheme)
         order = np.argsort(part, kind="stable")
         size = np.bincount(part, minlength=parts)
         used = np.flatnonzero(size)
@@ -194,12 +211,15 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok)], ["a", "b"])
 
 
+def _texts_of(names: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``cls, text`` of each named class: any one document stands for its class, its text gives the set again."""
+    chosen = written(sets.select("cls", "row").join(names, "cls").groupBy("cls").agg(F.min("row").alias("row")), "chosen")
+    return written(docs.join(small(chosen, 16), "row").groupBy("cls").agg(F.min("text").alias("text")), "texts")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the written ``pairs(a, b)`` of classes that link, by their whole sets."""
-    names = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    # any one document stands for its class: its text gives the set again
-    chosen = written(sets.select("cls", "row").join(names, "cls").groupBy("cls").agg(F.min("row").alias("row")), "chosen")
-    texts = written(docs.join(small(chosen, 16), "row").groupBy("cls").agg(F.min("text").alias("text")), "texts")
+    texts = _texts_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), docs, sets)
     joined = (pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
               .join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b"))
     return written(joined.mapInArrow(_verify, "a long, b long"), "links")
@@ -217,17 +237,79 @@ def class_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     # every class that shares a signature with another is in `pairs`
     met = written(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), "met")
     members = written(sigs.join(small(met, 8), "cls").select("cls", F.explode("sigs").alias("sig")).distinct(), "members")
-    comp = components(links)
-    placed = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "sig", "cls", F.coalesce("comp", "cls").alias("comp"))
-    split = written(placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                    .where("lo < hi").select("sig"), "split")
-    rest = written(placed.join(split, "sig"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = (x.join(y, F.expr("x.sig = y.sig and x.comp < y.comp"))
-              .select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
-              .join(pairs, ["a", "b"], "left_anti"))
-    return links.union(_linked(written(across, "across"), docs, sets))
+    for last in (False,) * ROUNDS + (True,):
+        rest = _unresolved(members, components(links))
+        more = _across(rest, docs, sets) if last else _to_centre(rest)
+        more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        links, pairs = links.union(_linked(more, docs, sets)), pairs.union(more)
+    return links
+
+
+def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Signatures whose classes lie in several components, with their classes."""
+    placed = written(members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "sig", "cls", F.coalesce("comp", "cls").alias("comp")), "placed")
+    split = written(placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+                    .where("lo < hi").select("sig", "n"), "split")
+    return written(placed.join(split, "sig"), "rest")
+
+
+def _to_centre(rest: DataFrame) -> DataFrame:
+    """Pairs of each class with the centre of its signatures: the class that shares
+    most signatures with most others, as the original of edited copies does."""
+    centre = written(rest.groupBy("cls").agg(F.sum("n").alias("shared"), F.min("comp").alias("comp")), "centre")
+    known = rest.select("sig", "cls").join(centre, "cls")
+    hub = written(known.groupBy("sig").agg(F.max(F.struct("shared", "cls", "comp")).alias("hub")), "hubs")
+    return (rest.join(hub, "sig").where("comp <> hub.comp")
+            .select(F.greatest("cls", "hub.cls").alias("a"), F.least("cls", "hub.cls").alias("b")).distinct())
+
+
+def _outlines(batches):
+    for batch in batches:
+        for part in chunks(batch):
+            sets = shingle_sets(Words(*utf8(part.column("text"))))
+            band = [len(s).bit_length() - 1 for s in sets]
+            yield pa.RecordBatch.from_arrays([
+                part.column("cls"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([outline(s, b).tobytes() for s, b in zip(sets, band, strict=True)], pa.binary()),
+                pa.array([outline(s, b + 1).tobytes() for s, b in zip(sets, band, strict=True)], pa.binary())],
+                ["cls", "size", "own", "next"])
+
+
+def _compare_outlines(batches):
+    """Pairs of a group, of different components, that agree in enough parts to link."""
+    for rows in groups_of(batches):
+        size, cls, comp = (rows[c].to_numpy() for c in ("size", "cls", "comp"))
+        side = rows["side"].to_numpy()
+        band = np.array([int(n).bit_length() - 1 for n in size])
+        own, after = rows["own"].to_pylist(), rows["next"].to_pylist()
+        for scheme in np.unique(band):
+            at = np.flatnonzero((band == scheme) | (band == scheme - 1))
+            lines = np.frombuffer(b"".join(own[i] if band[i] == scheme else after[i] for i in at), np.uint8).reshape(len(at), -1)
+            for x in np.flatnonzero(band[at] == scheme):
+                # partners below in order, or in the band before
+                y = np.flatnonzero((band[at] < scheme) | (np.arange(len(at)) < x))
+                y = y[comp[at[y]] != comp[at[x]]]
+                if side.any() and not side.all():
+                    y = y[side[at[y]] != side[at[x]]]
+                a, b = size[at[x]], size[at[y]]
+                y = y[(NUM * a <= DEN * b) & (NUM * b <= DEN * a)]
+                differ = (lines[y] != lines[x]).sum(axis=1)
+                y = at[y[differ <= (DEN - NUM) * (a + size[at[y]]) // (DEN + NUM)]]
+                if len(y):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(cls[at[x]], cls[y])),
+                                                      pa.array(np.minimum(cls[at[x]], cls[y]))], ["a", "b"])
+
+
+def _across(rest: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of classes of different components that share a signature and agree in enough parts.
+
+    Linked sets differ in at most H elements and so in at most H parts."""
+    texts = _texts_of(rest.select("cls").distinct(), docs, sets)
+    lines = written(texts.mapInArrow(_outlines, "cls long, size long, own binary, next binary"), "outlines")
+    dealt = deal(rest.select("sig", "cls", "comp"), ["sig"], "cls", GROUP)
+    return (dealt.join(lines, "cls").repartition("grp").sortWithinPartitions("grp")
+            .mapInArrow(_compare_outlines, "a long, b long").distinct())
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
