@@ -312,18 +312,48 @@ def _across(rest: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInArrow(_compare_outlines, "a long, b long").distinct())
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
-    # a row's name covers id and text: rows that repeat an id with another text stay apart
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "row", F.xxhash64("doc_id", "text"))
+def _placed(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, n_shingles, comp`` for every row of ``docs(doc_id, text, row)``; ``comp`` names the component."""
     hot = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))
-    sets = written(docs.mapInArrow(
+    sets = written(docs.select("doc_id", "row", "text").mapInArrow(
         _describe(hot), "doc_id long, row long, n_shingles long, cls long, sigs array<long>"), "sets")
     comp = written(components(class_links(docs, sets)), "classes")
-    placed = sets.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
+    return sets.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "doc_id", "row", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    # a row's name covers id and text: rows that repeat an id with another text stay apart
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
+        "row", F.xxhash64("doc_id", "text"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+    placed = _placed(_named(docs))
     least = written(placed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     return placed.join(least, "comp", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
         .alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component (the smallest id); empty sets all stay, all columns stay."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    placed = written(_placed(_named(docs)).where("n_shingles > 0").select("doc_id", "row", "comp"), "placed")
+    first = written(placed.groupBy("comp").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")), "first")
+    gone = written(placed.join(first, "comp").where("row <> first.row").select("row").distinct(), "gone")
+    again = written(placed.groupBy("row").count().where("count > 1").select("row"), "again")
+    marked = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+
+    def without(frame: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        return frame.join(small(rows.withColumnRenamed("row", name), 8), name, how)
+
+    kept = without(marked, gone, "left_anti")
+    if not again.isEmpty():  # rows that occur more than once
+        kept = without(kept, again, "left_anti").unionByName(
+            without(kept, again, "left_semi").dropDuplicates([name]))
+    return kept.select(docs.columns)
