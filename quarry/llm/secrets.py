@@ -44,6 +44,7 @@ ADDED = "markov"
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}=*")
 PER_CHAR = 1.0
 FLAT = 0.03
+LEAN = 1000
 PRIOR = 400
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -148,8 +149,11 @@ class Models:
                 c *= min(1.0, PRIOR * 32 / max(c.sum(), 1))
                 letters = list(ALPHABETS[k])
                 c += pair_counts(["".join(rng.choice(letters, 32)) for _ in range(PRIOR)])
+            # rare first characters lean on the frequencies of all, so that a key seen once teaches nothing;
             # a share of the uniform law bounds what one unseen pair can weigh, at every size of the corpus
-            log[k] = np.log((1 - FLAT) * c / np.maximum(c.sum(axis=1, keepdims=True), 1e-9) + FLAT / SIZE)
+            every = (c.sum(axis=0) + 1) / (c.sum() + SIZE)
+            c = (c + LEAN * every) / (c.sum(axis=1, keepdims=True) + LEAN)
+            log[k] = np.log((1 - FLAT) * c + FLAT / SIZE)
         self.word = log["word"]
         self.random = [log[k] for k in ALPHABETS]
 
