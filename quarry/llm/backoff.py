@@ -35,12 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
 from quarry.llm.text import Words, chunks, mix, utf8
 
 ALPHA = 0.4
-BLOCK = 8 << 20  # bytes of text in a block
-SLICE = 24 << 20  # bytes of text for each partition of the tables
+BLOCK = 6 << 20  # bytes of text in a block
+SLICE = 16 << 20  # bytes of text for each partition of the tables
 
 
 def name_of(part: pa.RecordBatch) -> int:
@@ -51,6 +50,16 @@ def name_of(part: pa.RecordBatch) -> int:
         return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def packed(n: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; the first byte says how many."""
+    size = np.min_scalar_type(int(n.max()) if len(n) else 0).itemsize
+    return bytes([size]) + n.astype(f"<u{size}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 class Block:
     """Words of a run of texts, and its unigrams and bigrams by hash."""
 
@@ -79,7 +88,7 @@ def _explode(parts: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(some), name_of(part))), pa.array(some.astype(np.int32)),
                     pa.array([b.grams[cut[p]:cut[p + 1]].tobytes() for p in some], pa.binary()),
-                    pa.array([b.counts[cut[p]:cut[p + 1]].astype(np.int32).tobytes() for p in some], pa.binary())],
+                    pa.array([packed(b.counts[cut[p]:cut[p + 1]]) for p in some], pa.binary())],
                     ["block", "slice", "grams", "counts"])
     return run
 
@@ -87,12 +96,12 @@ def _explode(parts: int):
 def _total(rows: pa.Table) -> pa.Table:
     """Totals of a table partition, in the order of each block's n-grams."""
     grams = [np.frombuffer(x.as_py(), np.uint64) for x in rows["grams"]]
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in rows["counts"]])
+    counts = np.concatenate([unpacked(x.as_py()) for x in rows["counts"]])
     _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
     cut = np.cumsum([0, *(len(g) for g in grams)])
     return pa.table({"block": rows["block"], "slice": rows["slice"],
-                     "totals": pa.array([total[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+                     "totals": pa.array([packed(total[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
 
 def _texts(batches):
@@ -145,7 +154,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     tables = docs.select("text", "row").mapInArrow(
         _explode(parts), "block long, slice int, grams binary, counts binary")
-    totals = written(tables.groupBy("slice").applyInArrow(_total, "block long, slice int, totals binary"), "totals")
+    totals = tables.groupBy("slice").applyInArrow(_total, "block long, slice int, totals binary")
     blocks = docs.mapInArrow(_texts, "block long, doc_id array<long>, row array<long>, text array<string>")
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -158,7 +167,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 raise ValueError("docs came in another order in its second read; write it to a table first")
             # equal runs of rows share a name, and so their totals
             _, order = np.unique(right["slice"].to_numpy(), return_index=True)
-            total = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(right["totals"][int(j)].as_py(), np.int64)
+            total = np.concatenate([np.zeros(0, np.int64), *(unpacked(right["totals"][int(j)].as_py())
                                                              for j in order)])
             found = score_block(b, total, n_words)
             found.insert(0, "doc_id", pd.array(left["doc_id"][i].as_py(), "Int64"))

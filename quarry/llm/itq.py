@@ -57,6 +57,8 @@ def learn(x: np.ndarray, dim: int, bits: int = TABLES * KEY_BITS, seed: int = 0)
     rng = np.random.default_rng([seed, dim])
     enough = len(x) >= 4 * dim
     mean = x.mean(axis=0) if enough else np.zeros(dim)
+    if mean @ mean > 0.5:
+        mean = np.zeros(dim)  # one narrow bundle: about its centre, the differences of near-duplicates would decide the bits
     axes = np.linalg.eigh(np.cov((x - mean).T.reshape(dim, -1)))[1] if enough and dim > 1 else np.eye(dim)
     v = (x - mean) @ axes
     blocks = []
