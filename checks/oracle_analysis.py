@@ -90,6 +90,8 @@ SELECT corr(price, v_furniture) AS r,
     "spearman_matrix": _spearman(MATRIX_1) + "\nSELECT * FROM m",
     "feature_selection": _spearman(MATRIX_2) + """
 SELECT col_b AS feature, rho FROM m WHERE col_a = 'price' AND col_b <> 'price' AND abs(rho) > 0.3""",
+    "feature_selection_sides": _spearman(["price", "s1", "s2", "s3"]) + """
+SELECT col_b AS feature, rho FROM m WHERE col_a = 'price' AND col_b <> 'price' AND abs(rho) > 0.5""",
     "features": ML + "\nSELECT * FROM ml",
     "hash_split": ML + f"\nSELECT item_id, {SPLIT.format(id='item_id')} AS split FROM ml",
     "knn_classify": EMB + _nbs(3) + f"\nSELECT * FROM {_vote(3)}",

@@ -126,6 +126,12 @@ FROM items WHERE price IS NOT NULL GROUP BY 1, 2""",
 c AS (SELECT price, {CLEAN} AS old_price FROM items)
 SELECT regr_slope(old_price, price) AS slope, regr_intercept(old_price, price) AS intercept,
        regr_r2(old_price, price) AS r2, regr_count(old_price, price) AS n FROM c""",
+    "binned_means": ITEMS + f""",
+c AS (SELECT CAST(price AS DOUBLE) AS x, CAST({CLEAN} AS DOUBLE) AS y FROM items),
+p AS (SELECT x, y, min(x) OVER () AS lo, max(x) OVER () AS hi FROM c WHERE x IS NOT NULL AND y IS NOT NULL)
+SELECT CAST(least(coalesce(floor((x - lo) * 10 / nullif(hi - lo, 0)), 0), 9) AS INTEGER) AS bin,
+       round(avg(x), 4) AS mean_x, round(avg(y), 4) AS mean_y, count(*) AS n
+FROM p GROUP BY 1""",
     "bar_ci": ITEMS + """
 SELECT other_colors, avg(price) AS mean,
        avg(price) - 1.96 * stddev_samp(price) / sqrt(count(price)) AS ci_low,

@@ -4,9 +4,8 @@ PART_YEAR = "least(greatest(year(o_orderdate), 1995), 2000)"
 
 SQL = {
     "duplicate_rows": """
-SELECT d.doc_id, d.lang, d.source, d.n_chars, md5(d.text) AS text_md5
-FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1) s1
-JOIN documents d ON d.text = s1.text""",
+SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5
+FROM documents WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY text) > 1""",
     "duplicate_count": """
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates
 FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source, n_chars) t""",
@@ -37,6 +36,9 @@ SELECT {PART_YEAR} AS part_year, count(*) AS rows FROM orders GROUP BY 1""",
     "partitioned_roundtrip": f"""
 SELECT o_orderkey, o_custkey, o_orderdate, CAST({PART_YEAR} AS INTEGER) AS part_year
 FROM orders""",
+    "partitions_read": f"""
+SELECT DISTINCT CAST({PART_YEAR} AS INTEGER) AS part_year FROM orders
+WHERE o_orderdate BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'""",
     "pruned_read": f"""
 SELECT o_orderkey, o_orderdate, CAST({PART_YEAR} AS INTEGER) AS part_year
 FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'""",

@@ -16,6 +16,7 @@ from quarry.sources import tables as tb
 
 MATRIX_1 = ["price", "discount", "depth", "height", "width", "v_furniture",
             "other_category_le", "other_colors_le"]
+SIDE_AREAS = ["price", "s1", "s2", "s3"]  # side areas, chosen at 0.5
 MATRIX_2 = ["price", "depth", "height", "width", "v_furniture", "s3", "s2", "s1"]
 DIM = 64
 
@@ -77,6 +78,11 @@ def q_feature_selection(spark, sf):
     return st.feature_selection(st.spearman_matrix(prepared(spark, sf), MATRIX_2), "price", 0.3)
 
 
+@query("feature_selection_sides")
+def q_feature_selection_sides(spark, sf):
+    return st.feature_selection(st.spearman_matrix(prepared(spark, sf), SIDE_AREAS), "price", 0.5)
+
+
 @query("test_decision")
 def q_test_decision(spark, sf):
     items = tb.items(spark, sf)

@@ -174,6 +174,12 @@ def q_regression_line(spark, sf):
     return ch.regression_line(cl.clean_old_price(_items(spark, sf)), "old_price", "price")
 
 
+@query("binned_means")
+def q_binned_means(spark, sf):
+    means = ch.binned_means(cl.clean_old_price(_items(spark, sf)), "old_price", "price")
+    return means.select("bin", F.round("mean_x", 4).alias("mean_x"), F.round("mean_y", 4).alias("mean_y"), "n")
+
+
 @query("bar_ci")
 def q_bar_ci(spark, sf):
     return ch.bar_ci(_items(spark, sf), "other_colors", "price")

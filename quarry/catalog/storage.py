@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.catalog.base import query
 from quarry.plans import quality as qa
+from quarry.session import cut_lineage
 from quarry.sources import files as fs
 from quarry.sources import tables as tb
 
@@ -77,6 +78,15 @@ def q_pruned_read(spark, sf):
     return rows.select("o_orderkey", "o_orderdate", F.col("part_year").cast("int").alias("part_year"))
 
 
+@query("partitions_read")
+def q_partitions_read(spark, sf):
+    path = _partitioned_orders(spark, sf)
+    rows = fs.read_date_range(spark, path, "o_orderdate", "1997-01-01", "1997-12-31",
+                              FIRST_UPPER, LAST_LOWER)
+    year = F.regexp_extract("file", "part_year=([0-9]+)", 1).cast("int").alias("part_year")
+    return fs.partitions_read(rows).select(year).distinct()
+
+
 @query("point_lookup")
 def q_point_lookup(spark, sf):
     return fs.point_lookup(tb.table(spark, sf, "customer"), "c_name", "Customer#000000005")
@@ -91,7 +101,10 @@ def q_typed_table_append(spark, sf):
     sup = tb.table(spark, sf, "supplier")
     fs.append_rows(spark, name, sup.select("s_suppkey", "s_name",
                                            F.col("s_nationkey").cast("string"), "s_acctbal"))
-    return spark.table(name)
+    rows = spark.table(name).select("*")
+    out = cut_lineage(rows)
+    spark.sql(f"DROP TABLE {name}")  # the catalog is left as it was
+    return out
 
 
 @query("csv_roundtrip")

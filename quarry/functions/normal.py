@@ -2,9 +2,8 @@
 
 ``norm_ppf`` is the rational approximation of Wichura (1988, Applied
 Statistics algorithm AS 241, about 16 digits), evaluated with native
-expressions so it runs inside whole-stage code generation. ``norm_sf`` is
-for one-row results only (Spark has no ``erfc``): a Python UDF on the final
-aggregate row.
+expressions so it runs inside whole-stage code generation; so is ``norm_sf``
+(Spark has no ``erfc``).
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 # AS 241 coefficients (numerator a, denominator b for the
 # central region; c/d for the intermediate tail; e/f for the far tail),
@@ -38,6 +36,10 @@ G = (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818
      0.59983220655588793769, 1.0)
 
 
+SERIES_TERMS = 40
+FRACTION_TERMS = 60
+
+
 def _horner(coefs, x: Column) -> Column:
     acc = F.lit(coefs[0])
     for c in coefs[1:]:
@@ -60,11 +62,17 @@ def norm_ppf(p) -> Column:
     return F.when(F.abs(q) <= 0.425, central).otherwise(signed)
 
 
-def _sf(z):
-    if z is None or (isinstance(z, float) and math.isnan(z)):
-        return None
-    return 0.5 * math.erfc(z / math.sqrt(2.0))
-
-
-norm_sf = F.udf(_sf, DoubleType())
-norm_sf.__doc__ = "Upper tail 1 - Phi(z); use on one-row results only."
+def norm_sf(z) -> Column:
+    """Upper tail 1 - Phi(z), native: the power series of Phi up to |z| = 3, the
+    continued fraction of the tail beyond; about 14 digits. NULL and NaN give NULL."""
+    z = F.col(z) if isinstance(z, str) else z
+    x = F.abs(z)
+    density = F.exp(-x * x / 2) / F.lit(math.sqrt(2 * math.pi))
+    series = F.lit(1.0)
+    for k in range(SERIES_TERMS, 0, -1):
+        series = F.lit(1.0) + x * x / F.lit(2.0 * k + 1) * series
+    fraction = x
+    for k in range(FRACTION_TERMS, 0, -1):
+        fraction = x + F.lit(float(k)) / fraction
+    tail = F.when(x <= 3, F.lit(0.5) - density * x * series).otherwise(F.try_divide(density, fraction))
+    return F.when(z.isNotNull() & ~F.isnan(z), F.when(z < 0, F.lit(1.0) - tail).otherwise(tail))

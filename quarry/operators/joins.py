@@ -16,7 +16,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
         return int(str(stats.sizeInBytes()))
-    except Exception:  # Spark Connect or a plan without statistics
+    except AttributeError:  # Spark Connect has no local plan
         return None
 
 

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.joins import broadcast_if_rows
+
 from quarry.operators.joins import sized_broadcast
 
 MIN_BUCKETS = 64
@@ -41,7 +43,6 @@ BOUNDARY_SEED = 17
 GRID = 256                  # quantiles taken in the sizing pass
 ROWS_PER_BUCKET = 2_000_000  # bound on the rows (hence distinct values) of one bucket
 CASE_LIMIT = 64             # up to this many boundaries a literal CASE, else binary search
-MAX_LOCAL_CLASSES = 100_000  # label codes numbered on the driver up to this many classes
 
 
 def _boundaries(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
@@ -54,11 +55,8 @@ def _boundaries(df: DataFrame, value: str, buckets: int | None = None) -> list[f
     second, finer pass is made."""
     sample = df.sample(withReplacement=False, fraction=BOUNDARY_SAMPLE, seed=BOUNDARY_SEED)
     probs = [i / GRID for i in range(1, GRID)]
-    try:
-        row = sample.agg(F.count(F.lit(1)).alias("n"),
-                         F.percentile_approx(value, probs, 4 * GRID).alias("q")).first()
-    except Exception:  # empty frame or all-null column
-        return []
+    row = sample.agg(F.count(F.lit(1)).alias("n"),
+                     F.percentile_approx(value, probs, 4 * GRID).alias("q")).first()
     if row is None or not row["n"] or row["q"] is None:
         return []
     est_rows = row["n"] / BOUNDARY_SAMPLE
@@ -151,23 +149,11 @@ def median(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
 
 
 def dense_codes(df: DataFrame, col: str, name: str = "code") -> DataFrame:
-    """0-based code of each distinct non-null value in ascending order
-    (label encoding). Same bucketing idea on the distinct values."""
+    """0-based code of each distinct non-null value in ascending order (label
+    encoding): the global row index of the sorted distinct values, whatever
+    their type and number (range-partitioned, no single-task window)."""
+    from quarry.sources.files import with_row_index
+
     distinct = df.where(F.col(col).isNotNull()).select(col).distinct()
-    # a label column usually has few classes: fetch at most MAX_LOCAL_CLASSES + 1
-    # of them (a bounded collect) and number them locally, as a string indexer does
-    few = distinct.limit(MAX_LOCAL_CLASSES + 1).collect()
-    if len(few) <= MAX_LOCAL_CLASSES:
-        classes = sorted(r[0] for r in few)   # code-point order = Spark's UTF-8 byte order
-        dtype = dict(distinct.dtypes)[col]
-        return F.broadcast(df.sparkSession.createDataFrame(
-            [(c, i) for i, c in enumerate(classes)], f"`{col}` {dtype}, `{name}` int"))
-    if dict(distinct.dtypes)[col] in ("string",):
-        # many string classes: the global row index of the sorted distinct
-        # values (range-partitioned, no single-task window)
-        from quarry.sources.files import with_row_index
-
-        return with_row_index(distinct, [col], "__code").select(
-            col, F.col("__code").cast("int").alias(name))
-    pos = value_positions(distinct.withColumnRenamed(col, "__v"), "__v")
-    return pos.select(F.col("x").alias(col), F.col("start").cast("int").alias(name))
+    return broadcast_if_rows(with_row_index(distinct, [col], "__code").select(
+        col, F.col("__code").cast("int").alias(name)))

@@ -81,6 +81,17 @@ def regression_line(df: DataFrame, y: str, x: str) -> DataFrame:
                   F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))
 
 
+def binned_means(df: DataFrame, y: str, x: str, bins: int = 10) -> DataFrame:
+    """Mean of ``y`` and pair count in equal-width bins of ``x`` (drawn beside the line).
+    Pairs with a NULL are left out; a constant ``x`` has one bin."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ends = one_row(pairs.agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
+    place = F.coalesce(F.floor(F.try_divide((F.col("x") - F.col("lo")) * bins, F.col("hi") - F.col("lo"))), F.lit(0))
+    return (pairs.crossJoin(ends).withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
+            .groupBy("bin").agg(F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.count("*").alias("n")))
+
+
 def bar_ci(df: DataFrame, by: str, col: str, z: float = 1.96) -> DataFrame:
     """C4: mean per group with a normal 95 % interval (the plotting library
     bootstraps; a normal interval is used instead)."""

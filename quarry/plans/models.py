@@ -62,26 +62,27 @@ def metrics(pred: DataFrame, name: str, label: str = "label",
     s = pred.agg(F.avg((y - p) ** 2).alias("mse"), F.var_pop(y).alias("var"),
                  F.count(F.lit(1)).alias("n"))
     return s.select(F.lit(name).alias("model"), F.sqrt("mse").alias("rmse"),
-                    (F.lit(1.0) - F.col("mse") / F.col("var")).alias("r2"), "n")
+                    (F.lit(1.0) - F.try_divide("mse", "var")).alias("r2"), "n")
 
 
 ESTIMATORS = {
-    "linear": lambda: LinearRegression(featuresCol="features", labelCol="label", solver="normal"),
-    "tree": lambda: DecisionTreeRegressor(featuresCol="features", labelCol="label", seed=SEED,
-                                          maxDepth=10),
-    "forest": lambda: RandomForestRegressor(featuresCol="features", labelCol="label", seed=SEED,
-                                            numTrees=20, maxDepth=10),
-    "gbt": lambda: GBTRegressor(featuresCol="features", labelCol="label", seed=SEED,
-                                maxIter=20, maxDepth=5),
+    "linear": lambda **p: LinearRegression(featuresCol="features", labelCol="label", solver="normal", **p),
+    "tree": lambda **p: DecisionTreeRegressor(featuresCol="features", labelCol="label", seed=SEED, **p),
+    "forest": lambda **p: RandomForestRegressor(featuresCol="features", labelCol="label", seed=SEED, **p),
+    "gbt": lambda **p: GBTRegressor(featuresCol="features", labelCol="label", seed=SEED, **p),
 }
+# Sizes of the original analyses (30 is MLlib's greatest depth, the original has no bound).
+SIZES = {"linear": {}, "tree": {"maxDepth": 30}, "forest": {"numTrees": 100, "maxDepth": 30},
+         "gbt": {"maxIter": 100, "maxDepth": 3}}
 
 
-def fit_predict(split: DataFrame, kind: str, features=FEATURES) -> DataFrame:
-    """Fit one MLlib regressor on the train rows, predict the test rows."""
+def fit_predict(split: DataFrame, kind: str, features=FEATURES, **params) -> DataFrame:
+    """Fit one MLlib regressor on the train rows, predict the test rows;
+    ``params`` replace sizes of ``SIZES``."""
     data = assemble(cut_lineage(split), features)
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
-    model = ESTIMATORS[kind]().fit(train)
+    model = ESTIMATORS[kind](**{**SIZES[kind], **params}).fit(train)
     return model.transform(test)
 
 
@@ -90,15 +91,17 @@ def fourier_features(df: DataFrame, features=FEATURES, d: int = 40, gamma: float
     """Random Fourier features approximating an RBF kernel
     ``exp(-gamma |x - y|^2)`` on standardised inputs (default gamma = 1 /
     n_features, the usual RBF default). Means and deviations are one
-    broadcast row; the ``d`` projections are literals in the plan."""
+    broadcast row of the train rows, if a column ``split`` tells them; the ``d`` projections are literals in the plan."""
     k = len(features)
     gamma = gamma if gamma is not None else 1.0 / k
     rng = np.random.default_rng(seed)
     omega = rng.normal(0.0, math.sqrt(2 * gamma), size=(d, k))
     phase = rng.uniform(0.0, 2 * math.pi, size=d)
-    stats = one_row(df.agg(*[F.avg(c).alias(f"__m_{c}") for c in features],
-                           *[F.stddev_pop(c).alias(f"__s_{c}") for c in features]))
-    z = {c: (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}") for c in features}
+    fitted = df.where(F.col("split") == "train") if "split" in df.columns else df
+    stats = one_row(fitted.agg(*[F.avg(c).alias(f"__m_{c}") for c in features],
+                               *[F.stddev_pop(c).alias(f"__s_{c}") for c in features]))
+    # a constant feature tells nothing
+    z = {c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}")), F.lit(0.0)) for c in features}
     scale = math.sqrt(2.0 / d)
     names = [f"rff_{j}" for j in range(d)]
     cols = []
@@ -174,6 +177,8 @@ def neighbours(train: DataFrame, test: DataFrame, k: int,
     fits a task.
     """
     train, test = cut_lineage(train), cut_lineage(test)
+    if not test.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("query ids must be unique: neighbours are ranked per id")
     nb = max(1, math.ceil(train.count() / block_rows))
     nq = max(1, math.ceil(test.count() / block_rows))
     # distinct column names on the two sides: both may derive from one frame,

@@ -101,7 +101,7 @@ def gross_profit_report(shop: Shop, min_orders: int = 5, reduced=REDUCED_VAT_NAM
     w = Window.orderBy("date")
     day = daily_costs(shop, min_orders, reduced, tariffs)
     gross = F.col("revenue") - F.col("costs") - F.col("tax")
-    t8 = day.select(
+    running = day.select(
         "date", "revenue", "costs", "tax", gross.alias("gross_profit"),
         F.sum("revenue").over(w).alias("total_revenue"),
         F.sum("costs").over(w).alias("total_costs"),
@@ -109,7 +109,7 @@ def gross_profit_report(shop: Shop, min_orders: int = 5, reduced=REDUCED_VAT_NAM
         F.sum(gross).over(w).alias("total_gross_profit"))
     money = ["revenue", "costs", "tax", "gross_profit", "total_revenue",
              "total_costs", "total_tax", "total_gross_profit"]
-    return t8.select(
+    return running.select(
         "date", *[money_out(c).alias(c) for c in money],
         pct("gross_profit", "revenue").alias("gross_profit_ratio"),
         pct("total_gross_profit", "total_revenue").alias("total_gross_profit_ratio"))

@@ -4,6 +4,8 @@ aggregates; only the final p-value of that single row leaves the JVM."""
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -26,9 +28,13 @@ def _poly(coefs, x):
 
 
 # Fixed values of Royston's (1992/1995, AS R94) approximation: weights of the
-# two extreme order statistics, and mean / log-sd of log(1 - W) for n >= 12.
+# two extreme order statistics, mean / log-sd of -log(gamma - log(1 - W)) for
+# n = 4 to 11, and of log(1 - W) for n >= 12.
 C1 = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
 C2 = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+C3 = (0.544, -0.39978, 0.025054, -6.714e-4)
+C4 = (1.3822, -0.77857, 0.062767, -0.0020322)
+G_SMALL = (-2.273, 0.459)
 C5 = (-1.5861, -0.31082, -0.083751, 0.0038915)
 C6 = (-0.4803, -0.082676, 0.0030302)
 
@@ -47,36 +53,46 @@ def ordinal_positions(df: DataFrame, value: str) -> DataFrame:
 
 
 def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
-    """Shapiro-Wilk W and p (Royston's approximation; p for n >= 12, and
-    published as accurate up to n = 5000). One row: ``n, w, p``."""
+    """Shapiro-Wilk W and p. One row: ``n, w, p``.
+
+    Royston's approximation with its branches for n = 3 (exact), up to 5 (one
+    adjusted weight), 4 to 11 and from 12 on; published as accurate up to
+    n = 5000. Fewer than three values, or constant ones, have NULL w and p."""
     pos = ordinal_positions(df, value)
-    n = F.col("n").cast("double")
+    n, size = F.col("n").cast("double"), F.col("n")
     m = norm_ppf((F.col("i") - 0.375) / (n + 0.25))
     i = F.col("i")
-    edge = (i <= 2) | (i >= F.col("n") - 1)
+    inner = (i > F.when(size <= 5, 1).otherwise(2)) & (i <= size - F.when(size <= 5, 1).otherwise(2))
     agg = pos.groupBy("n").agg(
         F.sum(m * m).alias("S"),
-        F.sum(F.when(~edge, m * F.col("x"))).alias("M"),
+        F.sum(F.when(inner, m * F.col("x"))).alias("M"),
         F.max(F.when(i == 1, F.col("x"))).alias("x1"),
         F.max(F.when(i == 2, F.col("x"))).alias("x2"),
-        F.max(F.when(i == F.col("n") - 1, F.col("x"))).alias("xn1"),
-        F.max(F.when(i == F.col("n"), F.col("x"))).alias("xn"),
-        F.max(F.when(i == F.col("n"), m)).alias("mn"),
-        F.max(F.when(i == F.col("n") - 1, m)).alias("mn1"),
-        (F.var_samp("x") * (F.count("x") - 1)).alias("SS"))
+        F.max(F.when(i == size - 1, F.col("x"))).alias("xn1"),
+        F.max(F.when(i == size, F.col("x"))).alias("xn"),
+        F.max(F.when(i == size, m)).alias("mn"),
+        F.max(F.when(i == size - 1, m)).alias("mn1"),
+        F.when(F.min("x") < F.max("x"), F.var_samp("x") * (F.count("x") - 1)).alias("SS"))
     r = F.lit(1.0) / F.sqrt(n)
-    an = F.col("mn") / F.sqrt("S") + _poly(C1, r)
-    an1 = F.col("mn1") / F.sqrt("S") + _poly(C2, r)
-    fac = F.sqrt((F.col("S") - 2 * F.col("mn") ** 2 - 2 * F.col("mn1") ** 2)
-                 / (1 - 2 * an ** 2 - 2 * an1 ** 2))
-    ax = (F.coalesce(F.col("M"), F.lit(0.0)) / fac
+    an = F.try_divide(F.col("mn"), F.sqrt("S")) + _poly(C1, r)
+    an1 = F.when(size > 5, F.try_divide(F.col("mn1"), F.sqrt("S")) + _poly(C2, r)).otherwise(0.0)
+    pair = F.when(size > 5, F.col("mn1")).otherwise(0.0)
+    fac = F.sqrt(F.try_divide(F.col("S") - 2 * F.col("mn") ** 2 - 2 * pair ** 2, 1 - 2 * an ** 2 - 2 * an1 ** 2))
+    ax = (F.coalesce(F.try_divide(F.col("M"), fac), F.lit(0.0))
           + an * (F.col("xn") - F.col("x1")) + an1 * (F.col("xn1") - F.col("x2")))
-    w = F.least(F.lit(1.0), ax * ax / F.col("SS"))
+    ax = F.when(size == 3, F.lit(0.5 ** 0.5) * (F.col("xn") - F.col("x1"))).otherwise(ax)
+    raw = F.when(size >= 3, F.try_divide(ax * ax, F.col("SS")))
+    # least() would take a NaN for a perfect W
+    w = F.when(raw.isNotNull() & ~F.isnan(raw), F.least(F.lit(1.0), raw))
     ln = F.log(n)
-    mu, sigma = _poly(C5, ln), F.exp(_poly(C6, ln))
-    z = (F.log(F.lit(1.0) - F.col("w")) - mu) / sigma
-    res = agg.select(F.col("n").cast("bigint").alias("n"), w.alias("w"))
-    return res.select("n", "w", F.when(F.col("n") >= 12, norm_sf(z)).alias("p"))
+    y = F.log(F.greatest(F.lit(1.0) - F.col("w"), F.lit(1e-300)))
+    gamma = _poly(G_SMALL, n)
+    z = (F.when(size >= 12, (y - _poly(C5, ln)) / F.exp(_poly(C6, ln)))
+         .when(y < gamma, (-F.log(gamma - y) - _poly(C3, n)) / F.exp(_poly(C4, n))))
+    exact = F.greatest(F.lit(0.0), F.lit(6 / math.pi) * (F.asin(F.sqrt("w")) - F.lit(math.asin(0.75 ** 0.5))))
+    res = agg.select(F.col("n").cast("bigint").alias("n"), w.alias("w")).withColumn("z", z)
+    p = F.when(size == 3, exact).when((size < 12) & (y >= gamma), 0.0).otherwise(norm_sf("z"))
+    return res.select("n", "w", F.when(F.col("w").isNotNull(), p).alias("p"))
 
 
 def mann_whitney_u(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
@@ -96,8 +112,10 @@ def mann_whitney_u(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     n2 = nn - n1
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     u2 = n1 * n2 - u1
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((nn + 1) - F.col("ties") / (nn * (nn - 1))))
-    z = (F.greatest(u1, u2) - n1 * n2 / 2.0 - 0.5) / sigma
+    sigma = F.sqrt(n1 * n2 / 12.0 * ((nn + 1) - F.try_divide(F.col("ties"), nn * (nn - 1))))
+    # values that are all equal tell nothing: z = 0
+    z = F.when((n1 > 0) & (n2 > 0), F.coalesce(
+        F.try_divide(F.greatest(u1, u2) - n1 * n2 / 2.0 - 0.5, sigma), F.lit(0.0)))
     return s.select(F.col("n1").cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"),
                     u1.alias("u1"), u2.alias("u2"), z.alias("z"))
 

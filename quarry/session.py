@@ -60,8 +60,9 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (tests,
-    local runs) a fresh scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir``; only when the session has none and runs
+    in this process alone (tests, local runs) a fresh scratch folder is created
+    and registered. On a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     registered = sc.getCheckpointDir()
@@ -70,6 +71,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not registered:
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="quarry-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     try:

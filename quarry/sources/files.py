@@ -107,7 +107,7 @@ def write_year_partitioned(df: DataFrame, path: str, date_col: str,
     sized from Catalyst's size estimate (about ``FILE_BYTES`` per file)."""
     if salts is None:
         size = estimated_bytes(df)
-        salts = 1 if not size else max(1, min(1024, -(-size // FILE_BYTES)))
+        salts = 1 if not size else max(1, -(-size // FILE_BYTES))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
     (df.withColumn(part_col, year_range_bucket(date_col, first_upper, last_lower))
        .repartition(part_col, salt)

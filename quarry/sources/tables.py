@@ -143,8 +143,8 @@ def bind_items(lineitem: DataFrame, part: DataFrame) -> DataFrame:
                                       F.lit("/4 pack")))
            .otherwise(F.concat(F.lit("SR "), F.floor(price).cast("string"))))
     return j.select(
-        (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 8 + F.col("l_linenumber"))
-        .alias("item_id"),
+        # one order has at most seven lines: the key of a line is unique
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item_id"),
         F.col("p_name").alias("name"),
         F.col("p_type").alias("category"),
         price.alias("price"),

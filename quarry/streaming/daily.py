@@ -2,8 +2,9 @@
 
 The batch definition (``plans.engagement.dau``) counts distinct users per
 calendar day. In Structured Streaming a distinct count is kept as state: the
-first action of each (user, day) passes a watermark-bounded de-duplication,
-and a one-day event-time window counts those first actions. Rows arrive in
+first action of each (user, one-day event-time window) passes a
+de-duplication whose state lives until the watermark passes the window, and
+those first actions are counted per window. Rows arrive in
 the sink once the watermark has passed the end of their day (append mode),
 so each day is written exactly once; actions later than ``lateness`` are
 dropped, which is the price of bounded state.
@@ -21,11 +22,11 @@ def dau_stream(actions: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Streaming DAU: ``(dt, dau)`` rows, one per finished day."""
     firsts = (actions.withColumn("time", F.col("time").cast("timestamp"))
               .withWatermark("time", lateness)
-              .withColumn("dt", F.to_date("time"))
-              .dropDuplicatesWithinWatermark(["user_id", "dt"]))
-    return (firsts.groupBy(F.window("time", "1 day"))
+              .select("user_id", F.window("time", "1 day").alias("day"))
+              .dropDuplicates(["user_id", "day"]))
+    return (firsts.groupBy("day")
             .agg(F.count(F.lit(1)).alias("dau"))
-            .select(F.to_date(F.col("window.start")).alias("dt"), "dau"))
+            .select(F.to_date(F.col("day.start")).alias("dt"), "dau"))
 
 
 def run_dau(spark: SparkSession, source: str, sink: str, checkpoint: str,

@@ -89,13 +89,14 @@ def test_group_stats_and_extremes(items):
     assert sh == {"No": 50.0, "Yes": 50.0}
 
 
-def test_label_codes_many_classes_path(spark, monkeypatch):
+def test_label_codes_of_every_type(spark):
     from quarry.operators import ranks
-    df = spark.createDataFrame([(f"c{i:03d}",) for i in range(50)] * 2, "c string")
-    local = dict(rows(ranks.dense_codes(df, "c", "code")))
-    monkeypatch.setattr(ranks, "MAX_LOCAL_CLASSES", 10)          # force the distributed path
-    dist = dict(rows(ranks.dense_codes(df, "c", "code")))
-    assert local == dist == {f"c{i:03d}": i for i in range(50)}
+    for kind, values in (("string", "format_string('c%03d', id)"), ("bigint", "id + 1152921504606846976"), ("date", "date_add(date '2020-01-01', int(id))"),
+                         ("boolean", "id % 2 = 1"), ("decimal(20,3)", "cast(id / 8 as decimal(20,3))")):
+        df = spark.range(50).union(spark.range(50)).selectExpr(f"cast({values} as {kind}) as c")
+        got = dict(rows(ranks.dense_codes(df, "c", "code")))
+        want = sorted({r[0] for r in df.collect()})
+        assert got == {v: i for i, v in enumerate(want)}, kind
 
 
 def test_describe_approx_close_to_exact(items):
