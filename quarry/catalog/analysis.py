@@ -16,6 +16,7 @@ from quarry.sources import tables as tb
 
 MATRIX_1 = ["price", "discount", "depth", "height", "width", "v_furniture",
             "other_category_le", "other_colors_le"]
+DEPTHS = {"forest": {"maxDepth": 10}}  # the registered forest; the library default has no such bound
 SIDE_AREAS = ["price", "s1", "s2", "s3"]  # side areas, chosen at 0.5
 MATRIX_2 = ["price", "depth", "height", "width", "v_furniture", "s3", "s2", "s1"]
 DIM = 64
@@ -155,7 +156,7 @@ def q_knn_regress(spark, sf):
 
 def _model(kind):
     def run(spark, sf):
-        return ml.metrics(ml.fit_predict(split_items(spark, sf), kind), kind)
+        return ml.metrics(ml.fit_predict(split_items(spark, sf), kind, **DEPTHS.get(kind, {})), kind)
     return run
 
 
@@ -172,7 +173,7 @@ def q_kernel_rff(spark, sf):
 @query("model_comparison")
 def q_model_comparison(spark, sf):
     split = split_items(spark, sf).cache()
-    parts = [ml.metrics(ml.fit_predict(split, k), k) for k in ("linear", "tree", "forest", "gbt")]
+    parts = [ml.metrics(ml.fit_predict(split, k, **DEPTHS.get(k, {})), k) for k in ("linear", "tree", "forest", "gbt")]
     parts.append(ml.metrics(ml.kernel_predict(split), "kernel_rff"))
     parts.append(ml.metrics(knn_regression(spark, sf), "knn"))
     return reduce(DataFrame.unionByName, parts).orderBy("rmse")
