@@ -39,7 +39,7 @@ SHINGLE = 5
 NUM, DEN = 80, 100  # links: DEN * intersection >= NUM * union
 _SLOTS = 20
 GROUP = 2048  # classes of a sub-bucket, about
-ROUNDS = 2  # comparisons with the centre of a signature before all remaining pairs
+ROUNDS = 1  # comparisons with the centre of a signature before all remaining pairs
 SEEN = 1 << 16  # classes of a task whose signatures are not repeated
 
 
