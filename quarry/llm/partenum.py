@@ -236,9 +236,9 @@ def class_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     # every class that shares a signature with another is in `pairs`
     met = written(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), "met")
-    members = written(sigs.join(small(met, 8), "cls").select("cls", F.explode("sigs").alias("sig")).distinct(), "members")
+    rest = sigs.join(small(met, 8), "cls").select(F.explode("sigs").alias("sig"), "cls")
     for last in (False,) * ROUNDS + (True,):
-        rest = _unresolved(members, components(links))
+        rest = _unresolved(rest, written(components(links), "components"))
         more = _across(rest, docs, sets) if last else _to_centre(rest)
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
         links, pairs = links.union(_linked(more, docs, sets)), pairs.union(more)
@@ -246,19 +246,23 @@ def class_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Signatures whose classes lie in several components, with their classes."""
-    placed = written(members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "sig", "cls", F.coalesce("comp", "cls").alias("comp")), "placed")
-    split = written(placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-                    .where("lo < hi").select("sig", "n"), "split")
-    return written(placed.join(split, "sig"), "rest")
+    """The ``members(sig, cls)`` of signatures whose classes lie in several components, with these.
+
+    Components only grow, so signatures that are resolved once stay so."""
+    placed = members.select("sig", "cls").join(small(comp.withColumnRenamed("node", "cls"), 16), "cls", "left").select(
+        "sig", "cls", F.coalesce("comp", "cls").alias("comp"))
+    split = written(placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                    .where("lo < hi").select("sig"), "split")
+    return written(placed.join(small(split, 8), "sig").distinct(), "rest")
 
 
 def _to_centre(rest: DataFrame) -> DataFrame:
     """Pairs of each class with the centre of its signatures: the class that shares
     most signatures with most others, as the original of edited copies does."""
-    centre = written(rest.groupBy("cls").agg(F.sum("n").alias("shared"), F.min("comp").alias("comp")), "centre")
-    known = rest.select("sig", "cls").join(centre, "cls")
+    sizes = rest.groupBy("sig").agg(F.count("*").alias("n"))
+    centre = written(rest.join(sizes, "sig").groupBy("cls").agg(F.sum("n").alias("shared"), F.min("comp").alias("comp")),
+                     "centre")
+    known = rest.select("sig", "cls").join(small(centre, 24), "cls")
     hub = written(known.groupBy("sig").agg(F.max(F.struct("shared", "cls", "comp")).alias("hub")), "hubs")
     return (rest.join(hub, "sig").where("comp <> hub.comp")
             .select(F.greatest("cls", "hub.cls").alias("a"), F.least("cls", "hub.cls").alias("b")).distinct())
@@ -308,7 +312,7 @@ def _across(rest: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     texts = _texts_of(rest.select("cls").distinct(), docs, sets)
     lines = written(texts.mapInArrow(_outlines, "cls long, size long, own binary, next binary"), "outlines")
     dealt = deal(rest.select("sig", "cls", "comp"), ["sig"], "cls", GROUP)
-    return (dealt.join(lines, "cls").repartition("grp").sortWithinPartitions("grp")
+    return (dealt.join(lines, "cls").select("grp", "side", "cls", "comp", "size", "own", "next").repartition("grp").sortWithinPartitions("grp")
             .mapInArrow(_compare_outlines, "a long, b long").distinct())
 
 
