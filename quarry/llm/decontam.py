@@ -1,12 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. Every word n-gram of the test items is counted over all documents.
-2. In every run of ``REACH`` neighbouring n-grams of an item the rarest one (the
-   leftmost of ties) becomes a seed, so each part of an item keeps a seed
-   however often the item itself was copied.
-3. Documents are joined to items on the seeds; around each hit the item is
-   aligned with the document's words (match 2, mismatch -1, gap -1). A pair is
-   reported if the best local score reaches ``threshold`` of the item's own.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. Every word n-gram of a test item is a seed, rare or not: an edit leaves no say
+   in which ones stay intact, and those of an item that was often copied are all
+   frequent.
+2. Documents are joined to items on the seeds. The words around the hits of a
+   pair bound its score from above (match 2 for each word that the item has at
+   all, else -1, best run); pairs whose bound stays below the threshold go, which
+   holds off the company of frequent n-grams and drops no result.
+3. The item is aligned with the words that are left (match 2, mismatch -1,
+   gap -1). A pair is reported if the best local score reaches ``threshold`` of
+   the item's own.
+
+A copy that shares no ``SEED`` words in a row with its item (edited at every
+third word or closer) has no seed and is not found, whatever its score.
 
 Items come in blocks of bounded size; a block's seeds are shipped to the tasks
 and texts are never shuffled.
@@ -27,15 +33,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.text import PUNCTUATED, Words, chunks, utf8
+from quarry.llm.text import PUNCTUATED, Words, chunks, mix, utf8
 
 SEED = 3
-REACH = 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score. Unrelated texts of one language stay near 0.2.
 THRESHOLD = 0.5
 BLOCK_BYTES = 4 << 20
 _BITS = 20
+_ROWS = 1 << 20  # hits, or words around hits, looked at together
 
 SCHEMA = ("doc_id long, item_id long, score long, coverage double, "
           "first_word long, last_word long, item_words long")
@@ -81,23 +87,13 @@ class Items:
             parts.append((h[at], w.doc[at], at - w.first[w.doc[at]], np.full(len(at), k)))
         self.hash, self.item, self.offset, self.k = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.sizes = sorted({int(x) for x in np.unique(self.k)})
+        owner = np.repeat(np.arange(len(self.words)), size)
+        self.held = Lookup(_pair(owner, w.hash))
 
-    def rare(self, count: np.ndarray) -> np.ndarray:
-        """Which n-grams are seeds, given the documents that hold each."""
-        keep = np.zeros(len(self.hash), bool)
-        for i in range(len(self.ids)):
-            at = np.flatnonzero(self.item == i) if len(self.ids) < 64 else self._of(i)
-            c = count[at]
-            for lo in range(max(1, len(at) - REACH + 1)):
-                if len(at):
-                    keep[at[lo + int(np.argmin(c[lo:lo + REACH]))]] = True
-        return keep
 
-    def _of(self, i: int) -> np.ndarray:
-        if not hasattr(self, "_order"):
-            self._order = np.argsort(self.item, kind="stable")
-            self._edges = np.searchsorted(self.item[self._order], np.arange(len(self.ids) + 1))
-        return self._order[self._edges[i]:self._edges[i + 1]]
+def _pair(item: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Name of an item's word."""
+    return mix(word ^ mix(item.astype(np.uint64)))
 
 
 def align(items: np.ndarray, windows: np.ndarray, item_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,80 +146,85 @@ def _hits(w: Words, lookups: list[tuple[int, Lookup]]):
         yield k, *known.find(h, ok)
 
 
-def _counter(items: Items):
-    lookups = [(k, Lookup(items.hash[items.k == k])) for k in items.sizes]
-
-    def run(batches):
-        total = {k: np.zeros(len(x.known), np.int64) for k, x in lookups}
-        for batch in batches:
-            for part in chunks(batch):
-                w = words_of(part.column("text"))
-                for k, at, i in _hits(w, lookups):
-                    docs = np.unique(w.doc[at] * np.int64(len(total[k])) + i) if len(at) else at
-                    total[k] += np.bincount(docs % max(1, len(total[k])), minlength=len(total[k]))
-        for k, x in lookups:
-            i = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x.known[i].view(np.int64)), pa.array(total[k][i])], ["gram", "n"])
-    return run
-
-
-def scan(w: Words, items: Items, lookups, postings, threshold: float):
+def _bounds(w: Words, items: Items, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """No alignment of item i with the words [first, last) of window i scores more than this."""
+    n = last - first
+    bound = np.zeros(len(n), np.int64)
+    group = np.cumsum(n) // _ROWS
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        size = n[own]
+        start = np.cumsum(size) - size
+        window = np.repeat(np.arange(len(own)), size)
+        word = w.hash[np.arange(size.sum()) - start[window] + first[own][window]]
+        gain = np.full(len(word), max(MISMATCH, GAP), np.int64)
+        gain[items.held.find(_pair(item[own][window], word), np.ones(len(word), bool))[0]] = MATCH
+        after = np.cumsum(gain)
+        # windows lie so far apart that the least sum before a word is one of its own window
+        apart = window * (2 * MATCH * (len(word) + 1))
+        least = np.minimum.accumulate(after - gain - apart) + apart
+        bound[own] = np.maximum.reduceat(after - least, start)
+    return bound
+
+
+def scan(w: Words, items: Items, lookups, starts, entries, threshold: float):
     """Aligned pairs of a chunk: (document index, item index, score, first and last word)."""
-    rows = []
-    for k, at, i in _hits(w, lookups):
-        start, entries = postings[k]
-        n = start[i + 1] - start[i]
-        which = np.repeat(at, n)
-        slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[i], n)
-        rows.append((w.doc[which], items.item[entries[slot]], which - items.offset[entries[slot]]))
-    if not rows:
-        return []
-    doc, item, diag = (np.concatenate(x) for x in zip(*rows, strict=True))
-    if not len(doc):
+    hits = [(at, starts[k][i], starts[k][i + 1] - starts[k][i]) for k, at, i in _hits(w, lookups)]
+    if not hits:
         return []
+    at, start, n = (np.concatenate(x) for x in zip(*hits, strict=True))
+    group = (np.cumsum(np.bincount(w.doc[at], weights=n, minlength=1)) // _ROWS)[w.doc[at]]
+    rows = []
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        size = n[own]
+        which = np.repeat(at[own], size)
+        entry = entries[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start[own], size)]
+        rows += _aligned(w, items, w.doc[which], items.item[entry], which - items.offset[entry], threshold)
+    return rows
+
+
+def _aligned(w: Words, items: Items, doc: np.ndarray, item: np.ndarray, diag: np.ndarray, threshold: float):
+    """``scan`` of all hits of some documents."""
     order = np.lexsort((diag, item, doc))
     doc, item, diag = doc[order], item[order], diag[order]
     length = np.array([len(x) for x in items.words])
     cut = np.flatnonzero((doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
                          | (diag[1:] - diag[:-1] > length[item[1:]])) + 1
     lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]]) - 1
-    pairs, origin = [], []
-    for a, b in zip(lo, hi, strict=True):
-        m, d = int(length[item[a]]), doc[a]
-        pad = m // 2 + 2
-        first = max(int(w.first[d]), int(diag[a]) - pad)
-        last = min(int(w.first[d + 1]), int(diag[b]) + m + pad)
-        pairs.append((items.words[item[a]], w.hash[first:last]))
-        origin.append(first)
+    doc, item, m = doc[lo], item[lo], length[item[lo]]
+    first = np.maximum(w.first[doc], diag[lo] - m // 2 - 2)
+    last = np.minimum(w.first[doc + 1], diag[hi] + m + m // 2 + 2)
+    own = np.flatnonzero(_bounds(w, items, item, first, last) >= threshold * MATCH * m)
+    doc, item, m, origin = doc[own], item[own], m[own], first[own]
+    pairs = [(items.words[i], w.hash[a:b]) for i, a, b in zip(item, origin, last[own], strict=True)]
     score, end = _align_all(pairs)
     best: dict[tuple[int, int], int] = {}
-    for j, a in enumerate(lo):
-        if score[j] >= threshold * MATCH * length[item[a]]:
-            key = (int(doc[a]), int(item[a]))
-            if key not in best or score[j] > score[best[key]]:
-                best[key] = j
+    for j in np.flatnonzero(score >= threshold * MATCH * m):
+        key = (int(doc[j]), int(item[j]))
+        if key not in best or score[j] > score[best[key]]:
+            best[key] = j
     chosen = sorted(best.items())
     _, back = _align_all([(pairs[j][0][::-1], pairs[j][1][:end[j] + 1][::-1]) for _, j in chosen])
     return [(d, i, int(score[j]), int(origin[j] + end[j] - back[x] - w.first[d]), int(origin[j] + end[j] - w.first[d]))
             for x, ((d, i), j) in enumerate(chosen)]
 
 
-def _scanner(items: Items, seeds: np.ndarray, threshold: float):
-    lookups, postings = [], {}
+def _scanner(items: Items, threshold: float):
+    lookups, starts, entries = [], {}, np.zeros(0, np.int64)
     for k in items.sizes:
-        at = np.flatnonzero(seeds & (items.k == k))
+        at = np.flatnonzero(items.k == k)
         known = Lookup(items.hash[at])
         slot = np.searchsorted(known.known, items.hash[at])
         order = np.argsort(slot, kind="stable")
-        postings[k] = (np.searchsorted(slot[order], np.arange(len(known.known) + 1)), at[order])
+        starts[k] = len(entries) + np.searchsorted(slot[order], np.arange(len(known.known) + 1))
+        entries = np.concatenate([entries, at[order]])
         lookups.append((k, known))
-    return lambda w: scan(w, items, lookups, postings, threshold)
+    return lambda w: scan(w, items, lookups, starts, entries, threshold)
 
 
-def _plans(docs: DataFrame, benchmark: DataFrame, threshold: float) -> list[tuple[Items, object]]:
+def _plans(benchmark: DataFrame, threshold: float) -> list[tuple[Items, object]]:
     """Items and scanner of each block of the benchmark."""
-    spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
@@ -231,19 +232,14 @@ def _plans(docs: DataFrame, benchmark: DataFrame, threshold: float) -> list[tupl
     for b in range(blocks):
         own = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         items = Items([r[0] for r in own], [r[1] for r in own])
-        if not len(items.hash):
-            continue
-        run = _counter(spark.sparkContext.broadcast(items).value)
-        counted = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()
-        known = {g: n for g, n in counted}
-        count = np.array([known.get(int(h), 0) for h in items.hash.view(np.int64)])
-        plans.append((items, _scanner(items, items.rare(count), threshold)))
+        if len(items.hash):
+            plans.append((items, _scanner(items, threshold)))
     return plans
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and item that align, with the best alignment's score and words."""
-    plans = _plans(docs, benchmark, threshold)
+    plans = _plans(benchmark, threshold)
 
     def run(batches):
         for batch in batches:
@@ -267,7 +263,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose text aligns with a test item; all columns stay."""
-    plans = _plans(docs, benchmark, threshold)
+    plans = _plans(benchmark, threshold)
 
     def run(batches):
         for batch in batches:

@@ -398,6 +398,31 @@ def test_copies_and_edits_are_found(spark):
     assert sorted(r.doc_id for r in decontam.clean(docs, items).collect()) == [3, 5]
 
 
+def test_edited_copies_are_found(spark):
+    """Words replaced at every 4th to 8th place or at random: one copy of each item, and of an item held by many documents."""
+    rng = np.random.default_rng(8)
+    edits = [[j % step == step - 1 for j in range(40)] for step in range(4, 9)]
+    edits += [rng.random(40) < rate for rate in (0.1, 0.15, 0.2, 0.25, 0.3) for _ in range(6)]
+    popular = words(40, 20, 3000)
+    items = [words(40, 300 + i, 3000) for i in range(len(edits))] + [popular]
+    rows = [(d, " ".join(popular)) for d in range(30)]
+    for edit, item in zip(edits + edits[:5], items[:-1] + [popular] * 5, strict=True):
+        w = [f"e{rng.integers(0, 10 ** 9)}" if e else x for x, e in zip(item, edit, strict=True)]
+        d = len(rows)
+        rows.append((d, " ".join(words(60, 4000 + d, 3000) + w + words(60, 5000 + d, 3000))))
+    rows += [(d, " ".join(words(150, 6000 + d, 3000) + popular[:7])) for d in range(len(rows), len(rows) + 20)]
+    grams = [{tuple(x[j:j + 3]) for j in range(len(x) - 2)} for x in items]
+    want = {}
+    for d, t in rows:
+        w = tokens(t)
+        own = {tuple(w[j:j + 3]) for j in range(len(w) - 2)}
+        want |= {(d, i): local_score(x, w) for i, x in enumerate(items) if own & grams[i] and local_score(x, w) >= len(x)}
+    assert len(want) >= 30 + 5 + 0.8 * len(edits)
+    docs, benchmark = frame(spark, rows), bench(spark, [(i, " ".join(x)) for i, x in enumerate(items)])
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.matches(docs, benchmark).collect()} == want
+    assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_decontamination_awkward(spark):
     df = messy(spark)
     items = bench(spark, [(1, "same row"), (1, "same row"), (None, "text without an id"), (2, None)])
