@@ -36,9 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Broadcast hint for a written table if its counted size is within the bound."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small(df: DataFrame, row_bytes: int, lists: str | None = None) -> DataFrame:
+    """Broadcast hint for a written table if its counted size is within the bound.
+
+    ``lists`` names a column of int arrays, whose entries are counted besides the rows.
+    """
+    size = df.count() * row_bytes
+    if lists and size <= BROADCAST_BYTES:
+        size += 5 * (df.agg(F.sum(F.size(lists).cast("long"))).first()[0] or 0)
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def hash_fold(id_col: str, mod: int):

@@ -10,9 +10,9 @@ start, so both suffixes agree in at least ``MIN_WORDS - WINDOW + 1`` words.
    another text are matches, all others are dropped.
 2. Matches are extended right to ``MIN_WORDS`` words. Consecutive suffixes that
    hold out cover everything between them.
-3. Where that chain starts or ends in some text, the passages that begin before
-   the suffix (left extension of 1 to ``WINDOW - 1`` words) are compared in all
-   texts that match there.
+3. Where that chain does not reach ``WINDOW - 1`` words to the left of a suffix in
+   some text, the passages that begin before the suffix (left extension of 1 to
+   ``WINDOW - 1`` words) are compared in all texts that match there.
 
 The union of all passages found is returned; it equals the words covered by any
 run of ``MIN_WORDS`` words that occurs in two different texts. Sorting is by
@@ -133,9 +133,13 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     held = written(_shared(matched.where("full is not null"), "full"), "held")
     marked = matched.join(held.withColumn("held", F.lit(True)), "full", "left").withColumn(
         "held", F.coalesce("held", F.lit(False)))
-    before = Window.partitionBy("t").orderBy("pos")
-    marked = written(marked.withColumn("chained", F.col("held") & F.coalesce(
-        F.lag("held").over(before) & (F.col("pos") - F.lag("pos").over(before) <= min_words), F.lit(False))), "marked")
+    upto = Window.partitionBy("t").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("held"), F.col("pos"))).over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("last", last).withColumn("start", F.max(F.when(
+        F.col("held") & (F.col("last").isNull() | (F.col("pos") - F.col("last") > min_words)), F.col("pos"))).over(upto))
+    # all passages that begin before a chained suffix lie in words that its chain covers
+    marked = written(marked.withColumn("chained", F.col("held") & (F.col("pos") - F.col("start") >= WINDOW - 1)).drop(
+        "last", "start"), "marked")
     # where the chain is open in one text, its partners are asked too
     asked = written(marked.where("not chained").select("prefix").distinct(), "asked")
     lists = written(marked.join(asked, "prefix").groupBy("t").agg(F.collect_list("pos").alias("pos")), "lists")

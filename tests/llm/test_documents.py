@@ -185,6 +185,21 @@ def test_passages_equal_brute_force(spark):
     assert {r.doc_id for r in got if r.whole_copy} == ({3, 99} if len(tokens(rows[3][1])) >= 50 else set())
 
 
+def test_overlapping_slices_equal_brute_force(spark):
+    """Slices cut anywhere, alone and after another passage, in small corpora that share no word."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for c in range(300):
+        base, other = [f"c{c}w{i}" for i in range(110)], [f"o{c}w{i}" for i in range(40)]
+        cut = int(rng.integers(0, 20))
+        for a, before in [(cut, []), (cut + int(rng.integers(1, 20)), []), (cut, other), (cut, other),
+                          (int(rng.integers(0, 60)), []), (int(rng.integers(0, 60)), other[int(rng.integers(0, 40)):])][:4 + 2 * (c % 2)]:
+            d = len(rows)
+            rows.append((d, " ".join([f"a{d}x{i}" for i in range(25)] + before + base[a:a + int(rng.integers(50, 90))])))
+    got = sparse_suffix.passages(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.first_word, r.end_word) for r in got) == spans_by_hand(rows, 50)
+
+
 def test_passages_awkward(spark):
     assert sparse_suffix.passages(messy(spark)).count() == 0
     assert sparse_suffix.passages(empty(spark)).count() == 0
