@@ -147,7 +147,9 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chosen = written(docs.select("t", "row").join(lists.select("t"), "t").groupBy("t").agg(F.min("row").alias("row")),
                      "chosen")
     listed = written(chosen.join(lists, "t"), "listed")
-    open_ends = written(docs.select("row", "text").join(small(listed, 512), "row").select("t", "text", "pos").mapInArrow(
+    # the rows first, so that only texts with a match are shuffled if their lists are too large to broadcast
+    asked_docs = docs.select("row", "text").join(small(listed.select("row"), 16), "row", "left_semi")
+    open_ends = written(asked_docs.join(small(listed, 64, "pos"), "row").select("t", "text", "pos").mapInArrow(
         _left(min_words), "t long, pos int, key long"), "open")
     starts = (open_ends.join(written(_shared(open_ends, "key"), "keys"), "key").select("t", "pos")
               .union(marked.where("held").select("t", "pos")))

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm import backoff, decontam, interleave, langid, partenum, pieces, quality, secrets, sparse_suffix
+from quarry.llm import backoff, common, decontam, interleave, langid, partenum, pieces, quality, secrets, sparse_suffix
 from quarry.llm.text import Words, utf8
 from tests.conftest import SF001, SF01
 from tests.llm.helpers import empty, frame, labels, messy, words
@@ -200,6 +200,16 @@ def test_overlapping_slices_equal_brute_force(spark):
     assert Counter((r.doc_id, r.first_word, r.end_word) for r in got) == spans_by_hand(rows, 50)
 
 
+def test_long_position_lists_are_not_broadcast(spark, monkeypatch):
+    texts = [" ".join(" ".join(words(60, 7000 + i, 9000)) + f" d{d}x{i}" for i in range(100)) for d in range(2)]
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1200)  # two rows of 512 bytes are below it, their lists are not
+    hinted = []
+    monkeypatch.setattr(common.F, "broadcast", lambda df: hinted.append(df.columns) or df)
+    got = sparse_suffix.passages(frame(spark, list(enumerate(texts)))).collect()
+    assert sorted((r.first_word, r.end_word) for r in got) == sorted([(61 * i, 61 * i + 60) for i in range(100)] * 2)
+    assert hinted and not [c for c in hinted if "pos" in c]
+
+
 def test_passages_awkward(spark):
     assert sparse_suffix.passages(messy(spark)).count() == 0
     assert sparse_suffix.passages(empty(spark)).count() == 0
