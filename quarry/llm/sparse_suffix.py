@@ -6,8 +6,11 @@ neighbouring k-grams. A passage of ``MIN_WORDS`` words that occurs twice has the
 same first minimiser in both places, at most ``WINDOW - 1`` words from its
 start, so both suffixes agree in at least ``MIN_WORDS - WINDOW + 1`` words.
 
-1. Kept suffixes are sorted by that prefix; neighbours with the same prefix in
-   another text are matches, all others are dropped.
+1. Kept suffixes are grouped by a hash of that prefix; those whose prefix is in
+   another text too are matches, all others are dropped. This replaces the sort
+   of a suffix array: suffixes that agree in the prefix would be neighbours
+   there, in order or not, and the length compared is fixed, so no order among
+   them is needed and nothing is compared across partition borders.
 2. Matches are extended right to ``MIN_WORDS`` words. Consecutive suffixes that
    hold out cover everything between them.
 3. Where that chain does not reach ``WINDOW - 1`` words to the left of a suffix in
@@ -15,7 +18,7 @@ start, so both suffixes agree in at least ``MIN_WORDS - WINDOW + 1`` words.
    ``WINDOW - 1`` words) are compared in all texts that match there.
 
 The union of all passages found is returned; it equals the words covered by any
-run of ``MIN_WORDS`` words that occurs in two different texts. Sorting is by
+run of ``MIN_WORDS`` words that occurs in two different texts. Grouping is by
 64-bit hashes of words, and equal texts are taken once and reported as whole
 copies, so neither large groups of copies nor common passages meet in one task.
 
