@@ -14,8 +14,10 @@
 A copy that shares no ``SEED`` words in a row with its item (edited at every
 third word or closer) has no seed and is not found, whatever its score.
 
-Items come in blocks of bounded size; a block's seeds are shipped to the tasks
-and texts are never shuffled.
+Items come in blocks of bounded size. A block's seeds are shipped to the tasks and
+its results written before the next block is read, so driver and tasks hold one
+block at a time; each block reads the documents once. Texts are not shuffled,
+unless ``clean`` has several blocks and too many texts to drop for a broadcast.
 
 Edge cases: texts are compared in lower case; words are runs of bytes other than
 ASCII white space and punctuation; an item of fewer than ``SEED`` words is its own
@@ -33,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import small, written
 from quarry.llm.text import PUNCTUATED, Words, chunks, mix, utf8
 
 SEED = 3
@@ -223,55 +226,72 @@ def _scanner(items: Items, threshold: float):
     return lambda w: scan(w, items, lookups, starts, entries, threshold)
 
 
-def _plans(benchmark: DataFrame, threshold: float) -> list[tuple[Items, object]]:
-    """Items and scanner of each block of the benchmark."""
+def _blocks(benchmark: DataFrame):
+    """Items of each block of the benchmark, read one at a time, and whether it is the only one."""
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
-    plans = []
     for b in range(blocks):
         own = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         items = Items([r[0] for r in own], [r[1] for r in own])
         if len(items.hash):
-            plans.append((items, _scanner(items, threshold)))
-    return plans
+            yield items, blocks == 1
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document and item that align, with the best alignment's score and words."""
-    plans = _plans(benchmark, threshold)
+def _block_matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    find = _scanner(items, threshold)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                w = words_of(part.column("text"))
-                ids = part.column("doc_id").to_pylist()
-                for items, find in plans:
-                    rows = find(w)
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([ids[r[0]] for r in rows], pa.int64()),
-                            pa.array([items.ids[r[1]] for r in rows], pa.int64()),
-                            pa.array([r[2] for r in rows], pa.int64()),
-                            pa.array([r[2] / (MATCH * len(items.words[r[1]])) for r in rows], pa.float64()),
-                            pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()),
-                            pa.array([len(items.words[r[1]]) for r in rows], pa.int64())],
-                            ["doc_id", "item_id", "score", "coverage", "first_word", "last_word", "item_words"])
+                rows = find(words_of(part.column("text")))
+                if rows:
+                    ids = part.column("doc_id").to_pylist()
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([ids[r[0]] for r in rows], pa.int64()),
+                        pa.array([items.ids[r[1]] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.int64()),
+                        pa.array([r[2] / (MATCH * len(items.words[r[1]])) for r in rows], pa.float64()),
+                        pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()),
+                        pa.array([len(items.words[r[1]]) for r in rows], pa.int64())],
+                        ["doc_id", "item_id", "score", "coverage", "first_word", "last_word", "item_words"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each document and item that align, with the best alignment's score and words."""
+    found = docs.sparkSession.createDataFrame([], SCHEMA)
+    for items, alone in _blocks(benchmark):
+        own = _block_matches(docs, items, threshold)
+        found = own if alone else found.union(written(own, "aligned"))
+    return found
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose text aligns with a test item; all columns stay."""
-    plans = _plans(benchmark, threshold)
+    bad = None
+    for items, alone in _blocks(benchmark):
+        if alone:
+            return _block_clean(docs, items, threshold)
+        # a text's name takes the place of its document's id, so rows with the same text go together
+        own = written(_block_matches(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, threshold)
+                      .select("doc_id").distinct(), "aligned")
+        bad = own if bad is None else bad.union(own)
+    if bad is None:
+        return docs
+    bad = written(bad.distinct().select(F.col("doc_id").alias("_aligned_text")), "bad")
+    return docs.join(small(bad, 16), F.xxhash64(docs["text"]) == F.col("_aligned_text"), "left_anti")
+
+
+def _block_clean(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    find = _scanner(items, threshold)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                w = words_of(part.column("text"))
                 keep = np.ones(part.num_rows, bool)
-                for _, find in plans:
-                    keep[[r[0] for r in find(w)]] = False
+                keep[[r[0] for r in find(words_of(part.column("text")))]] = False
                 yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

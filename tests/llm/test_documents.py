@@ -1,7 +1,9 @@
 """Operators on documents: brute force on small inputs, and the awkward cases."""
 
+import gc
 import math
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -448,6 +450,28 @@ def test_edited_copies_are_found(spark):
     assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_blocks_of_items_are_held_one_at_a_time(spark, monkeypatch):
+    items = [(i, " ".join(words(30, 800 + i, 3000))) for i in range(12)] + [(None, "short one")]
+    docs = frame(spark, [(i, " ".join(words(50, 900 + i, 3000)) + " " + t) for i, (_, t) in enumerate(items)] + [(50, "none"), (None, None), (50, "none")])
+    benchmark = bench(spark, items)
+    want = Counter(decontam.matches(docs, benchmark).collect())
+    assert len(want) == 13
+    alive, most, scanner = weakref.WeakSet(), [], decontam._scanner
+
+    def watched(own, threshold):
+        gc.collect()
+        alive.add(own)
+        most.append(len(alive))
+        return scanner(own, threshold)
+
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(decontam, "_scanner", watched)
+    assert Counter(decontam.matches(docs, benchmark).collect()) == want
+    assert len(most) > 4 and max(most) <= 2
+    left = decontam.clean(docs, benchmark)
+    assert left.columns == docs.columns and [(r.doc_id, r.text) for r in left.orderBy("doc_id").collect()] == [(None, None), (50, "none"), (50, "none")]
+
+
 def test_decontamination_awkward(spark):
     df = messy(spark)
     items = bench(spark, [(1, "same row"), (1, "same row"), (None, "text without an id"), (2, None)])
