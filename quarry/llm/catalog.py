@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import backoff, decontam, interleave, itq, langid, partenum, pieces, quality, secrets, sparse_suffix
+from quarry.llm import (
+    backoff,
+    chat,
+    decontam,
+    interleave,
+    itq,
+    langid,
+    manifest,
+    partenum,
+    pieces,
+    quality,
+    secrets,
+    sparse_suffix,
+    vectors,
+)
 from quarry.llm.common import hash_fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +101,24 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of each label (cosine 0.98 or more): links, component, and the one kept."""
     return itq.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code of every vector and its error, after six rounds of the codebooks."""
+    codes, books = vectors.compress(read_table(spark, sf_dir, "embeddings"))
+    return vectors.with_label_error(codes).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(None if books is None else vectors.books_digest(books)).cast("string").alias("codebooks_sha256"))
+
+
+@query
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted with its loss mask: counts and digests of what is read back."""
+    return chat.digests(chat.format_chats(chat.with_probe(read_table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the Merkle manifest: digests, proof, and the root that a tampered text folds to."""
+    return manifest.proofs(manifest.manifest(read_table(spark, sf_dir, "documents")))

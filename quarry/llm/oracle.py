@@ -115,3 +115,134 @@ GROUP BY v.rid, v.vec_id
 """
 
 ORACLE_SQL["op1_itq"] = OP1
+
+_CONTROLS = r"INST\]|/INST\]|\+\]|/s>"
+
+OP12 = rf"""
+WITH given AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+numbered AS (
+  SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before FROM given
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text)),
+sized AS (
+  SELECT *, i = 1 OR role IS DISTINCT FROM before AS opens,
+         length(regexp_replace(text, '([\[<])(\\*)({_CONTROLS})', '\1\\\2\3', 'g')) AS body,
+         coalesce(2 + length(regexp_replace(role, '([\[<])(\\*)({_CONTROLS})', '\1\\\2\3', 'g')), 0) AS named
+  FROM numbered)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(body + CASE WHEN opens THEN length('[INST][/INST]</s>') + named ELSE length('[+]') END)::BIGINT AS formatted_chars,
+       (count(*) FILTER (opens))::BIGINT AS n_blocks
+FROM sized GROUP BY conv_id
+"""
+
+ORACLE_SQL["op12_chat"] = OP12
+
+
+def _levels(source: str, key: str, n: int) -> str:
+    """CTEs {source}1 ... {source}n: each level of runs of 16, a tree of one node stays as it is; and what stands beside a node."""
+    out = []
+    for i in range(n):
+        at = f"PARTITION BY {key}, slot // 16 ORDER BY slot ROWS BETWEEN"
+        out.append(f"""
+{source}{i}b AS MATERIALIZED (
+  SELECT *, CASE WHEN width = 1 THEN '' ELSE coalesce(string_agg(d, '') OVER ({at} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS l,
+         CASE WHEN width = 1 THEN '' ELSE coalesce(string_agg(d, '') OVER ({at} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS r
+  FROM {source}{i}),
+{source}{i + 1} AS MATERIALIZED (
+  SELECT {key}, slot // 16 AS slot, (max(width) + 15) // 16 AS width,
+         CASE WHEN max(width) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY slot)) END AS d
+  FROM {source}{i} GROUP BY {key}, slot // 16)""")
+    return ",".join(out)
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+
+_HEIGHT, _TOP = 6, 4  # levels: up to 16 ** 6 documents of a source, 16 ** 4 sources
+_UP = [(f"n{i}b", f"n{i}b.s = p.s AND n{i}b.slot = p.slot // {16 ** i}") for i in range(_HEIGHT)] + \
+      [(f"m{i}b", f"m{i}b.slot = p.at // {16 ** i}") for i in range(_TOP)]
+
+OP13 = f"""
+WITH {_CRC},
+given AS MATERIALIZED (
+  SELECT doc_id, source, coalesce('1' || source, '0') AS s,
+         sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', 'text')))}) AS leaf,
+         sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars',
+                "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")))}) AS lowered,
+         xor(4294967295, list_reduce(
+             list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'),
+                                                             lambda b: ('0x' || b)::BIGINT)),
+             lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS crc
+  FROM documents, crc_table),
+placed AS MATERIALIZED (
+  SELECT *, CASE WHEN crc % 5 = 0 THEN lowered ELSE leaf END AS used,
+         row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot,
+         count(*) OVER (PARTITION BY s) AS width FROM given),
+n0 AS (SELECT s, slot, width, leaf AS d FROM placed),{_levels('n', 's', _HEIGHT)},
+m0 AS (SELECT 0 AS g, s, row_number() OVER (ORDER BY s) - 1 AS slot, count(*) OVER () AS width, d FROM n{_HEIGHT}),
+{_levels('m', 'g', _TOP).lstrip()},
+paths AS MATERIALIZED (
+  SELECT p.doc_id, p.source, p.leaf, p.used, n{_HEIGHT}.d AS subroot, m{_TOP}.d AS root,
+         [{', '.join(f"{{'l': {t}.l, 'r': {t}.r, 'w': {t}.width}}" for t, _ in _UP)}] AS path
+  FROM (SELECT placed.*, m0.slot AS at FROM placed JOIN m0 USING (s)) p
+  {' '.join(f'JOIN {t} ON {on}' for t, on in _UP)}
+  JOIN n{_HEIGHT} ON n{_HEIGHT}.s = p.s CROSS JOIN m{_TOP}),
+folded AS (
+  SELECT *, list_reduce(list_prepend({{'h': used, 'r': '', 'w': 0}},
+                        list_transform(path, lambda x: {{'h': x.l, 'r': x.r, 'w': x.w}})),
+                        lambda a, x: {{'h': CASE WHEN x.w = 1 THEN a.h ELSE sha256(x.h || a.h || x.r) END, 'r': '', 'w': 0}}).h
+         AS folded_root FROM paths)
+SELECT doc_id, source, leaf, subroot, root,
+       sha256(array_to_string(list_transform(path, lambda x: x.l || x.r), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+ORACLE_SQL["op13_manifest"] = OP13
+
+
+def _rounds(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """CTEs of the codebooks b0 ... and of the assignments a0 ..."""
+    out = [f"""
+b0 AS MATERIALIZED (
+  SELECT p, i - 1 AS e, x FROM cut JOIN (
+    SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, ints) AS i FROM kept) USING (rid) WHERE i <= {entries})"""]
+    for k in range(rounds + 1):
+        out.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT rid, p, min(x) AS x, min(struct_pack(d := d, e := e)) AS best FROM (
+    SELECT rid, c.p, c.x, e, list_sum(list_transform(list_zip(c.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM cut c JOIN b{k} b USING (p)) GROUP BY rid, p)""")
+        if k < rounds:
+            out.append(f"""
+b{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT p, e, list(floor(s::DECIMAL(38, 0) / n)::BIGINT ORDER BY j) AS x FROM (
+      SELECT p, best.e AS e, j, sum(x[j])::BIGINT AS s, count(*) AS n
+      FROM a{k}, range(1, (SELECT max(len(x)) FROM cut) + 1) r(j) GROUP BY ALL) GROUP BY p, e) m USING (p, e))""")
+    return ",".join(out)
+
+
+OP11 = f"""
+WITH finite AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS ints
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % 8 = 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+kept AS MATERIALIZED (
+  SELECT * FROM finite WHERE len(ints) = (SELECT len(ints) FROM finite GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)),
+cut AS MATERIALIZED (
+  SELECT rid, p, ints[p * (len(ints) // 8) + 1:(p + 1) * (len(ints) // 8)] AS x FROM kept, range(8) r(p)),{_rounds()},
+books AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b6),
+coded AS (
+  SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a6 GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid), books
+"""
+
+ORACLE_SQL["op11_codes"] = OP11
