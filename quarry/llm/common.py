@@ -92,8 +92,8 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(m.select("u", F.col("m").alias("v"))).distinct()
 
 
-def deal(entries: DataFrame, bucket: list[str], member: str, size: int) -> DataFrame:
-    """Deal the members of each bucket (of two or more) to groups of about ``size``.
+def deal(entries: DataFrame, bucket: list[str], member: str, size: int | str) -> DataFrame:
+    """Deal the members of each bucket (of two or more) to groups of about ``size`` (a number, or SQL over the bucket).
 
     A bucket of n members has s = n / size sub-buckets; a member is sent to the
     groups of its own sub-bucket with every other, so any two meet once (twice
@@ -103,7 +103,7 @@ def deal(entries: DataFrame, bucket: list[str], member: str, size: int) -> DataF
     """
     counts = written(entries.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     return (entries.join(counts, bucket)
-            .withColumn("s", F.expr(f"cast((n + {size} - 1) div {size} as int)"))
+            .withColumn("s", F.expr(f"cast((n + ({size}) - 1) div ({size}) as int)"))
             .withColumn("q", F.pmod(F.xxhash64(member, *bucket), F.col("s")).cast("int"))
             .withColumn("r", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
             .withColumn("grp", F.xxhash64(*bucket, F.least("q", "r"), F.greatest("q", "r")))

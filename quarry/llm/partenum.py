@@ -15,7 +15,8 @@ Candidates are not paired within a signature: every set is compared to the
 smallest set id (the hub) under each of its signatures, then to the most central
 one. Sets that are still in different components though they share a signature
 are compared afterwards, in groups of bounded size, by the number of parts in
-which they agree, so no link between different components stays unseen.
+which they agree and then set by set, so no link between different components
+stays unseen. A group gives the links of a spanning forest, never its pairs.
 Candidates are verified on whole sets. Equal sets are one class and are never paired.
 
 Edge cases: texts of 1 to 4 words have one shingle, the whole sequence; null,
@@ -41,6 +42,8 @@ _SLOTS = 20
 GROUP = 2048  # classes of a sub-bucket, about
 ROUNDS = 1  # comparisons with the centre of a signature before all remaining pairs
 SEEN = 1 << 16  # classes of a task whose signatures are not repeated
+SCHEME = 63  # low bits of a signature
+SET_BYTES = 16 << 20  # sets of a sub-bucket, about
 
 
 def shingle_sets(w: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -87,12 +90,18 @@ def part_numbers(s: np.ndarray, scheme: int) -> np.ndarray:
     return ((mix(s ^ np.uint64(scheme + 1)) >> np.uint64(32)) * parts >> np.uint64(32)).astype(np.int64)
 
 
+#: Half-bytes that are not 0, for every byte.
+_DIFFER = np.array([bool(x & 15) + bool(x >> 4) for x in range(256)], np.uint8)
+
+
 def outline(s: np.ndarray, scheme: int) -> np.ndarray:
-    """One byte for each part of a scheme; sets that agree in a part agree in its byte."""
-    value = np.zeros(parts_of(scheme), np.uint64)
+    """Half a byte for each part of a scheme; sets that agree in a part agree in it."""
+    parts = parts_of(scheme)
+    value = np.zeros(parts + parts % 2, np.uint64)
     with np.errstate(over="ignore"):
         np.add.at(value, part_numbers(s, scheme), mix(s))
-    return (mix(value) >> np.uint64(56)).astype(np.uint8)
+    half = (mix(value) >> np.uint64(60)).astype(np.uint8)
+    return half[::2] | half[1::2] << 4
 
 
 def signatures(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -116,6 +125,7 @@ def signatures(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
             value[used] = np.add.reduceat(mix(s[order]), edge)
             level[used] = np.minimum.reduceat(hot[(s[order] >> np.uint64(64 - _SLOTS)).astype(np.int64)], edge)
             name = mix(value + mix(np.arange(parts, dtype=np.uint64) + np.uint64(scheme << 40)))
+        name = (name & ~np.uint64(SCHEME)) | np.uint64(scheme)  # a signature tells its scheme
         first = np.lexsort((name, -size, level))[:k + 1]
         out.append(name[first])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -237,12 +247,12 @@ def class_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     # every class that shares a signature with another is in `pairs`
     met = written(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), "met")
     rest = sigs.join(small(met, 8), "cls").select(F.explode("sigs").alias("sig"), "cls")
-    for last in (False,) * ROUNDS + (True,):
+    for _ in range(ROUNDS):
         rest = _unresolved(rest, written(components(links), "components"))
-        more = _across(rest, docs, sets) if last else _to_centre(rest)
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        more = written(_to_centre(rest).join(pairs, ["a", "b"], "left_anti"), "more")
         links, pairs = links.union(_linked(more, docs, sets)), pairs.union(more)
-    return links
+    rest = _unresolved(rest, written(components(links), "components"))
+    return links.union(_across(rest, docs, sets))
 
 
 def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -274,46 +284,104 @@ def _outlines(batches):
             sets = shingle_sets(Words(*utf8(part.column("text"))))
             band = [len(s).bit_length() - 1 for s in sets]
             yield pa.RecordBatch.from_arrays([
-                part.column("cls"), pa.array([len(s) for s in sets], pa.int64()),
+                part.column("cls"), pa.array([len(s) for s in sets], pa.int64()), pa.array(band, pa.int64()),
                 pa.array([outline(s, b).tobytes() for s, b in zip(sets, band, strict=True)], pa.binary()),
-                pa.array([outline(s, b + 1).tobytes() for s, b in zip(sets, band, strict=True)], pa.binary())],
-                ["cls", "size", "own", "next"])
+                pa.array([outline(s, b + 1).tobytes() for s, b in zip(sets, band, strict=True)], pa.binary()),
+                pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["cls", "size", "band", "own", "next", "shingles"])
+
+
+def _candidates(rows: pa.Table):
+    """Per member of a group the later ones it may link with: of another component, of a size that
+    allows it, agreeing in enough parts, and, where ``earlier`` signatures of the scheme are given,
+    sharing none of them (they meet there)."""
+    size, comp, side, band = (rows[c].to_numpy() for c in ("size", "comp", "side", "band"))
+    scheme = int(rows["scheme"][0].as_py())
+    lines = np.frombuffer(b"".join(rows["line"].to_pylist()), np.uint8).reshape(len(size), -1)
+    earlier = [frozenset(s) for s in rows["earlier"].to_pylist()] if "earlier" in rows.column_names else None
+    both = side.any() and not side.all()
+    for x in range(len(size) - 1):
+        y = np.arange(x + 1, len(size))
+        # one of two sets lies in the scheme's own band
+        y = y[(comp[y] != comp[x]) & ((band[y] == scheme) | (band[x] == scheme))]
+        if both:
+            y = y[side[y] != side[x]]
+        a, b = size[x], size[y]
+        y = y[(NUM * a <= DEN * b) & (NUM * b <= DEN * a)]
+        differ = _DIFFER[lines[y] ^ lines[x]].sum(axis=1, dtype=np.int64)
+        y = y[differ <= (DEN - NUM) * (a + size[y]) // (DEN + NUM)]
+        if earlier:
+            y = np.array([j for j in y.tolist() if earlier[x].isdisjoint(earlier[j])], np.int64)
+        if len(y):
+            yield x, y.tolist()
+
+
+MEMBER = "grp long, sig long, scheme long, side boolean, cls long, comp long"
+
+
+def _paired(batches):
+    """The members of each group that have a candidate in it."""
+    names = [c.split()[0] for c in MEMBER.split(", ")]
+    for rows in groups_of(batches):
+        some = np.zeros(rows.num_rows, bool)
+        for x, y in _candidates(rows):
+            some[x] = True
+            some[y] = True
+        yield from rows.select(names).filter(pa.array(some)).combine_chunks().to_batches()
 
 
-def _compare_outlines(batches):
-    """Pairs of a group, of different components, that agree in enough parts to link."""
+def _joined(batches):
+    """Links between the components of each group that connect what links in it: fewer than members."""
     for rows in groups_of(batches):
-        size, cls, comp = (rows[c].to_numpy() for c in ("size", "cls", "comp"))
-        side = rows["side"].to_numpy()
-        band = np.array([int(n).bit_length() - 1 for n in size])
-        own, after = rows["own"].to_pylist(), rows["next"].to_pylist()
-        for scheme in np.unique(band):
-            at = np.flatnonzero((band == scheme) | (band == scheme - 1))
-            lines = np.frombuffer(b"".join(own[i] if band[i] == scheme else after[i] for i in at), np.uint8).reshape(len(at), -1)
-            for x in np.flatnonzero(band[at] == scheme):
-                # partners below in order, or in the band before
-                y = np.flatnonzero((band[at] < scheme) | (np.arange(len(at)) < x))
-                y = y[comp[at[y]] != comp[at[x]]]
-                if side.any() and not side.all():
-                    y = y[side[at[y]] != side[at[x]]]
-                a, b = size[at[x]], size[at[y]]
-                y = y[(NUM * a <= DEN * b) & (NUM * b <= DEN * a)]
-                differ = (lines[y] != lines[x]).sum(axis=1)
-                y = at[y[differ <= (DEN - NUM) * (a + size[at[y]]) // (DEN + NUM)]]
-                if len(y):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(cls[at[x]], cls[y])),
-                                                      pa.array(np.minimum(cls[at[x]], cls[y]))], ["a", "b"])
+        comp, cls = rows["comp"].to_pylist(), rows["cls"].to_pylist()
+        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()]
+        parent = {c: c for c in comp}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out = []
+        for x, partners in _candidates(rows):
+            for y in partners:
+                p, q = root(comp[x]), root(comp[y])
+                if p != q:
+                    both = np.intersect1d(sets[x], sets[y], assume_unique=True).size
+                    if DEN * both >= NUM * (len(sets[x]) + len(sets[y]) - both):
+                        parent[p] = q
+                        out.append((max(cls[x], cls[y]), min(cls[x], cls[y])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
 def _across(rest: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a signature and agree in enough parts.
-
-    Linked sets differ in at most H elements and so in at most H parts."""
+    """Links between classes of different components that share a signature.
+
+    Groups of a signature hold bounded members and bytes of sets. First the members
+    without a candidate leave, told by outlines (linked sets differ in at most H
+    elements and so in at most H parts), then those whose candidates all meet in an
+    earlier group too; the sets of the rest are compared in place, pairs that are
+    joined already are skipped, and only the links of a spanning forest come out.
+    No pair leaves a group otherwise."""
     texts = _texts_of(rest.select("cls").distinct(), docs, sets)
-    lines = written(texts.mapInArrow(_outlines, "cls long, size long, own binary, next binary"), "outlines")
-    dealt = deal(rest.select("sig", "cls", "comp"), ["sig"], "cls", GROUP)
-    return (dealt.join(lines, "cls").select("grp", "side", "cls", "comp", "size", "own", "next").repartition("grp").sortWithinPartitions("grp")
-            .mapInArrow(_compare_outlines, "a long, b long").distinct())
+    lines = written(texts.mapInArrow(
+        _outlines, "cls long, size long, band long, own binary, next binary, shingles binary"), "outlines")
+    most = f"least({GROUP}, greatest(16, shiftright({SET_BYTES >> 4}, cast(sig & {SCHEME} as int))))"
+    dealt = deal(rest.select("sig", "cls", "comp"), ["sig"], "cls", most).withColumn("scheme", F.expr(f"sig & {SCHEME}L"))
+    line = F.when(F.col("band") == F.col("scheme"), F.col("own")).otherwise(F.col("next")).alias("line")
+    names = [c.split()[0] for c in MEMBER.split(", ")]
+
+    def grouped(rows, *more):
+        return rows.join(lines, "cls").select(*names, "size", "band", line, *more).repartition("grp").sortWithinPartitions("grp")
+
+    some = written(grouped(dealt).mapInArrow(_paired, MEMBER), "paired")
+    held = rest.groupBy("cls").agg(F.collect_set("sig").alias("sigs"))  # no more than a set emits
+    earlier = F.expr(f"filter(sigs, x -> x < sig and (x & {SCHEME}L) = scheme)")
+    first = written(grouped(some.join(held, "cls").withColumn("earlier", earlier), "earlier").mapInArrow(
+        _paired, MEMBER), "first")
+    chosen = first.join(held, "cls").withColumn("earlier", earlier)
+    return written(grouped(chosen, "earlier", "shingles").mapInArrow(_joined, "a long, b long"), "joined")
 
 
 def _placed(docs: DataFrame) -> DataFrame:
