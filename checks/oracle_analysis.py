@@ -159,3 +159,123 @@ p AS (SELECT label, a + b * s2 AS prediction FROM sp, fit WHERE split = 'test')
 SELECT 'linear_s2' AS model, sqrt(avg((label - prediction) ^ 2)) AS rmse,
        1 - avg((label - prediction) ^ 2) / var_pop(label) AS r2, count(*) AS n
 FROM p"""
+
+# every pair; a key of distance and place in (id, label) order makes the five smallest one aggregate
+SQL["knn_regress"] = ML + f""",
+sp AS (SELECT item_id, CAST(label AS DOUBLE) AS label, """ + ", ".join(
+    f"CAST(round({c} * 100) AS BIGINT) AS {c}" for c in FEATURES) + f""", {SPLIT.format(id='item_id')} AS split FROM ml),
+tr AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY item_id, label) AS place, count(*) OVER () + 1 AS n
+                    FROM sp WHERE split = 'train'),
+te AS MATERIALIZED (SELECT *, row_number() OVER () AS q FROM sp WHERE split = 'test'),
+best AS (SELECT q, any_value(te.label) AS truth, unnest(min((""" + " + ".join(
+    f"(te.{c} - tr.{c}) * (te.{c} - tr.{c})" for c in FEATURES) + """) * tr.n + tr.place, 5)) % any_value(tr.n) AS place
+         FROM te, tr GROUP BY q),
+p AS (SELECT q, any_value(truth) AS label, avg(tr.label) AS prediction FROM best JOIN tr USING (place) GROUP BY q)
+SELECT 'knn' AS model, sqrt(avg((label - prediction) ^ 2)) AS rmse,
+       1 - avg((label - prediction) ^ 2) / var_pop(label) AS r2, count(*) AS n
+FROM p"""
+
+METRICS = """ AS model, sqrt(avg((label - prediction) ^ 2)) AS rmse,
+       1 - avg((label - prediction) ^ 2) / var_pop(label) AS r2, count(*) AS n"""
+
+
+def _least_squares(cols):
+    """Normal equations of centred columns, eliminated one column after the other, then solved backwards."""
+    k, names = len(cols), [*cols, "label"]
+    steps = ["g0 AS (SELECT " + ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(names)) + ", " + ", ".join(
+        f"covar_pop({names[min(i, j)]}, {names[max(i, j)]}) AS a{i}_{j}" for i in range(k) for j in range(k + 1))
+        + " FROM sp WHERE split = 'train')"]
+    for p in range(k - 1):
+        steps.append(f"g{p + 1} AS (SELECT * REPLACE (" + ", ".join(
+            f"a{r}_{j} - a{r}_{p} / a{p}_{p} * a{p}_{j} AS a{r}_{j}" for r in range(p + 1, k) for j in range(k + 1))
+            + f") FROM g{p})")
+    for p in reversed(range(k)):
+        tail = "".join(f" - a{p}_{j} * b{j}" for j in range(p + 1, k))
+        steps.append(f"s{p} AS (SELECT *, (a{p}_{k}{tail}) / a{p}_{p} AS b{p} FROM {f's{p + 1}' if p < k - 1 else f'g{k - 1}'})")
+    guess = f"m{k}" + "".join(f" + b{i} * ({c} - m{i})" for i, c in enumerate(cols))
+    return ",\n".join(steps) + f",\np AS (SELECT label, {guess} AS prediction FROM sp, s0 WHERE split = 'test')"
+
+
+SPLIT_ROWS = ML + f""",
+sp AS MATERIALIZED (SELECT * REPLACE (CAST(label AS DOUBLE) AS label), {SPLIT.format(id='item_id')} AS split FROM ml)"""
+
+SQL["linear_regression"] = SPLIT_ROWS + f""",
+{_least_squares(FEATURES)}
+SELECT 'linear'{METRICS} FROM p"""
+
+
+def _tree(cols, depth):
+    """All splits of all nodes, level by level."""
+    steps = [f"r0 AS MATERIALIZED (SELECT CAST(0 AS BIGINT) AS node, [{', '.join(cols)}] AS x, label, split FROM sp)"]
+    for i in range(depth):
+        steps.append(f"""
+long{i} AS (SELECT node, f, x[f] AS v, count(*) AS n, sum(label) AS s FROM r{i}, range(1, {len(cols) + 1}) AS q(f)
+            WHERE split = 'train' GROUP BY ALL),
+sums{i} AS (SELECT node, f, v, sum(n) OVER up AS nl, sum(s) OVER up AS sl, sum(n) OVER whole AS n, sum(s) OVER whole AS s,
+                   lead(v) OVER up AS above
+            FROM long{i} WINDOW up AS (PARTITION BY node, f ORDER BY v), whole AS (PARTITION BY node, f)),
+best{i} AS MATERIALIZED (
+  SELECT node, f, (v + above) / 2 AS cut FROM sums{i}
+  WHERE nl < n AND node IN (SELECT node FROM r{i} WHERE split = 'train' GROUP BY node HAVING min(label) < max(label))
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, f, v) = 1),
+r{i + 1} AS MATERIALIZED (
+  SELECT 2 * r.node + CASE WHEN x[f] > cut THEN 1 ELSE 0 END AS node, x, label, split
+  FROM r{i} r LEFT JOIN best{i} b USING (node))""")
+    return ",\n".join(steps) + f""",
+p AS (SELECT t.label, m.prediction FROM r{depth} t
+      JOIN (SELECT node, avg(label) AS prediction FROM r{depth} WHERE split = 'train' GROUP BY node) m USING (node)
+      WHERE t.split = 'test')"""
+
+
+SQL["tree_two_levels"] = SPLIT_ROWS + f""",
+{_tree(FEATURES, 2)}
+SELECT 'tree_two_levels'{METRICS} FROM p"""
+
+
+def _sf(z):
+    """Upper tail of the standard normal: the series up to 3, the continued fraction beyond."""
+    x = f"abs({z})"
+    density = f"(exp(-{x} * {x} / 2) / sqrt(2 * pi()))"
+    series = (f"list_reduce([1.0::DOUBLE] || list_reverse(range(1, 41))::DOUBLE[], "
+              f"lambda acc, k: 1.0 + {x} * {x} / (2.0 * k + 1) * acc)")
+    fraction = f"list_reduce([{x}] || list_reverse(range(1, 61))::DOUBLE[], lambda acc, k: {x} + k / acc)"
+    tail = f"(CASE WHEN {x} <= 3 THEN 0.5 - {density} * {x} * {series} ELSE {density} / {fraction} END)"
+    return f"(CASE WHEN {z} < 0 THEN 1.0 - {tail} ELSE {tail} END)"
+
+
+SQL["ks_normal"] = with_views("items") + f""",
+x AS (SELECT CAST(price AS DOUBLE) AS x FROM items WHERE price IS NOT NULL AND NOT isnan(price)),
+m AS (SELECT avg(x) AS mean, stddev_samp(x) AS sd, count(*) AS n FROM x),
+v AS (SELECT x, count(*) AS t FROM x GROUP BY x),
+z AS (SELECT n, mean, sd, t, sum(t) OVER (ORDER BY x) AS upto, (x - mean) / sd AS z FROM v, m),
+f AS (SELECT *, 1.0 - {_sf("z")} AS f FROM z),
+d AS (SELECT any_value(n) AS n, any_value(mean) AS mean, any_value(sd) AS sd,
+             CAST(max(greatest(upto / n::DOUBLE - f, f - (upto - t) / n::DOUBLE)) AS DOUBLE) AS d FROM f),
+l AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS lam FROM d)
+SELECT n, mean, sd, d, CASE WHEN lam < 0.04 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 2 * list_sum(list_transform(
+         range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * lam * lam))))) END AS p
+FROM l"""
+
+
+def _polynomial(coefs, x):
+    return "(" + " + ".join(f"{c!r} * pow({x}, {i})" for i, c in enumerate(coefs)) + ")"
+
+
+def _decision():
+    from quarry.plans.stats import C5, C6
+    z = f"((ln(greatest(1.0 - w, 1e-300)) - {_polynomial(C5, 'ln(n)')}) / exp({_polynomial(C6, 'ln(n)')}))"
+    return f"""
+WITH w AS ({SQL["shapiro_wilk_w"]}),
+u AS ({SQL["mann_whitney_u"]}),
+t AS (SELECT 'shapiro_wilk' AS test, w AS statistic, {_sf("z")} AS p, 0.01::DOUBLE AS alpha
+      FROM (SELECT w, {z} AS z FROM w)
+      UNION ALL
+      SELECT 'mann_whitney_u', u1, least(1.0::DOUBLE, 2 * {_sf("z")}), 0.05::DOUBLE FROM u)
+SELECT *, p < alpha AS reject FROM t"""
+
+
+SQL["test_decision"] = _decision()
+SQL["shapiro_wilk"] = f"""
+WITH w AS ({SQL["shapiro_wilk_w"]}),
+t AS (SELECT p FROM ({_decision()}) WHERE test = 'shapiro_wilk')
+SELECT n, w, p FROM w, t"""

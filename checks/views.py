@@ -53,7 +53,7 @@ def pct(num: str, den: str) -> str:
 
 
 ITEMS = """
-  SELECT l_orderkey * 8 + l_linenumber AS item_id,
+  SELECT (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey % 100000 AS item_id,
          p_name AS name, p_type AS category, l_quantity * p_retailprice AS price,
          CASE l_partkey % 4
            WHEN 0 THEN 'No old price'

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from quarry.catalog.base import query
 from quarry.catalog.catalogue import SIDES
+from quarry.operators.neighbours import neighbours
 from quarry.plans import clean as cl
 from quarry.plans import models as ml
 from quarry.plans import stats as st
+from quarry.plans import trees
+from quarry.session import cut_lineage
 from quarry.sources import tables as tb
 
 MATRIX_1 = ["price", "discount", "depth", "height", "width", "v_furniture",
             "other_category_le", "other_colors_le"]
-DEPTHS = {"forest": {"maxDepth": 10}}  # the registered forest; the library default has no such bound
 SIDE_AREAS = ["price", "s1", "s2", "s3"]  # side areas, chosen at 0.5
 MATRIX_2 = ["price", "depth", "height", "width", "v_furniture", "s3", "s2", "s1"]
 DIM = 64
@@ -47,9 +49,7 @@ def embeddings(spark, sf) -> DataFrame:
 def _emb_neighbours(spark, sf, k):
     e = embeddings(spark, sf)
     train = e.where(F.col("split") == "train").select("id", "vec", "label")
-    test = e.where(F.col("split") == "test").select("id", "vec")
-    truth = e.where(F.col("split") == "test").select(F.col("id").alias("qid"), "label")
-    return ml.neighbours(train, test, k), truth
+    return neighbours(train, e.where(F.col("split") == "test").select("id", "vec", F.col("label").alias("truth")), k)
 
 
 # --- statistics -------------------------------------------------------------------------
@@ -59,6 +59,11 @@ def q_shapiro_wilk(spark, sf):
     return st.shapiro_wilk(tb.items(spark, sf), "price")
 
 
+@query("ks_normal")
+def q_ks_normal(spark, sf):
+    return st.kolmogorov_smirnov(tb.items(spark, sf), "price")
+
+
 @query("mann_whitney_u")
 def q_mann_whitney_u(spark, sf):
     return st.mann_whitney_u(tb.items(spark, sf), "price", "other_colors", "No", "Yes")
@@ -107,14 +112,12 @@ def q_hash_split(spark, sf):
 
 @query("knn_classify")
 def q_knn_classify(spark, sf):
-    nbs, _ = _emb_neighbours(spark, sf, 3)
-    return ml.vote(nbs, 3)
+    return ml.vote(_emb_neighbours(spark, sf, 3), 3)
 
 
 @query("knn_accuracy_by_k")
 def q_knn_accuracy_by_k(spark, sf):
-    nbs, truth = _emb_neighbours(spark, sf, 9)
-    return ml.accuracy_by_k(nbs, truth, range(1, 10))
+    return ml.accuracy_by_k(_emb_neighbours(spark, sf, 9), range(1, 10))
 
 
 @query("knn_predict_one")
@@ -124,39 +127,47 @@ def q_knn_predict_one(spark, sf):
     centroid = e.agg(F.array(*[F.avg(F.col("vec")[i]) for i in range(DIM)]).alias("vec"))
     new = centroid.select(F.lit(0).cast("bigint").alias("id"), "vec")
     train = e.where(F.col("split") == "train").select("id", "vec", "label")
-    return ml.vote(ml.neighbours(train, new, 1), 1)
+    return ml.vote(neighbours(train, new, 1), 1)
 
 
 @query("knn_train_accuracy")
 def q_knn_train_accuracy(spark, sf):
     e = embeddings(spark, sf).where(F.col("split") == "train")
-    nbs = ml.neighbours(e.select("id", "vec", "label"), e.select("id", "vec"), 1)
-    truth = e.select(F.col("id").alias("qid"), "label")
-    return ml.accuracy_by_k(nbs, truth, [1]).select("accuracy")
+    nbs = neighbours(e.select("id", "vec", "label"), e.select("id", "vec", F.col("label").alias("truth")), 1)
+    return ml.accuracy_by_k(nbs, [1]).select("accuracy")
 
 
 def _item_vectors(split: DataFrame) -> DataFrame:
+    """Features in hundredths, as whole numbers: distances are exact and their ties too."""
     return split.select(F.col("item_id").alias("id"),
-                        F.array(*[F.col(c) for c in ml.FEATURES]).alias("vec"),
+                        F.array(*[F.round(F.col(c) * 100) for c in ml.FEATURES]).alias("vec"),
                         F.col("label").cast("double").alias("label"), "split")
 
 
-def knn_regression(spark, sf) -> DataFrame:
-    data = _item_vectors(split_items(spark, sf))
-    train = data.where(F.col("split") == "train").select("id", "vec", "label")
-    test = data.where(F.col("split") == "test")
-    pred = ml.knn_mean(ml.neighbours(train, test.select("id", "vec"), 5), 5)
-    return pred.join(test.select(F.col("id").alias("qid"), "label"), "qid")
+def knn_regression(split: DataFrame) -> DataFrame:
+    data = _item_vectors(split)
+    test = data.where(F.col("split") == "test").select("id", "vec", F.col("label").alias("truth"))
+    return ml.knn_mean(neighbours(data.where(F.col("split") == "train"), test, 5), 5)
 
 
 @query("knn_regress")
 def q_knn_regress(spark, sf):
-    return ml.metrics(knn_regression(spark, sf), "knn")
+    return ml.metrics(knn_regression(split_items(spark, sf)), "knn")
+
+
+FITS = {
+    "linear": lambda split: ml.least_squares(split),
+    "tree": lambda split: trees.fit_predict(split, ml.FEATURES),
+    "forest": lambda split: trees.fit_predict(split, ml.FEATURES, trees=100, bootstrap=True),
+    "gbt": lambda split: ml.fit_predict(split, "gbt"),
+    "kernel_rff": lambda split: ml.kernel_predict(split),
+    "knn": knn_regression,
+}
 
 
 def _model(kind):
     def run(spark, sf):
-        return ml.metrics(ml.fit_predict(split_items(spark, sf), kind, **DEPTHS.get(kind, {})), kind)
+        return ml.metrics(FITS[kind](split_items(spark, sf)), kind)
     return run
 
 
@@ -165,6 +176,11 @@ for _kind, _key in (("linear", "linear_regression"), ("tree", "tree"),
     query(_key)(_model(_kind))
 
 
+@query("tree_two_levels")
+def q_tree_two_levels(spark, sf):
+    return ml.metrics(trees.fit_predict(split_items(spark, sf), ml.FEATURES, max_depth=2), "tree_two_levels")
+
+
 @query("kernel_rff")
 def q_kernel_rff(spark, sf):
     return ml.metrics(ml.kernel_predict(split_items(spark, sf)), "kernel_rff")
@@ -172,11 +188,8 @@ def q_kernel_rff(spark, sf):
 
 @query("model_comparison")
 def q_model_comparison(spark, sf):
-    split = split_items(spark, sf).cache()
-    parts = [ml.metrics(ml.fit_predict(split, k, **DEPTHS.get(k, {})), k) for k in ("linear", "tree", "forest", "gbt")]
-    parts.append(ml.metrics(ml.kernel_predict(split), "kernel_rff"))
-    parts.append(ml.metrics(knn_regression(spark, sf), "knn"))
-    return reduce(DataFrame.unionByName, parts).orderBy("rmse")
+    split = cut_lineage(split_items(spark, sf))  # one split for all models
+    return reduce(DataFrame.unionByName, [ml.metrics(fit(split), kind) for kind, fit in FITS.items()]).orderBy("rmse")
 
 
 @query("shapiro_wilk_w")
@@ -186,5 +199,4 @@ def q_shapiro_wilk_w(spark, sf):
 
 @query("ols_one_feature")
 def q_ols_one_feature(spark, sf):
-    pred = ml.fit_predict(split_items(spark, sf), "linear", features=["s2"])
-    return ml.metrics(pred, "linear_s2")
+    return ml.metrics(ml.least_squares(split_items(spark, sf), ["s2"]), "linear_s2")

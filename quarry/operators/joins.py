@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import cut_lineage
+
 # Upper bound for an explicit broadcast hint. Above it the hint is dropped and
 # the planner keeps a shuffle join (sort-merge, or AQE's own runtime choice).
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
@@ -65,3 +67,34 @@ def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) ->
         (F.col("__n_all") == 0)
         | ((F.col("__n_null") == 0) & F.col(left_key).isNotNull()))
     return guarded.drop("__n_all", "__n_null")
+
+
+class Excluded:
+    """The right side of a NOT IN that several parts of a report share, frozen once.
+
+    The distinct keys are one narrow checkpoint; whether there are any, and a NULL
+    among them, is known then, so every use is a plain join without a second read."""
+
+    def __init__(self, right: DataFrame, key: str):
+        held = cut_lineage(right.select(F.col(key).alias("__nk")).distinct())
+        told = held.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__nk").isNull()).alias("nulls")).first()
+        self.none, self.null = told["n"] == 0, told["nulls"] > 0
+        self.keys = held.where(F.col("__nk").isNotNull())
+
+    def without(self, left: DataFrame, key: str) -> DataFrame:
+        """``left WHERE key NOT IN (...)``, as :func:`not_in`."""
+        if self.none:
+            return left
+        if self.null:
+            return left.where(F.lit(False))
+        return left.where(F.col(key).isNotNull()).join(self.keys, F.col(key) == F.col("__nk"), "left_anti")
+
+    def flag(self, left: DataFrame, key: str, name: str) -> DataFrame:
+        """``left`` with ``name``: whether ``key NOT IN (...)`` is true."""
+        def told(c: Column) -> DataFrame:
+            return left.withColumn(name, c)
+
+        if self.none or self.null:
+            return told(F.lit(self.none))
+        marked = left.join(self.keys.withColumn("__in", F.lit(True)), F.col(key) == F.col("__nk"), "left")
+        return marked.withColumn(name, F.col("__in").isNull() & F.col(key).isNotNull()).drop("__in", "__nk")

@@ -2,11 +2,8 @@
 
 * Regressors are MLlib estimators (distributed fits); metrics are plain
   aggregates over the test predictions.
-* Exact KNN is a block nested loop: train and test rows are hashed into
-  blocks, each (test block, train block) pair meets in one cogroup task that
-  computes distances with numpy and keeps only the ``k`` best per test row,
-  and a final step merges those partial lists (at most ``k`` x blocks rows per
-  test row). No pair row is ever materialised and no side is broadcast.
+* Votes and means of nearest neighbours work on the table that
+  ``quarry.operators.neighbours`` gives.
 * The kernel model (re-aimed from an RBF support-vector regressor) uses
   random Fourier features as native column expressions and a ridge fit.
 """
@@ -17,7 +14,6 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
@@ -86,6 +82,48 @@ def fit_predict(split: DataFrame, kind: str, features=FEATURES, **params) -> Dat
     return model.transform(test)
 
 
+def least_squares(split: DataFrame, features=FEATURES, label: str = "label") -> DataFrame:
+    """Least squares with an intercept; the test rows with ``prediction``.
+
+    Means and the Gram matrix of the centred train columns are one aggregate (one
+    row); the normal equations are solved by elimination on it. A feature that is
+    constant, or a linear function of those before it, gets the coefficient 0."""
+    data = cut_lineage(split)
+    train = data.where(F.col("split") == "train")
+    names = [*features, label]
+    values = {c: F.col(c).cast("double") for c in names}
+    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(names))]
+    row = train.agg(*[F.avg(values[c]).alias(f"m{i}") for i, c in enumerate(names)],
+                    *[F.covar_pop(values[names[i]], values[names[j]]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    test = data.where(F.col("split") == "test")
+    if row["m0"] is None:
+        return test.withColumn("prediction", F.lit(None).cast("double"))
+    k = len(features)
+    a = [[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k)]
+    beta = eliminate(a)
+    intercept = row[f"m{k}"] - sum(b * row[f"m{i}"] for i, b in enumerate(beta))
+    guess = reduce(lambda p, q: p + q, [F.lit(b) * values[c] for b, c in zip(beta, features, strict=True)], F.lit(intercept))
+    return test.withColumn("prediction", guess)
+
+
+def eliminate(a: list[list[float]]) -> list[float]:
+    """Solution of the normal equations ``a`` (right side in the last column), a symmetric non-negative matrix."""
+    k = len(a)
+    a, scale = [list(r) for r in a], [a[i][i] for i in range(k)]
+    free = [False] * k
+    for p in range(k):
+        free[p] = a[p][p] <= 1e-12 * scale[p]
+        if not free[p]:
+            for r in range(p + 1, k):
+                q = a[r][p] / a[p][p]
+                a[r] = [x - q * y for x, y in zip(a[r], a[p], strict=True)]
+    beta = [0.0] * k
+    for p in reversed(range(k)):
+        if not free[p]:
+            beta[p] = (a[p][k] - sum(a[p][j] * beta[j] for j in range(p + 1, k))) / a[p][p]
+    return beta
+
+
 def fourier_features(df: DataFrame, features=FEATURES, d: int = 40, gamma: float | None = None,
                      seed: int = SEED) -> tuple[DataFrame, list[str]]:
     """Random Fourier features approximating an RBF kernel
@@ -123,109 +161,33 @@ def kernel_predict(split: DataFrame, features=FEATURES, d: int = 40,
     return model.transform(data.where(F.col("split") == "test"))
 
 
-# --- L3-L6, L12: exact nearest neighbours -----------------------------------------------
-
-NB_SCHEMA = "qid long, tid long, dist double, label double, nb_rank int"
-
-
-def _block_topk(k: int):
-    def run(key, test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        if test.empty or train.empty:
-            return pd.DataFrame({"qid": [], "tid": [], "dist": [], "label": [], "nb_rank": []})
-        q = np.stack(test["q_vec"].to_numpy()).astype(np.float64)
-        t = np.stack(train["t_vec"].to_numpy()).astype(np.float64)
-        tids = train["t_id"].to_numpy()
-        labels = train["t_label"].to_numpy().astype(np.float64)
-        qids = test["q_id"].to_numpy()
-        kk = min(k, len(t))
-        tn = np.einsum("ij,ij->i", t, t)
-        out = []
-        step = max(1, 8_000_000 // max(1, len(t)))
-        for s in range(0, len(q), step):
-            qs = q[s:s + step]
-            qn = np.einsum("ij,ij->i", qs, qs)
-            # fast squared distances by one matrix product; its rounding error
-            # is below tol, so every true k-nearest row is among the candidates
-            fast = qn[:, None] + tn[None, :] - 2.0 * (qs @ t.T)
-            tol = 1e-9 * (qn[:, None] + tn.max()) + 1e-12
-            kth = np.partition(fast, kk - 1, axis=1)[:, kk - 1]
-            rows, cols = np.nonzero(fast <= (kth[:, None] + tol))
-            # exact distances on the candidates, then (row, distance, train id)
-            diff = qs[rows] - t[cols]
-            exact = np.einsum("ij,ij->i", diff, diff)
-            order = np.lexsort((tids[cols], exact, rows))
-            rows, cols, exact = rows[order], cols[order], exact[order]
-            first = np.searchsorted(rows, rows, side="left")
-            rank = np.arange(len(rows)) - first + 1
-            keep = rank <= kk
-            rows, cols, exact, rank = rows[keep], cols[keep], exact[keep], rank[keep]
-            out.append(pd.DataFrame({"qid": qids[s + rows], "tid": tids[cols],
-                                     "dist": exact, "label": labels[cols],
-                                     "nb_rank": rank.astype(np.int32)}))
-        return pd.concat(out, ignore_index=True)
-    return run
-
-
-def neighbours(train: DataFrame, test: DataFrame, k: int,
-               block_rows: int = 20_000) -> DataFrame:
-    """The ``k`` nearest train rows of every test row by Euclidean distance
-    (ties by train id): ``qid, tid, dist (squared), label, nb_rank``.
-
-    ``train`` has ``id, vec array<double>, label``; ``test`` has ``id, vec``.
-    Both inputs are checkpointed first (every block reads them again); their
-    row counts, cheap on the checkpoint, size the blocks so one block pair
-    fits a task.
-    """
-    train, test = cut_lineage(train), cut_lineage(test)
-    if not test.groupBy("id").count().where("count > 1").isEmpty():
-        raise ValueError("query ids must be unique: neighbours are ranked per id")
-    nb = max(1, math.ceil(train.count() / block_rows))
-    nq = max(1, math.ceil(test.count() / block_rows))
-    # distinct column names on the two sides: both may derive from one frame,
-    # and same-lineage columns must not be merged by the cogroup
-    tr = (train.select(F.col("id").alias("t_id"), F.col("vec").alias("t_vec"),
-                       F.col("label").cast("double").alias("t_label"))
-          .withColumn("rb", F.pmod(F.xxhash64("t_id"), F.lit(nb)).cast("int"))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
-    te = (test.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
-          .withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(nq)).cast("int"))
-          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))))
-    partial = (te.groupBy("qb", "rb")
-               .cogroup(tr.groupBy("qb", "rb"))
-               .applyInPandas(_block_topk(k), NB_SCHEMA))
-    w = Window.partitionBy("qid").orderBy("dist", "tid")
-    return (partial.withColumn("nb_rank", F.row_number().over(w))
-            .where(F.col("nb_rank") <= k))
-
+# --- L3-L6, L12: votes and means over exact nearest neighbours -----------------------------
 
 def vote(nbs: DataFrame, k: int) -> DataFrame:
     """L3: majority label of the ``k`` nearest; a tie goes to the smallest label."""
-    votes = (nbs.where(F.col("nb_rank") <= k).groupBy("qid", "label")
+    votes = (nbs.where(F.col("nb_rank") <= k).groupBy("qid", "qrow", "label")
              .agg(F.count(F.lit(1)).alias("votes")))
-    w = Window.partitionBy("qid").orderBy(F.desc("votes"), F.asc("label"))
+    w = Window.partitionBy("qrow").orderBy(F.desc("votes"), F.asc("label"))
     return (votes.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1)
             .select("qid", F.col("label").alias("predicted")))
 
 
 def knn_mean(nbs: DataFrame, k: int) -> DataFrame:
-    """Mean label of the ``k`` nearest (KNN regression)."""
-    return (nbs.where(F.col("nb_rank") <= k).groupBy("qid")
-            .agg(F.avg("label").alias("prediction")))
+    """Mean label of the ``k`` nearest of every query row, beside its true label."""
+    return (nbs.where(F.col("nb_rank") <= k).groupBy("qid", "qrow")
+            .agg(F.avg("label").alias("prediction"), F.first("truth").alias("label")))
 
 
-def accuracy_by_k(nbs: DataFrame, truth: DataFrame, ks=range(1, 10)) -> DataFrame:
+def accuracy_by_k(nbs: DataFrame, ks=range(1, 10)) -> DataFrame:
     """L4: accuracy of the majority vote for each k, in one pass over one
-    neighbour table holding the max(k) nearest: a neighbour of rank r votes
+    neighbour table holding the max(k) nearest (with the queries' true labels): a neighbour of rank r votes
     for every k >= r, the winner per (test row, k) is the most voted label
     (smallest on a tie), and one aggregate gives all accuracies."""
     ks = sorted(ks)
     per_k = nbs.where(F.col("nb_rank") <= ks[-1]).withColumn(
         "k", F.explode(F.filter(F.array(*[F.lit(k) for k in ks]),
                                 lambda k: k >= F.col("nb_rank"))))
-    votes = per_k.groupBy("qid", "k", "label").agg(F.count(F.lit(1)).alias("votes"))
-    w = Window.partitionBy("qid", "k").orderBy(F.desc("votes"), F.asc("label"))
-    winners = (votes.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1)
-               .select("qid", "k", F.col("label").alias("predicted")))
-    return (winners.join(truth, "qid")
-            .groupBy("k").agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))
-                              .alias("accuracy")))
+    votes = per_k.groupBy("qrow", "k", "truth", "label").agg(F.count(F.lit(1)).alias("votes"))
+    w = Window.partitionBy("qrow", "k").orderBy(F.desc("votes"), F.asc("label"))
+    winners = votes.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1)
+    return winners.groupBy("k").agg(F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))

@@ -82,15 +82,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the session's file system closes."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never local).
 
+    Its files are deleted once no frame refers to it (Spark's context cleaner).
+
     The frame is persisted for the duration of the checkpoint: writing the
     checkpoint files is a second job over the same data, which would
     otherwise recompute the whole plan."""
     from pyspark import StorageLevel
 
     checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return held.checkpoint(eager=True)

@@ -48,8 +48,10 @@ class Shop:
     once and reuses, instead of rescanning per use."""
 
     def __init__(self, user_actions: DataFrame, orders: DataFrame,
-                 products: DataFrame, courier_actions: DataFrame):
+                 products: DataFrame, courier_actions: DataFrame, cancelled: DataFrame | None = None):
         self.user_actions = user_actions
+        #: ids of cancelled orders, where the source can give them without reading all actions
+        self.cancelled = cancelled
         self.orders = orders
         self.products = products
         self.courier_actions = courier_actions
@@ -64,17 +66,19 @@ class Shop:
 def bind_user_actions(orders: DataFrame) -> DataFrame:
     """Each order is created by its customer at the order time; orders with
     status 'F' are also cancelled one hour later."""
-    created = orders.select(
-        F.col("o_custkey").alias("user_id"),
-        F.col("o_orderkey").alias("order_id"),
-        F.lit("create_order").alias("action"),
-        F.col("o_orderdate").alias("time"))
-    cancelled = orders.where(F.col("o_orderstatus") == "F").select(
-        F.col("o_custkey").alias("user_id"),
-        F.col("o_orderkey").alias("order_id"),
-        F.lit("cancel_order").alias("action"),
-        (F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("time"))
-    return created.unionByName(cancelled)
+    def act(name, time):
+        return F.struct(F.lit(name).alias("action"), time.alias("time"))
+
+    created, later = F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")
+    actions = F.when(F.col("o_orderstatus") == "F", F.array(act("create_order", created), act("cancel_order", later))
+                     ).otherwise(F.array(act("create_order", created)))
+    return orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("order_id"),
+                         F.explode(actions).alias("a")).select("user_id", "order_id", "a.action", "a.time")
+
+
+def bind_cancelled(orders: DataFrame) -> DataFrame:
+    """Ids of cancelled orders; the status filter reaches the scan."""
+    return orders.where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("order_id"))
 
 
 def bind_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
@@ -112,7 +116,8 @@ def shop(spark: SparkSession, sf_dir: str) -> Shop:
     return Shop(user_actions=bind_user_actions(orders),
                 orders=bind_orders(orders, lineitem),
                 products=bind_products(table(spark, sf_dir, "part")),
-                courier_actions=bind_courier_actions(lineitem))
+                courier_actions=bind_courier_actions(lineitem),
+                cancelled=bind_cancelled(orders))
 
 
 # Names treated as the reduced-VAT list when the driver tables are bound
@@ -143,8 +148,8 @@ def bind_items(lineitem: DataFrame, part: DataFrame) -> DataFrame:
                                       F.lit("/4 pack")))
            .otherwise(F.concat(F.lit("SR "), F.floor(price).cast("string"))))
     return j.select(
-        # one order has at most seven lines: the key of a line is unique
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item_id"),
+        # order, line number and part; an order can repeat line numbers, so equal ids stay possible
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey") % 100000).alias("item_id"),
         F.col("p_name").alias("name"),
         F.col("p_type").alias("category"),
         price.alias("price"),

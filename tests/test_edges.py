@@ -55,13 +55,6 @@ def test_metrics_of_a_constant_label(spark):
     assert r.rmse == pytest.approx(math.sqrt(0.5)) and r.r2 is None
 
 
-def test_neighbours_refuse_repeated_query_ids(spark):
-    train = spark.createDataFrame([(1, [0.0], 0.0), (2, [9.0], 9.0)], "id long, vec array<double>, label double")
-    test = spark.createDataFrame([(100, [0.0]), (100, [9.0])], "id long, vec array<double>")
-    with pytest.raises(ValueError):
-        md.neighbours(train, test, 2)
-
-
 @pytest.mark.parametrize("lateness", ["1 hour", "12 hours", "2 days"])
 def test_streaming_dau_with_any_lateness(spark, lateness):
     rows = [(1, datetime(2024, 1, 1, 0, 5)), (2, datetime(2024, 1, 1, 9)), (3, datetime(2024, 1, 1, 10)),

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators.neighbours import neighbours
 from quarry.plans import models as ml
 
 
@@ -27,14 +28,14 @@ def _brute(x, y, train, test, k):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [1000, 37])
-def test_neighbours_exact_with_ties(spark, data, block_rows):
+@pytest.mark.parametrize("block_rows,pivots", [(1000, None), (37, 5), (20, 60), (1000, 1)])
+def test_neighbours_exact_with_ties(spark, data, block_rows, pivots):
     df, x, y = data
     split = {r["id"]: r["split"] for r in df.collect()}
     train = np.array(sorted(i for i, s in split.items() if s == "train"))
     test = np.array(sorted(i for i, s in split.items() if s == "test"))
-    nbs = ml.neighbours(df.where(F.col("split") == "train").select("id", "vec", "label"),
-                        df.where(F.col("split") == "test").select("id", "vec"), 5, block_rows=block_rows)
+    nbs = neighbours(df.where(F.col("split") == "train"), df.where(F.col("split") == "test"), 5,
+                     block_rows=block_rows, pivots=pivots)
     got = {}
     for r in nbs.orderBy("qid", "nb_rank").collect():
         got.setdefault(r["qid"], []).append(r["tid"])
@@ -47,6 +48,56 @@ def test_neighbours_exact_with_ties(spark, data, block_rows):
     assert votes[q] == min(v for v, c in counts.items() if c == best)
 
 
+def clustered(spark, n, seed):
+    """Rows around as many centres as the square root of their number."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 100, (int(n ** 0.5), 6))
+    x = centres[rng.integers(0, len(centres), n)] + rng.normal(0, 1, (n, 6))
+    return x, spark.createDataFrame([(i, [float(v) for v in x[i]], float(i % 3)) for i in range(n)],
+                                    "id long, vec array<double>, label double")
+
+
+def test_pairs_grow_slower_than_train_times_test(spark):
+    share = []
+    for n in (1000, 4000):
+        x, df = clustered(spark, n, 4)
+        report = {}
+        nbs = neighbours(df.where("id % 4 > 0"), df.where("id % 4 = 0"), 3, report=report).collect()
+        ids = np.arange(n)
+        want = _brute(x, None, ids[ids % 4 > 0], ids[ids % 4 == 0], 3)
+        got = {}
+        for r in sorted(nbs, key=lambda r: r["nb_rank"]):
+            got.setdefault(r["qid"], []).append(r["tid"])
+        assert got == want
+        share.append(report["pairs"] / (report["train"] * report["test"]))
+    assert share[0] < 0.25 and share[1] < 0.6 * share[0]
+
+
+def test_pruned_search_is_exact_on_far_and_equal_rows(spark):
+    rng = np.random.default_rng(9)
+    x = np.r_[np.full((200, 3), 7.0), rng.normal(0, 1e6, (100, 3)), rng.normal(0, 1e-6, (100, 3)), np.zeros((50, 3))]
+    rows = [(i, [float(v) for v in x[i]], float(i % 5)) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label double")
+    got = {}
+    for r in neighbours(df, df, 4, block_rows=64).orderBy("qid", "nb_rank").collect():
+        got.setdefault(r["qid"], []).append(r["tid"])
+    ids = np.arange(len(x))
+    assert got == _brute(x, None, ids, ids, 4)
+
+
+def test_queries_are_rows(spark):
+    """Ids may repeat on both sides; every query row has its own neighbours."""
+    train = spark.createDataFrame([(1, [0.0], 5.0), (1, [0.0], 3.0), (2, [9.0], 7.0)], "id long, vec array<double>, label double")
+    test = spark.createDataFrame([(4, [0.0], 1.0), (4, [0.0], 1.0), (4, [8.0], 2.0)], "id long, vec array<double>, truth double")
+    rows = neighbours(train, test, 2).collect()
+    assert sorted((r["tid"], r["label"], r["nb_rank"]) for r in rows) == sorted(
+        [(1, 3.0, 1), (1, 5.0, 2)] * 2 + [(2, 7.0, 1), (1, 3.0, 2)])
+    means = sorted((r["prediction"], r["label"]) for r in ml.knn_mean(neighbours(train, test, 2), 2).collect())
+    assert means == [(4.0, 1.0), (4.0, 1.0), (5.0, 2.0)]
+    assert neighbours(train.limit(0), test, 2).count() == 0 and neighbours(train, test.limit(0), 2).count() == 0
+    assert neighbours(train, test, 9).count() == 9  # fewer rows than k
+
+
 def test_hash_split_is_about_70_percent(data):
     df, _, _ = data
     frac = df.where(F.col("split") == "train").count() / df.count()
