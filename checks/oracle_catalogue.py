@@ -149,3 +149,17 @@ SELECT i.other_colors, f.q1, f.median, f.q3,
 FROM items i JOIN f USING (other_colors) WHERE price IS NOT NULL
 GROUP BY i.other_colors, f.q1, f.median, f.q3""",
 }
+
+
+def _profile(c, t):
+    number, text = t in ("bigint", "double"), t == "string"
+    x = f"CAST({c} AS DOUBLE)"
+    numbers = [f"{f}({x})" if number else "NULL::DOUBLE" for f in ("avg", "stddev_samp", "min", "max")]
+    texts = [f"{f}({c})" if text else "NULL::VARCHAR" for f in ("min", "max")]
+    names = ("mean", "std", "min_number", "max_number", "min_text", "max_text")
+    return (f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(*) AS rows, count(*) - count({c}) AS nulls, "
+            f"count(DISTINCT {c}) AS distinct_values, "
+            + ", ".join(f"{v} AS {n}" for v, n in zip(numbers + texts, names, strict=True)) + " FROM items")
+
+
+SQL["profile"] = with_views("items") + "\nUNION ALL\n".join(_profile(c, t) for c, t in ITEM_TYPES)

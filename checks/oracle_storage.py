@@ -53,7 +53,24 @@ FROM orders""",
     "head_n": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10",
     "tail_n": "SELECT * FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 10) t ORDER BY o_orderkey",
     "row_index": """
-SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS index,
+SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS index,
        l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity
 FROM lineitem""",
 }
+
+SQL["date_violations"] = """
+WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-') || lpad(
+             CAST(day(o_orderdate) + o_orderkey % 4 AS VARCHAR), 2, '0') AS due FROM orders)
+SELECT o_orderkey AS key, 'due' AS "column", due AS value, 'not a date' AS reason
+FROM t WHERE try_cast(due AS DATE) IS NULL"""
+SQL["typed_database"] = """
+SELECT s_suppkey, s_name, rpad(CAST(s_nationkey AS VARCHAR), 4, ' ') AS s_nation,
+       (SELECT max(length(s_name || '!')) > 18 FROM supplier) AS long_name_refused, true AS long_code_refused
+FROM supplier"""
+SQL["csv_checked"] = """
+SELECT c_custkey, c_name, CASE WHEN c_custkey % 211 <> 0 THEN CAST(c_nationkey AS BIGINT) END AS c_nationkey,
+       CASE WHEN c_custkey % 307 <> 0 THEN c_mktsegment END AS c_mktsegment,
+       CASE WHEN c_custkey % 211 = 0 OR c_custkey % 307 = 0 THEN concat_ws(',', c_custkey, c_name,
+            CASE WHEN c_custkey % 211 = 0 THEN 'n/a' ELSE CAST(c_nationkey AS VARCHAR) END,
+            CASE WHEN c_custkey % 307 <> 0 THEN c_mktsegment END) END AS bad_record
+FROM customer"""

@@ -39,7 +39,7 @@ def main(argv: list[str]) -> None:
     for k in keys:
         df = REGISTRY[k](spark, sf)
         df.write.format("noop").mode("overwrite").save()
-        a = audit(df._jdf.queryExecution().executedPlan().toString())
+        a = audit(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
         print(f"{k:28s} {a['scans']:5d} {a['pushed']:6d} {a['shuffles']:8d} {a['single_partition']:6d} "
               f"{a['broadcasts']:5d} {a['smj']:3d} {a['bnlj']:4d} {a['windows']:7d}")
 

@@ -31,6 +31,11 @@ def _imputed(spark, sf):
     return cl.add_geometry(cl.impute_group_median(_clean(spark, sf), "category", SIDES))
 
 
+@query("profile")
+def q_profile(spark, sf):
+    return pf.profile_columns(_items(spark, sf))
+
+
 @query("describe")
 def q_describe(spark, sf):
     return pf.describe(_items(spark, sf), ["price", "depth", "height", "width"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.catalog.base import query
@@ -50,6 +51,14 @@ def q_type_violations(spark, sf):
                                                      "o_orderstatus": ("char", 1)})
 
 
+@query("date_violations")
+def q_date_violations(spark, sf):
+    """Dates written as text, some of them on days that a month does not have."""
+    day = F.date_format("o_orderdate", "dd").cast("int") + F.pmod("o_orderkey", F.lit(4)).cast("int")
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-"), F.lpad(day.cast("string"), 2, "0"))
+    return qa.type_violations(tb.table(spark, sf, "orders").withColumn("due", text), "o_orderkey", {"due": ("date",)})
+
+
 @query("partition_counts")
 def q_partition_counts(spark, sf):
     return qa.partition_counts(tb.table(spark, sf, "orders"), "o_orderdate",
@@ -115,6 +124,39 @@ def q_csv_roundtrip(spark, sf):
     return fs.read_csv(spark, path, customer.schema)
 
 
+@query("typed_database")
+def q_typed_database(spark, sf):
+    """A database with a typed table: rows that fit are kept, an over-long value is refused."""
+    sup = tb.table(spark, sf, "supplier")
+    with fs.database(spark, f"quarry_{uuid.uuid4().hex[:8]}") as db:
+        name = fs.create_typed_table(spark, f"{db}.suppliers", "s_suppkey BIGINT, s_name VARCHAR(18), s_nation CHAR(4)")
+        fs.append_rows(spark, name, sup.select("s_suppkey", "s_name", F.col("s_nationkey").cast("string")))
+        long = fs.refused(spark, name, sup.select("s_suppkey", F.concat("s_name", F.lit("!")), F.lit("x")))
+        wide = fs.refused(spark, name, sup.select("s_suppkey", "s_name", F.lit("abcde")))
+        out = cut_lineage(spark.table(name).withColumns({"long_name_refused": F.lit(long), "long_code_refused": F.lit(wide)}))
+    return out
+
+
+@query("csv_checked")
+def q_csv_checked(spark, sf):
+    """A file with inferred types, some lines of which have a wrong number or a missing field."""
+    c = tb.table(spark, sf, "customer")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name",
+                       F.when(F.col("c_custkey") % 211 == 0, "n/a").otherwise(F.col("c_nationkey").cast("string")),
+                       F.when(F.col("c_custkey") % 307 != 0, F.col("c_mktsegment")))
+    path = fs.fresh_path(spark, "customer-lines")
+    header = "c_custkey,c_name,c_nationkey,c_mktsegment"
+
+    def with_header(batches):  # every file begins with one
+        for i, batch in enumerate(batches):
+            if not i:
+                yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.field(0).type)], schema=batch.schema)
+            yield batch
+
+    c.select(line.alias("value")).mapInArrow(with_header, "value string").write.text(path)
+    return fs.read_csv_checked(spark, path)
+
+
 @query("export_indexed")
 def q_export_indexed(spark, sf):
     orders = tb.table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
@@ -137,4 +179,4 @@ def q_tail_n(spark, sf):
 def q_row_index(spark, sf):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     lines = tb.table(spark, sf, "lineitem").select(*keys, "l_quantity")
-    return fs.with_row_index(lines, keys)
+    return fs.with_row_index(lines, [*keys, "l_quantity"])

@@ -28,12 +28,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quarry.operators.joins import broadcast_if_rows
-
-from quarry.operators.joins import sized_broadcast
+from quarry.operators.joins import broadcast_if_rows, sized_broadcast
+from quarry.operators.selection import quantiles
+from quarry.session import cut_lineage
 
 MIN_BUCKETS = 64
 # Boundaries only balance the buckets (like the sample behind Spark's range
@@ -117,43 +120,113 @@ def average_ranks(positions: DataFrame) -> DataFrame:
     return positions.withColumn("rank", F.col("start") + (F.col("t") + 1) / 2.0)
 
 
-def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-              buckets: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation between order statistics
-    (``h = (n-1)q``), one row per ``(by..., q)`` with column ``value``.
-
-    Every position row carries its group size ``n``, so the wanted order
-    statistics are found in place (no join keyed by group): a row is kept if
-    its rank range holds ``floor(h)`` or ``ceil(h)``, and a tiny aggregate
-    per ``(group, q)`` interpolates."""
-    by = list(by or [])
-    pos = value_positions(df, value, by, buckets)
-    qs = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
-    h = (F.col("n") - 1) * F.col("q")
-    rows = (pos.select(*by, "x", "t", "start", "n", qs)
-            .withColumn("h", h)
-            .withColumn("k_lo", F.floor("h"))
-            .withColumn("k_hi", F.ceil("h")))
-    has = lambda k: (F.col("start") <= F.col(k)) & (F.col(k) < F.col("start") + F.col("t"))
-    picked = (rows.where(has("k_lo") | has("k_hi"))
-              .groupBy(*by, "q", "h", "k_lo")
-              .agg(F.max(F.when(has("k_lo"), F.col("x"))).alias("x_lo"),
-                   F.max(F.when(has("k_hi"), F.col("x"))).alias("x_hi")))
-    frac = F.col("h") - F.col("k_lo")
-    return picked.select(*by, "q",
-                         (F.col("x_lo") + frac * (F.col("x_hi") - F.col("x_lo"))).alias("value"))
+ROWS_PER_RANGE = 2_000_000  # rows of a range that are ranked in one task (20 bytes each)
+
+
+def _runs(batches):
+    """Keys, values and rows of a sorted partition, with the limits of its runs of equal (key, value)."""
+    held = [b for b in batches if b.num_rows]
+    table = pa.Table.from_batches(held) if held else None
+    if table is None:
+        return None
+    key, value, row = (table.column(i).to_numpy() for i in range(3))
+    new = np.r_[True, (key[1:] != key[:-1]) | (value[1:] != value[:-1])]
+    return key, value, row, np.r_[np.flatnonzero(new), len(key)]
+
+
+def _ends(batches):
+    """Per key of a range: rows, and the first and last value with their counts."""
+    found = _runs(batches)
+    if found is None:
+        return
+    key, value, _, cut = found
+    at, size = cut[:-1], np.diff(cut)
+    first = np.flatnonzero(np.r_[True, key[at][1:] != key[at][:-1]])
+    last = np.r_[first[1:], len(at)] - 1
+    yield pa.RecordBatch.from_pydict({
+        "range": np.full(len(first), TaskContext.get().partitionId(), np.int64), "key": key[at[first]].astype(np.int64),
+        "n": np.add.reduceat(size, first).astype(np.int64), "lo": value[at[first]], "hi": value[at[last]],
+        "n_lo": size[first].astype(np.int64), "n_hi": size[last].astype(np.int64)})
+
+
+def _placed(ends: pd.DataFrame) -> dict:
+    """Per range and key: rows of the key before the range, and (start, ties) of its first and last value,
+    which may go on in other ranges."""
+    ends = ends.sort_values(["key", "range"]).reset_index(drop=True)
+    ends["base"] = ends.groupby("key")["n"].cumsum() - ends["n"]
+    low = pd.DataFrame({"key": ends.key, "value": ends.lo, "at": ends.base, "t": ends.n_lo})
+    high = pd.DataFrame({"key": ends.key, "value": ends.hi, "at": ends.base + ends.n - ends.n_hi, "t": ends.n_hi})
+    border = pd.concat([low, high[ends.lo != ends.hi]]).groupby(["key", "value"]).agg(start=("at", "min"), t=("t", "sum"))
+    found = {}
+    for e in ends.itertuples():
+        lo, hi = border.loc[(e.key, e.lo)], border.loc[(e.key, e.hi)]
+        found[e.range, e.key] = (e.base, (lo.start, lo.t), (hi.start, hi.t))
+    return found
+
+
+def ranks_in_place(df: DataFrame, key: str, value: str, row: str, rows: int) -> DataFrame:
+    """1-based average ranks of ``value`` (finite doubles) within the integer ``key``: ``key, row, rank``.
+
+    Rows are sorted once by (key, value, row) into ranges of about ``ROWS_PER_RANGE``
+    (``rows``: how many there are) and ranked where they lie: no join by value, and a
+    value that many rows share spans ranges. The driver holds one row for each range
+    and key in it, which tells where a range begins and how its border values go on."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_RANGE))
+    columns = [F.col(key).cast("int").alias("key"), (F.col(value).cast("double") + 0.0).alias("value"),
+               F.col(row).cast("long").alias("row")]
+    ranged = cut_lineage(df.select(*columns).repartitionByRange(parts, "key", "value", "row")
+                         .sortWithinPartitions("key", "value", "row"))
+    ends = ranged.mapInArrow(_ends, "range long, key long, n long, lo double, hi double, n_lo long, n_hi long").toPandas()
+    told = spark.sparkContext.broadcast(_placed(ends))
+
+    def ranked(batches):
+        found = _runs(batches)
+        if found is None:
+            return
+        keys, _, rows_, cut = found
+        at, size = cut[:-1], np.diff(cut)
+        owner = keys[at]
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        rank = np.empty(len(at))
+        for a, b in zip(first, np.r_[first[1:], len(at)], strict=True):
+            base, low, high = told.value[TaskContext.get().partitionId(), int(owner[a])]
+            rank[a:b] = base + at[a:b] - at[a] + (size[a:b] + 1) / 2
+            for i, (start, ties) in ((b - 1, high), (a, low)):
+                rank[i] = start + (ties + 1) / 2
+        every = np.repeat(rank, size)
+        for s in range(0, len(every), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[s:s + 100_000]), pa.array(rows_[s:s + 100_000]),
+                                              pa.array(every[s:s + 100_000])], ["key", "row", "rank"])
+
+    return ranged.mapInArrow(ranked, "key int, row long, rank double")
 
 
 def median(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     return quantiles(df, value, [0.5], by).drop("q").withColumnRenamed("value", "median")
 
 
+FEW_CLASSES = 10_000  # classes that are numbered on the driver
+FEW_BYTES = 8 << 20   # of their texts
+
+
 def dense_codes(df: DataFrame, col: str, name: str = "code") -> DataFrame:
     """0-based code of each distinct non-null value in ascending order (label
-    encoding): the global row index of the sorted distinct values, whatever
-    their type and number (range-partitioned, no single-task window)."""
+    encoding). Few classes, counted and measured first, are numbered from one small
+    aggregate; beyond that the code is the global row index of the sorted distinct
+    values, whatever their type and number (range-partitioned, no single-task window)."""
     from quarry.sources.files import with_row_index
 
+    spark = df.sparkSession
     distinct = df.where(F.col(col).isNotNull()).select(col).distinct()
+    kind = df.schema[col].dataType
+    size = F.octet_length(F.col(col).cast("string")) if kind.typeName() != "boolean" else F.lit(1)
+    found = distinct.withColumn("__size", size.cast("long")).limit(FEW_CLASSES + 1)
+    least = found.agg(F.count(F.lit(1)), F.sum("__size"), F.sort_array(F.collect_list(F.when(
+        F.col("__size") <= FEW_BYTES // FEW_CLASSES, F.col(col)))).alias("classes")).first()
+    if least[0] <= FEW_CLASSES and len(least["classes"]) == least[0]:
+        # at most FEW_CLASSES rows and FEW_BYTES
+        rows = [(v, i) for i, v in enumerate(least["classes"])]
+        return F.broadcast(spark.createDataFrame(rows, StructType([StructField(col, kind), StructField(name, IntegerType())])))
     return broadcast_if_rows(with_row_index(distinct, [col], "__code").select(
         col, F.col("__code").cast("int").alias(name)))

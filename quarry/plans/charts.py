@@ -105,7 +105,8 @@ def bar_ci(df: DataFrame, by: str, col: str, z: float = 1.96) -> DataFrame:
 def box_stats(df: DataFrame, by: str, col: str) -> DataFrame:
     """Exact quartiles, whiskers (most extreme values within 1.5 IQR) and
     the number of outliers per group."""
-    q = ranks.quantiles(df, col, [0.25, 0.5, 0.75], by=[by])
+    df = cut_lineage(df.select(by, col))  # read by several passes
+    q = ranks.quantiles(df, col, [0.25, 0.5, 0.75], by=[by], frozen=True)
     wide = q.groupBy(by).agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(n)
                                for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     iqr = F.col("q3") - F.col("q1")

@@ -59,8 +59,7 @@ def label_encode(df: DataFrame, cols: dict[str, str]) -> DataFrame:
     per class and are broadcast when their estimated size is small."""
     out = df
     for src, dst in cols.items():
-        codes = ranks.dense_codes(df, src, dst)  # a broadcast local table, or checkpoint-backed
-        out = out.join(broadcast_if_rows(codes), src, "left")
+        out = out.join(ranks.dense_codes(df, src, dst), src, "left")  # broadcast after a count
     return out
 
 

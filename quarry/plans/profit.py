@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import money_out, pct
-from quarry.operators.joins import not_in
 from quarry.plans import revenue as rev
 from quarry.sources.tables import Shop
 
@@ -47,7 +46,7 @@ def daily_sales(shop: Shop, reduced=REDUCED_VAT_NAMES) -> DataFrame:
 def valid_deliveries(shop: Shop) -> DataFrame:
     """Distinct ``(date, courier_id, order_id)`` deliveries of valid orders."""
     delivered = shop.courier_actions.where(F.col("action") == DELIVER)
-    valid = not_in(delivered, "order_id", rev.shop_cancelled(shop), "order_id")
+    valid = rev.shop_excluded(shop).without(delivered, "order_id")
     return valid.select(F.to_date("time").alias("date"), "courier_id", "order_id").distinct()
 
 

@@ -21,30 +21,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import money_out, pct, ratio, round_half_up
-from quarry.operators.joins import (BROADCAST_LIMIT_BYTES, estimated_bytes, one_row,
+from quarry.operators.joins import (BROADCAST_LIMIT_BYTES, Excluded, estimated_bytes, one_row,
                                     sized_broadcast)
 from quarry.plans import engagement as eng
+from quarry.session import cut_lineage
 from quarry.sources.tables import Shop
 
 OTHER = "ДРУГОЕ"  # fixed value: label of the collapsed small products
 
 
+def shop_excluded(shop: Shop) -> Excluded:
+    """The shop's cancelled orders, frozen once per shop (see ``Shop.derived``)."""
+    def build():
+        ids = shop.cancelled if shop.cancelled is not None else eng.cancelled_order_ids(shop.user_actions)
+        return Excluded(ids, "order_id")
+    return shop.derived("excluded", build)
+
+
 def shop_valid_orders(shop: Shop) -> DataFrame:
-    """The shop's valid orders, built once per shop (see ``Shop.derived``)."""
-    cancelled = shop_cancelled(shop)
-    return shop.derived("valid_orders",
-                        lambda: eng.not_in(shop.orders, "order_id", cancelled, "order_id"))
+    return shop.derived("valid_orders", lambda: shop_excluded(shop).without(shop.orders, "order_id"))
+
 
+def shop_flagged_actions(shop: Shop) -> DataFrame:
+    """Every user action with its date and whether its order is ``valid``."""
+    return shop.derived("flagged", lambda: shop_excluded(shop).flag(
+        shop.user_actions.select("user_id", "order_id", F.to_date("time").alias("date")), "order_id", "valid"))
 
-def shop_cancelled(shop: Shop) -> DataFrame:
-    return shop.derived("cancelled", lambda: eng.cancelled_order_ids(shop.user_actions))
 
+def users_per_day(shop: Shop) -> DataFrame:
+    """Per day: distinct ``users`` and ``paying_users`` (with an action on a valid order), from one read."""
+    per_user = shop_flagged_actions(shop).groupBy("date", "user_id").agg(F.max("valid").alias("valid"))
+    return per_user.groupBy("date").agg(
+        F.count("user_id").alias("users"), F.count(F.when(F.col("valid"), F.col("user_id"))).alias("paying_users"))
 
-def shop_valid_actions(shop: Shop) -> DataFrame:
-    """User actions on valid orders, built once per shop."""
-    cancelled = shop_cancelled(shop)
-    return shop.derived("valid_actions", lambda: eng.not_in(
-        shop.user_actions, "order_id", cancelled, "order_id"))
+
+def newcomers_per_day(shop: Shop) -> DataFrame:
+    """Per day: ``new_users`` and ``new_paying_users`` (first action, first on a valid order), from one read."""
+    firsts = shop_flagged_actions(shop).where(F.col("user_id").isNotNull()).groupBy("user_id").agg(
+        F.min("date").alias("any"), F.min(F.when(F.col("valid"), F.col("date"))).alias("paid"))
+    tagged = firsts.select(F.explode(F.array(
+        F.struct(F.col("any").alias("date"), F.lit(1).alias("n"), F.lit(0).alias("p")),
+        F.struct(F.col("paid").alias("date"), F.lit(0).alias("n"), F.lit(1).alias("p")))).alias("d")).select("d.*")
+    return tagged.where(F.col("date").isNotNull()).groupBy("date").agg(
+        F.sum("n").alias("new_users"), F.sum("p").alias("new_paying_users"))
 
 
 def valid_lines(shop: Shop) -> DataFrame:
@@ -130,10 +149,7 @@ def revenue_trend(shop: Shop) -> DataFrame:
 
 def arpu_daily(shop: Shop) -> DataFrame:
     """M8: ARPU, ARPPU and AOV per creation date (revenue-day spine)."""
-    actions = shop.user_actions
-    base = (daily_orders_revenue(shop)
-            .join(eng.daily_users(actions), "date", "left")
-            .join(eng.daily_paying_users(actions, shop_valid_actions(shop)), "date", "left"))
+    base = daily_orders_revenue(shop).join(users_per_day(shop), "date", "left")
     return base.select(
         "date",
         round_half_up(ratio("revenue", "users")).alias("arpu"),
@@ -145,10 +161,7 @@ def arpu_running(shop: Shop) -> DataFrame:
     """Running ARPU / ARPPU / AOV: cumulative revenue over cumulative new
     users, new paying users and orders. Days without new users add nothing."""
     w = Window.orderBy("date")
-    actions = shop.user_actions
-    base = (daily_orders_revenue(shop)
-            .join(eng.new_users(actions), "date", "left")
-            .join(eng.new_paying_users(actions, shop_valid_actions(shop)), "date", "left"))
+    base = daily_orders_revenue(shop).join(newcomers_per_day(shop), "date", "left")
     run = {c: F.sum(c).over(w) for c in ("revenue", "new_users", "new_paying_users", "orders")}
     return base.select(
         "date",
@@ -160,19 +173,19 @@ def arpu_running(shop: Shop) -> DataFrame:
 def new_user_revenue_share(shop: Shop) -> DataFrame:
     """Revenue on each user's first action date and its share of the
     day's revenue. The first date comes from all actions, revenue per user-day
-    from valid actions joined to order prices."""
-    actions = shop.user_actions
-    firsts = eng.first_dates(actions, "start_date")
-    spent = (shop_valid_actions(shop)
-             .select("user_id", F.to_date("time").alias("date"), "order_id")
-             .join(order_price(shop), "order_id", "left")
-             .groupBy("user_id", "date").agg(F.sum("order_price").alias("revenue")))
-    newcomer = (firsts.join(spent, (firsts.user_id == spent.user_id)
-                            & (firsts.start_date == spent.date), "left")
-                .groupBy(F.col("start_date").alias("date"))
-                .agg(F.sum(F.coalesce("revenue", F.lit(0))).alias("new_users_revenue")))
+    from valid actions and the orders' prices, which are frozen once (one narrow
+    row per valid order) as they also give the day's revenue."""
+    units = valid_lines(shop).join(sized_broadcast(shop.products), "product_id", "left")
+    prices = cut_lineage(units.groupBy("order_id", "date").agg(F.sum("price").alias("order_price")))
+    per_order = prices.groupBy("order_id").agg(F.sum("order_price").alias("order_price"))
+    per_day = (shop_flagged_actions(shop).where(F.col("user_id").isNotNull()).join(per_order, "order_id", "left")
+               .groupBy("user_id", "date").agg(F.sum(F.when(F.col("valid"), F.col("order_price"))).alias("revenue")))
+    first = per_day.where(F.col("date").isNotNull()).groupBy("user_id").agg(F.min(F.struct("date", "revenue")).alias("f"))
+    newcomer = (first.groupBy(F.col("f.date").alias("date"))
+                .agg(F.sum(F.coalesce("f.revenue", F.lit(0))).alias("new_users_revenue")))
+    daily = prices.groupBy("date").agg(F.sum("order_price").alias("revenue"))
     share = pct("new_users_revenue", "revenue")
-    return (daily_revenue(shop).join(newcomer, "date", "left")
+    return (daily.join(newcomer, "date", "left")
             .select("date",
                     money_out("revenue").alias("revenue"),
                     money_out("new_users_revenue").alias("new_users_revenue"),

@@ -6,18 +6,14 @@ from __future__ import annotations
 
 import math
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.normal import norm_ppf, norm_sf
 from quarry.operators import ranks
-from quarry.operators.joins import broadcast_if_rows
 from quarry.session import cut_lineage
 
 CHUNK = 100_000  # positions expanded per task row when a value repeats
-RANK_TABLE_BROADCAST_ROWS = 2_000_000  # (value, rank) rows of one column that may be broadcast
 
 
 def _poly(coefs, x):
@@ -95,6 +91,28 @@ def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
     return res.select("n", "w", F.when(F.col("w").isNotNull(), p).alias("p"))
 
 
+def kolmogorov_smirnov(df: DataFrame, value: str) -> DataFrame:
+    """T1's companion beyond n = 5000: the one-sample Kolmogorov-Smirnov distance of
+    ``value`` from the normal distribution of its own mean and deviation.
+    One row: ``n, mean, sd, d, p``.
+
+    The distance is read off the distinct values with their ranks (no expansion of
+    ties). ``p`` is Kolmogorov's limit with Stephens' small-sample factor; as mean and
+    deviation are estimated, it is an upper bound. Constant values have NULL d and p."""
+    data = cut_lineage(df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)"))
+    told = data.agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    below = F.lit(1.0) - norm_sf(F.try_divide(F.col("x") - F.col("mean"), F.col("sd")))
+    pos = ranks.value_positions(data, "x").crossJoin(F.broadcast(told))  # one row
+    n = F.col("n").cast("double")
+    d = pos.withColumn("f", below).groupBy("n", "mean", "sd").agg(
+        F.max(F.greatest((F.col("start") + F.col("t")) / n - F.col("f"), F.col("f") - F.col("start") / n)).alias("d"))
+    d = d.withColumn("d", F.when(F.col("sd") > 0, F.col("d")))
+    lam = (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n)) * F.col("d")
+    tail = sum(((-1.0) ** (k - 1) * F.exp(-2.0 * k * k * lam * lam) for k in range(2, 101)), F.exp(-2.0 * lam * lam))
+    p = F.when(lam < 0.04, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * tail)))
+    return d.select("n", "mean", "sd", "d", F.when(F.col("d").isNotNull(), p).alias("p"))
+
+
 def mann_whitney_u(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     """Two-sided Mann-Whitney U of ``value`` between ``group == a`` and
     ``group == b`` with average ranks for ties, tie-corrected variance and
@@ -132,10 +150,11 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _mirror(off: DataFrame, cols: list[str]) -> DataFrame:
-    mirrored = off.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "rho")
+    both = F.explode(F.array(F.struct("col_a", "col_b", "rho"),
+                             F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "rho"))).alias("p")
     diag = off.sparkSession.createDataFrame(
         [(c, c, 1.0) for c in cols], "col_a string, col_b string, rho double")
-    return reduce(DataFrame.unionByName, [off, mirrored, diag])
+    return off.select(both).select("p.*").unionByName(diag)
 
 
 def spearman_matrix(df: DataFrame, cols: list[str], complete: bool | None = None) -> DataFrame:
@@ -143,64 +162,40 @@ def spearman_matrix(df: DataFrame, cols: list[str], complete: bool | None = None
     ``(col_a, col_b, rho)``. As in pandas each pair uses the rows where both
     values are present, ranked afresh (average ranks for ties).
 
-    When no column has a gap (read off the rank table's per-column counts
-    unless ``complete`` is given) every column is ranked once: one pass of the order statistics
-    over the long form ``(column, value)``, one join per column to attach the
-    ranks, and one aggregate with all pairwise correlations. Otherwise each
-    pair is ranked on its own complete rows."""
-    # the input is read once per column below: freeze it in the shared
-    # checkpoint folder instead of recomputing its lineage every time
-    df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    Two shuffles: values in long form, with the number of their row, are sorted and
+    ranked in place; ranks meet again by row number and one aggregate gives all
+    correlations. With gaps in a column (counted unless ``complete`` tells), the
+    long form holds both columns of each pair on the pair's own complete rows."""
+    # frozen once: row numbers of a checkpoint do not move
+    df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols])).withColumn(
+        "__row", F.monotonically_increasing_id())
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if complete is not False:
-        # one rank table for all columns (distinct values only), frozen once:
-        # each per-column join below reads it instead of recomputing it
-        table = cut_lineage(ranks.average_ranks(ranks.value_positions(
-            df.selectExpr("stack({}, {}) as (column, value)".format(
-                len(cols), ", ".join(f"'{c}', `{c}`" for c in cols))),
-            "value", ["column"])))
-        # per column: distinct values and present values, one small job on the
-        # checkpoint. Complete when every column has a value in every row.
-        summary = {r["column"]: (r["d"], r["n"]) for r in
-                   table.groupBy("column").agg(F.count(F.lit(1)).alias("d"),
-                                               F.max("n").alias("n")).collect()}
-        if complete is None:
-            rows_total = df.count()
-            complete = all(summary.get(c, (0, 0))[1] == rows_total for c in cols)
+    there = {c: F.col(c).isNotNull() & ~F.isnan(c) for c in cols}
+    counts = df.agg(F.count(F.lit(1)).alias("__all"), *[F.count_if(there[c]).alias(c) for c in cols]).first()
+    if complete is None:
+        complete = all(counts[c] == counts["__all"] for c in cols)
     if complete:
-        ranked = df
-        for c in cols:
-            rc = table.where(F.col("column") == c).select(
-                F.col("x").alias(f"__x_{c}"), F.col("rank").alias(f"__r_{c}"))
-            # a bounded rank table is broadcast (a low-cardinality column must
-            # not become a sort-merge join keyed by a handful of values); a
-            # large one is a join keyed by distinct values
-            if summary.get(c, (0, 0))[0] <= RANK_TABLE_BROADCAST_ROWS:
-                rc = F.broadcast(rc)
-            ranked = ranked.join(rc, F.col(c) == F.col(f"__x_{c}"))
-        corr = ranked.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}\t{b}") for a, b in pairs])
+        named = [(str(i), f"`{c}`") for i, c in enumerate(cols)]
+        long = df.selectExpr("__row", f"stack({len(cols)}, {', '.join(f'{i}, {c}' for i, c in named)}) as (key, value)")
+        ranked = ranks.ranks_in_place(long, "key", "value", "__row", counts["__all"] * len(cols))
+        wide = ranked.groupBy("row").agg(*[F.max(F.when(F.col("key") == i, F.col("rank"))).alias(f"__r{i}")
+                                           for i in range(len(cols))])
+        at = {c: f"__r{i}" for i, c in enumerate(cols)}
+        corr = wide.agg(*[F.corr(at[a], at[b]).alias(f"{a}\t{b}") for a, b in pairs])
         stacked = ", ".join(f"'{a}', '{b}', `{a}\t{b}`" for a, b in pairs)
         off = corr.selectExpr(f"stack({len(pairs)}, {stacked}) as (col_a, col_b, rho)")
         return _mirror(off, cols)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                 F.col(a).cast("double").alias("xa"), F.col(b).cast("double").alias("xb"))
-        for a, b in pairs])).alias("p")
-    long = (df.select(rows).select("p.*")
-            .where(F.col("xa").isNotNull() & F.col("xb").isNotNull()
-                   & ~F.isnan("xa") & ~F.isnan("xb")))
-    key = ["col_a", "col_b"]
-    # rank tables per pair, frozen and broadcast when bounded (keys such as
-    # (pair, one of two label codes) must not drive a sort-merge join)
-    ra = broadcast_if_rows(cut_lineage(ranks.average_ranks(ranks.value_positions(long, "xa", key))
-                                       .select(*key, F.col("x").alias("xa"), F.col("rank").alias("ra"))),
-                           RANK_TABLE_BROADCAST_ROWS)
-    rb = broadcast_if_rows(cut_lineage(ranks.average_ranks(ranks.value_positions(long, "xb", key))
-                                       .select(*key, F.col("x").alias("xb"), F.col("rank").alias("rb"))),
-                           RANK_TABLE_BROADCAST_ROWS)
-    ranked = long.join(ra, [*key, "xa"]).join(rb, [*key, "xb"])
-    off = ranked.groupBy(*key).agg(F.corr("ra", "rb").alias("rho"))
-    return _mirror(off, cols)
+    both = F.array(*[F.when(there[a] & there[b], F.array(
+        F.struct(F.lit(2 * i).alias("key"), F.col(a).alias("value")),
+        F.struct(F.lit(2 * i + 1).alias("key"), F.col(b).alias("value")))) for i, (a, b) in enumerate(pairs)])
+    long = df.select("__row", F.explode(F.flatten(F.filter(both, lambda p: p.isNotNull()))).alias("p")).select("__row", "p.*")
+    ranked = ranks.ranks_in_place(long, "key", "value", "__row", 2 * counts["__all"] * len(pairs))
+    wide = ranked.groupBy("row", F.expr("key div 2").alias("pair")).agg(
+        F.max(F.expr("if(key % 2 = 0, rank, null)")).alias("ra"), F.max(F.expr("if(key % 2 = 1, rank, null)")).alias("rb"))
+    rho = wide.groupBy("pair").agg(F.corr("ra", "rb").alias("rho"))
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair long, col_a string, col_b string")
+    # one row for each pair of columns
+    return _mirror(rho.join(F.broadcast(names), "pair").select("col_a", "col_b", "rho"), cols)
 
 
 def feature_selection(matrix: DataFrame, target: str, threshold: float) -> DataFrame:

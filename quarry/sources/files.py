@@ -7,17 +7,21 @@ All writes go below the cluster's shared checkpoint folder (see
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.operators.joins import estimated_bytes
-from quarry.session import cut_lineage, scratch_dir
+from quarry.session import cut_lineage, remove_at_exit, scratch_dir
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return scratch_dir(spark, f"{label}-{uuid.uuid4().hex[:12]}")
+    """A new folder below the shared one; it goes when the session ends."""
+    path = scratch_dir(spark, f"{label}-{uuid.uuid4().hex[:12]}")
+    remove_at_exit(spark, path)
+    return path
 
 
 # --- S1: CSV ----------------------------------------------------------------------
@@ -34,6 +38,42 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return reader.csv(path)
 
 
+TYPES = ("bigint", "double", "date", "timestamp_ntz", "boolean")  # tried in this order
+BAD = "bad_record"
+
+
+def infer_types(texts: DataFrame, share: float = 0.99, types=TYPES) -> dict[str, str]:
+    """A type for every text column: the first that at least ``share`` of its values parse as, else string.
+
+    One aggregate over all columns and rows, so a few bad values do not turn a
+    column into text. Columns without a value stay text."""
+    given = {c: F.col(f"`{c}`") for c in texts.columns}
+    row = texts.agg(*[F.count(v).alias(f"{c}\tn") for c, v in given.items()],
+                    *[F.count(v.try_cast(t)).alias(f"{c}\t{t}") for c, v in given.items() for t in types]).first()
+    return {c: next((t for t in types if row[f"{c}\tn"] and row[f"{c}\t{t}"] >= share * row[f"{c}\tn"]), "string")
+            for c in given}
+
+
+def read_csv_checked(spark: SparkSession, path: str, share: float = 0.99) -> DataFrame:
+    """CSV with a header, inferred types and no lost line.
+
+    Column types come from ``infer_types``. A line that has too few or too many
+    fields, or a value that does not parse, keeps what does; its text is in
+    ``bad_record`` (else NULL)."""
+    names = spark.read.option("header", True).csv(path).columns
+    schema = StructType()
+    for c in [*names, BAD]:
+        schema = schema.add(c, "string")
+    texts = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
+             .option("columnNameOfCorruptRecord", BAD).schema(schema).csv(path))
+    types = infer_types(texts.where(F.col(BAD).isNull()).drop(BAD), share)
+    typed = {c: F.col(f"`{c}`").try_cast(types[c]) for c in names}
+    unread = [F.col(f"`{c}`").isNotNull() & typed[c].isNull() for c in names if types[c] != "string"]
+    line = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names])
+    bad = F.coalesce(F.col(BAD), F.when(F.array_contains(F.array(*unread, F.lit(False)), True), line))
+    return texts.select(*[v.alias(c) for c, v in typed.items()], bad.alias(BAD))
+
+
 # --- S6 / S8: row index and export ----------------------------------------------------
 
 ROW_BITS = 33  # monotonically_increasing_id: partition id << 33 | row in partition
@@ -42,14 +82,16 @@ ROW_BITS = 33  # monotonically_increasing_id: partition id << 33 | row in partit
 def with_row_index(df: DataFrame, order_by: list, name: str = "index") -> DataFrame:
     """0-based global row index in ``order_by`` order.
 
-    The frame is range-partitioned and sorted by the key (sampling-based, so a
-    hot leading value is spread when later key columns differ), tagged with
-    ``monotonically_increasing_id`` and checkpointed to the shared folder so a
-    recomputed task cannot reshuffle the tags. The per-partition row counts
+    The frame is range-partitioned and sorted by the key, rows that are equal on it
+    by a hash of the whole row (so also a key that holds a third of the rows spans
+    ranges), tagged with ``monotonically_increasing_id`` and checkpointed to the
+    shared folder so a recomputed task cannot reshuffle the tags; the checkpoint goes
+    with the last frame that reads it. The per-partition row counts
     (one row per partition) give the offsets; no single-partition window over
     the data is used. ``order_by`` should be a total order for a stable index.
     """
-    tagged = cut_lineage(df.orderBy(*order_by)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    tagged = cut_lineage(df.orderBy(*order_by, tie)
                          .withColumn("__mid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("__mid"), ROW_BITS)
     counts = tagged.groupBy(part.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
@@ -149,22 +191,49 @@ def point_lookup(df: DataFrame, col: str, value) -> DataFrame:
 
 # --- S3 / S5: typed tables -------------------------------------------------------------
 
-def create_typed_table(spark: SparkSession, name: str, ddl_columns: str, path: str,
+@contextmanager
+def database(spark: SparkSession, name: str, path: str | None = None):
+    """A database of the session catalog with its own folder, for as long as the block runs (S3).
+
+    Everything in it and its folder are gone afterwards, also after an error."""
+    path = path or fresh_path(spark, name)
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def create_typed_table(spark: SparkSession, name: str, ddl_columns: str, path: str | None = None,
                        partition_cols: str | None = None) -> str:
-    """``CREATE TABLE … USING parquet`` with CHAR/VARCHAR columns at ``path``.
+    """``CREATE TABLE … USING parquet`` with CHAR/VARCHAR columns at ``path`` (else in its database's folder).
     Inserts through the table enforce lengths; CHAR is padded on read."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     part = f" PARTITIONED BY ({partition_cols})" if partition_cols else ""
-    spark.sql(f"CREATE TABLE {name} ({ddl_columns}) USING parquet{part} LOCATION '{path}'")
+    at = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE {name} ({ddl_columns}) USING parquet{part}{at}")
     return name
 
 
+def refused(spark: SparkSession, name: str, df: DataFrame) -> bool:
+    """Whether appending ``df`` breaks a length rule of the table; nothing is appended then."""
+    try:
+        append_rows(spark, name, df)
+    except Exception as e:
+        if "EXCEED_LIMIT_LENGTH" in str(e):
+            return True
+        raise
+    return False
+
+
 def append_rows(spark: SparkSession, name: str, df: DataFrame) -> None:
     """Append a DataFrame (or literal rows) to a typed table by position."""
     view = f"__append_{uuid.uuid4().hex[:8]}"
     df.createOrReplaceTempView(view)
-    spark.sql(f"INSERT INTO {name} SELECT * FROM {view}")
-    spark.catalog.dropTempView(view)
+    try:
+        spark.sql(f"INSERT INTO {name} SELECT * FROM {view}")
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 # --- S7: head / tail ----------------------------------------------------------------------

@@ -49,7 +49,17 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     p = plan(pro.orders_delivered(s))
     # only the three lineitem columns the count needs are read
     assert "ReadSchema: struct<l_orderkey:bigint,l_linestatus:string,l_shipdate:timestamp_ntz>" in p
-    assert "EqualTo(o_orderstatus,F)" in p
+    assert "EqualTo(o_orderstatus,F)" in plan(s.cancelled)
+
+
+@pytest.mark.parametrize("report", ["arpu_daily", "arpu_running", "new_user_revenue_share", "gross_profit_report"])
+def test_reports_read_each_table_once(spark, report):
+    from quarry.plans import revenue as rev
+    df = getattr(rev, report, None) or getattr(pro, report)
+    out = df(tb.shop(spark, SF001))
+    out.collect()
+    final = plan(out).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") <= 4
 
 
 def test_daily_windows_sit_on_aggregates(spark):

@@ -109,13 +109,14 @@ def test_spearman_pairwise_complete(spark):
         assert math.isclose(v, slow[k], rel_tol=1e-9)
 
 
-def test_quantiles_grouped_with_hot_value(spark):
+@pytest.mark.parametrize("direct", [10 ** 6, 40, 0])
+def test_quantiles_grouped_with_hot_value(spark, direct):
     rng = np.random.default_rng(11)
     vals = np.concatenate([np.full(300, 5.0), rng.normal(5, 2, 600).round(1)])
     groups = np.array(["g1", "g2"])[rng.integers(0, 2, len(vals))]
     df = spark.createDataFrame([(g, float(v)) for g, v in zip(groups, vals)], "g string, v double")
     got = {(r["g"], r["q"]): r["value"] for r in ranks.quantiles(df, "v", [0, 0.1, 0.25, 0.5, 0.9, 1.0],
-                                                                  by=["g"], buckets=8).collect()}
+                                                                  by=["g"], direct=direct).collect()}
     for g in ("g1", "g2"):
         for q in (0, 0.1, 0.25, 0.5, 0.9, 1.0):
             assert math.isclose(got[(g, q)], float(np.quantile(vals[groups == g], q)), rel_tol=1e-12)
@@ -146,10 +147,52 @@ def test_quantiles_binary_search_buckets(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     bounds = ranks._boundaries(df, "v", 300)
     assert len(bounds) > ranks.CASE_LIMIT          # exercises the searchsorted path
-    got = {r["q"]: r["value"] for r in ranks.quantiles(df, "v", [0.01, 0.3, 0.5, 0.99],
-                                                        buckets=300).collect()}
+    report = {}
+    got = {r["q"]: r["value"] for r in ranks.quantiles(df, "v", [0.01, 0.3, 0.5, 0.99], direct=50, report=report).collect()}
+    assert len(report["left"]) <= 5
     for q, v in got.items():
         assert math.isclose(v, float(np.quantile(vals, q)), rel_tol=1e-12, abs_tol=1e-12)
     b = df.select(ranks.bucket_of(F.col("v"), bounds).alias("b"), "v").collect()
     edges = np.asarray(bounds)
     assert all(r["b"] == int(np.searchsorted(edges, r["v"])) for r in b[:2000])
+
+
+@pytest.mark.parametrize("direct", [10 ** 6, 0])
+def test_quantiles_of_awkward_values(spark, direct):
+    inf = float("inf")
+    sets = {"wide": [-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324, 1.0, 1e300], "infinite": [-inf, inf, 0.0, 1.0, 2.0, inf],
+            "zeros": [0.0, -0.0, 0.0, 1.0], "one": [4.0], "close": [1.0 + i * 2.0 ** -52 for i in range(60)], None: [2.0, 8.0]}
+    rows = [(g, v) for g, vs in sets.items() for v in vs] + [("one", None), ("one", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r["g"], r["q"]): r["value"] for r in ranks.quantiles(df, "v", [0.0, 0.5, 1.0], by=["g"], direct=direct).collect()}
+    assert {g for g, _ in got} == set(sets)
+    for g, vs in sets.items():
+        vs = sorted(vs)
+        assert (got[g, 0.0], got[g, 1.0]) == (vs[0], vs[-1])
+        k = (len(vs) - 1) / 2
+        lo, hi = vs[math.floor(k)], vs[math.ceil(k)]
+        assert got[g, 0.5] == (lo if lo == hi else lo + (hi - lo) * 0.5)
+    assert ranks.quantiles(df.where("g = 'none'"), "v", [0.5], by=["g"], direct=direct).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_range", [2_000_000, 7])
+def test_ranks_in_place(spark, monkeypatch, rows_per_range):
+    """Ties that span ranges, keys that share a range."""
+    monkeypatch.setattr(ranks, "ROWS_PER_RANGE", rows_per_range)
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 4, 300)
+    values = np.where(rng.random(300) < 0.4, 5.0, rng.integers(0, 9, 300).astype(float))
+    values[keys == 3] = 1.0  # a key of one value
+    df = spark.createDataFrame([(int(k), float(v), i) for i, (k, v) in enumerate(zip(keys, values))], "k int, v double, i long")
+    got = {r["row"]: r["rank"] for r in ranks.ranks_in_place(df.repartition(5), "k", "v", "i", 300).collect()}
+    for k in range(4):
+        at = np.flatnonzero(keys == k)
+        assert [got[i] for i in at] == list(_avg_ranks(values[at]))
+    assert ranks.ranks_in_place(df.limit(0), "k", "v", "i", 0).count() == 0
+
+
+def test_spearman_plan_has_two_shuffles(spark):
+    df = spark.createDataFrame([(float(i), float(i % 5), float(-i)) for i in range(50)], "a double, b double, c double")
+    got = st.spearman_matrix(df, ["a", "b", "c"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(row") == 1 and "Join" not in plan
