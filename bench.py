@@ -26,7 +26,7 @@ HEADLINE = [
     "duplicate_rows", "unique_violations", "partition_counts", "row_index",
     "describe", "group_stats", "impute_group_median", "clean_old_price", "box_stats",
     "mann_whitney_u", "shapiro_wilk", "spearman_matrix",
-    "knn_classify", "linear_regression",
+    "knn_classify", "knn_regress", "linear_regression", "tree",
 ]
 
 
