@@ -6,7 +6,8 @@
 2. Documents are joined to items on the seeds. The words around the hits of a
    pair bound its score from above (match 2 for each word that the item has at
    all, else -1, best run); pairs whose bound stays below the threshold go, which
-   holds off the company of frequent n-grams and drops no result.
+   holds off the company of frequent n-grams and drops no result. "Around" reaches
+   as far as an alignment of the least score can, ``reach`` words on each side.
 3. The item is aligned with the words that are left (match 2, mismatch -1,
    gap -1). A pair is reported if the best local score reaches ``threshold`` of
    the item's own.
@@ -44,7 +45,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 BLOCK_BYTES = 4 << 20
 _BITS = 20
-_ROWS = 1 << 20  # hits, or words around hits, looked at together
+_ROWS = 1 << 18  # hits, or words around hits, looked at together
 
 SCHEMA = ("doc_id long, item_id long, score long, coverage double, "
           "first_word long, last_word long, item_words long")
@@ -170,25 +171,39 @@ def _bounds(w: Words, items: Items, item: np.ndarray, first: np.ndarray, last: n
     return bound
 
 
+def reach(m: np.ndarray | int, threshold: float):
+    """Words that an alignment of the least score can take in besides the item's ``m``: each costs a gap."""
+    return np.ceil((1 - threshold) * MATCH * m / -GAP).astype(np.int64) + 2
+
+
 def scan(w: Words, items: Items, lookups, starts, entries, threshold: float):
-    """Aligned pairs of a chunk: (document index, item index, score, first and last word)."""
+    """Aligned pairs of a chunk: (document index, item index, score, first and last word).
+
+    Hits are taken in runs of about ``_ROWS`` in order of their place, also within a
+    document; the windows around the hits of a run hold every alignment through them."""
     hits = [(at, starts[k][i], starts[k][i + 1] - starts[k][i]) for k, at, i in _hits(w, lookups)]
     if not hits:
         return []
     at, start, n = (np.concatenate(x) for x in zip(*hits, strict=True))
-    group = (np.cumsum(np.bincount(w.doc[at], weights=n, minlength=1)) // _ROWS)[w.doc[at]]
-    rows = []
-    for g in np.unique(group):
-        own = np.flatnonzero(group == g)
-        size = n[own]
-        which = np.repeat(at[own], size)
-        entry = entries[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start[own], size)]
-        rows += _aligned(w, items, w.doc[which], items.item[entry], which - items.offset[entry], threshold)
-    return rows
+    if not len(at):
+        return []
+    order = np.argsort(at, kind="stable")
+    at, start, n = at[order], start[order], n[order]
+    cut = np.flatnonzero(np.diff((np.cumsum(n) - n) // _ROWS)) + 1
+    found: dict[tuple[int, int], tuple] = {}
+    for a, b in zip(np.r_[0, cut], np.r_[cut, len(at)], strict=True):
+        size = n[a:b]
+        which = np.repeat(at[a:b], size)
+        entry = entries[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start[a:b], size)]
+        for row in _aligned(w, items, w.doc[which], items.item[entry], which - items.offset[entry], threshold):
+            known = found.get(row[:2])
+            if known is None or (-row[2], row[4]) < (-known[2], known[4]):  # the first of the best
+                found[row[:2]] = row
+    return [found[key] for key in sorted(found)]
 
 
 def _aligned(w: Words, items: Items, doc: np.ndarray, item: np.ndarray, diag: np.ndarray, threshold: float):
-    """``scan`` of all hits of some documents."""
+    """``scan`` of some hits."""
     order = np.lexsort((diag, item, doc))
     doc, item, diag = doc[order], item[order], diag[order]
     length = np.array([len(x) for x in items.words])
@@ -196,8 +211,8 @@ def _aligned(w: Words, items: Items, doc: np.ndarray, item: np.ndarray, diag: np
                          | (diag[1:] - diag[:-1] > length[item[1:]])) + 1
     lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]]) - 1
     doc, item, m = doc[lo], item[lo], length[item[lo]]
-    first = np.maximum(w.first[doc], diag[lo] - m // 2 - 2)
-    last = np.minimum(w.first[doc + 1], diag[hi] + m + m // 2 + 2)
+    first = np.maximum(w.first[doc], diag[lo] - reach(m, threshold))
+    last = np.minimum(w.first[doc + 1], diag[hi] + m + reach(m, threshold))
     own = np.flatnonzero(_bounds(w, items, item, first, last) >= threshold * MATCH * m)
     doc, item, m, origin = doc[own], item[own], m[own], first[own]
     pairs = [(items.words[i], w.hash[a:b]) for i, a, b in zip(item, origin, last[own], strict=True)]
@@ -280,8 +295,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         bad = own if bad is None else bad.union(own)
     if bad is None:
         return docs
-    bad = written(bad.distinct().select(F.col("doc_id").alias("_aligned_text")), "bad")
-    return docs.join(small(bad, 16), F.xxhash64(docs["text"]) == F.col("_aligned_text"), "left_anti")
+    name = "__aligned"
+    while name in docs.columns:
+        name += "_"
+    bad = written(bad.distinct().select(F.col("doc_id").alias(name)), "bad")
+    return docs.withColumn(name, F.xxhash64("text")).join(small(bad, 16), name, "left_anti").select(docs.columns)
 
 
 def _block_clean(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
