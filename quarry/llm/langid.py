@@ -4,9 +4,11 @@ Subwords are the 3- and 4-byte windows of the lower-case text in which every
 run of bytes other than letters reads as spaces; each is hashed to one of
 ``BUCKETS`` embeddings. A text is the mean of its embeddings, a softmax over a
 linear map gives the languages. Both layers are trained by stochastic gradient
-descent in numpy on a bounded sample (``per_lang`` rows of each language in
-expectation). A part of the sample is held back to calibrate: it sets the
-softmax temperature and the score below which a prediction is ``rejected``.
+descent in numpy on a bounded sample: exactly the ``per_lang`` rows of each
+language with the least checksum of id and text (equal rows count once), whose
+subword counts are taken in tasks, so no text reaches the driver. A part of the
+sample is held back to calibrate: it sets the softmax temperature and the score
+below which a prediction is ``rejected``. A model grows with the languages.
 
 As the map is linear, a subword contributes a fixed vector of logits, so whole
 texts are scored in one pass over their bytes.
@@ -24,10 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hash_fold
+from quarry.llm.common import hash_fold, small, written
 from quarry.llm.text import chunks, utf8
 
 BUCKETS = 1 << 15
@@ -91,15 +93,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 20.0, seed: int = 0) -> Model:
-    """Embeddings and softmax by stochastic gradient descent, then calibration on every fifth text."""
+def counts(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text of a chunk, and how often each occurs."""
+    bucket, start = subwords(column)
+    n, edge = len(column), np.concatenate([start, [len(bucket)]])
+    out = []
+    for d in range(n):
+        own = np.concatenate([bucket[edge[d]:edge[d + 1]], bucket[edge[n + d]:edge[n + d + 1]]])
+        out.append(np.unique(own[own < BUCKETS], return_counts=True))
+    return out
+
+
+def train(texts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 6, rate: float = 20.0,
+          seed: int = 0) -> Model:
+    """Embeddings and softmax by stochastic gradient descent on the ``counts`` of texts, then
+    calibration on every fifth text."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
-    docs = []
-    for t in texts:
-        bucket, _ = subwords(pa.array([t], pa.string()))
-        i, n = np.unique(bucket[bucket < BUCKETS], return_counts=True)
-        docs.append((i, (n / max(1, n.sum())).astype(np.float32)))
+    docs = [(i, (n / max(1, n.sum())).astype(np.float32)) for i, n in texts]
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
     w = np.zeros((DIM, len(names)), np.float32)
@@ -122,7 +133,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 20.
     model = Model(names, (e @ w).astype(np.float32))
     check = [d for d in range(len(docs)) if d not in set(fit)] or fit
     if check:
-        z = model.raw(pa.array([texts[d] for d in check], pa.string())).astype(np.float64)
+        z = np.array([docs[d][1] @ model.logits[docs[d][0]] for d in check], np.float64)
         t = np.geomspace(0.02, 20, 60)
         goal = np.full((len(check), len(names)), SMOOTH / len(names))
         goal[np.arange(len(check)), y[check]] += 1 - SMOOTH
@@ -135,17 +146,29 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 20.
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG, seed: int = 1) -> DataFrame:
-    """Labelled rows outside the held-out fold; each language is thinned to ``per_lang`` in expectation."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (hash_fold("doc_id", 3) != 1))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n_lang"))
-    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # one row for each language
-    return rows.join(F.broadcast(counts), "lang").where(chance * F.col("n_lang") < per_lang).select("doc_id", "text", "lang")
+    """``lang, key, text``: the ``per_lang`` labelled rows of each language, outside the held-out fold, of least key."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (hash_fold("doc_id", 3) != 1)).select(
+        "lang", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("key"), "text")
+    by = Window.partitionBy("lang").orderBy("key")  # cut to per_lang rows before and after the shuffle
+    picked = (rows.select("lang", "key").distinct().withColumn("rank", F.row_number().over(by))
+              .where(F.col("rank") <= per_lang).drop("rank"))
+    return (rows.join(small(written(picked, "picked"), 64), ["lang", "key"])
+            .groupBy("lang", "key").agg(F.min("text").alias("text")))
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    rows = sorted(sample(docs, per_lang).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.text))
-    return train([r.text for r in rows], [r.lang for r in rows])
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, limit=1 << 20):
+                found = counts(part.column("text"))
+                yield pa.RecordBatch.from_arrays([
+                    part.column("lang"), part.column("key"), pa.array([i.tolist() for i, _ in found], pa.list_(pa.int32())),
+                    pa.array([n.tolist() for _, n in found], pa.list_(pa.int64()))], ["lang", "key", "bucket", "n"])
+
+    got = sample(docs, per_lang).mapInArrow(run, "lang string, key long, bucket array<int>, n array<long>").toArrow()
+    got = got.sort_by([("key", "ascending"), ("lang", "ascending")])
+    return train([(np.array(i.values, np.int64), np.array(n.values, np.int64)) for i, n in zip(got["bucket"], got["n"], strict=True)],
+                 got["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

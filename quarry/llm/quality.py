@@ -162,7 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Machine:
              .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
              .where(hash_fold("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "quality", *_inputs(docs))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_inputs(docs))
+    # rows that repeat an id are one row of the sample: the one with the least checksum of its text
+    rows = (given.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(
+        F.xxhash64("text").alias("key"), "text", "n_chars")).alias("one")).select("doc_id", "quality", "one.text", "one.n_chars"))
 
     def run(batches):
         for batch in batches:
