@@ -1,15 +1,15 @@
 """Corpus language-model scores: stupid backoff over n-gram count tables.
 
-Documents are scored by a bigram model of all *other* documents: counts of the
-document itself are taken off, so a score tells how well the rest of the corpus
-predicts it. With c the remaining counts and N the remaining words,
+Documents are scored by an n-gram model (``order`` words, 3 by default) of all
+*other* documents: counts of the document itself are taken off, so a score tells
+how well the rest of the corpus predicts it. With c the remaining counts, N the
+remaining words and n the order, a word is scored by the longest n-gram that ends
+with it and that the others hold, of k words:
 
-    S(w | v) = c(v w) / c(v)      if c(v w) > 0
-             = ALPHA * c(w) / N   if c(w) > 0
-             = ALPHA ** 2 / N     otherwise
+    S = ALPHA ** (n - k) * c(k-gram) / c(its first k - 1 words)     (c of none: N)
+    S = ALPHA ** n / N                                              if they do not hold the word
 
-(the first word has no v and starts at the second line). Log scores are summed
-per document.
+Log scores are summed per document.
 
 1. Every block of texts is exploded into n-grams, counted within the block, and
    sent to the count tables, which are partitioned by n-gram hash.
@@ -29,6 +29,8 @@ ids may be null; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 from quarry.llm.text import Words, chunks, mix, utf8
 
 ALPHA = 0.4
+ORDER = 3
+MAX_PARTS = 1 << 14  # so that a block's rows grow with its n-grams, not with the corpus
 BLOCK = 6 << 20  # bytes of text in a block
 SLICE = 16 << 20  # bytes of text for each partition of the tables
 
@@ -61,29 +65,37 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 class Block:
-    """Words of a run of texts, and its unigrams and bigrams by hash."""
+    """Words of a run of texts, and its n-grams of each length by hash."""
 
-    def __init__(self, part: pa.RecordBatch):
+    def __init__(self, part: pa.RecordBatch, order: int):
         self.words = w = Words(*utf8(part.column("text")))
-        gram, ok = w.grams(2)
-        self.grams, inverse = np.unique(np.concatenate([w.hash, gram[ok]]), return_inverse=True)
+        names, at = [w.hash], [np.arange(len(w.hash))]
+        for k in range(2, order + 1):
+            gram, ok = w.grams(k)
+            at.append(np.flatnonzero(ok).astype(np.int64))
+            names.append(gram[ok])
+        cut = np.cumsum([0, *map(len, names)])
+        self.grams, inverse = np.unique(np.concatenate(names), return_inverse=True)
         self.counts = np.bincount(inverse, minlength=len(self.grams))
-        self.one = inverse[:len(w.hash)]
-        self.two = np.full(len(w.hash), -1)
-        self.two[np.flatnonzero(ok)] = inverse[len(w.hash):]
+        #: places of n-grams of each length, by their first word, and their numbers there
+        self.at, self.of = at, [inverse[x:y].astype(np.int32) for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
-    def slices(self, parts: int) -> np.ndarray:
+    def slices(self, bounds: np.ndarray) -> np.ndarray:
         """First n-gram of each table partition (hash ranges of equal width)."""
-        bounds = (np.arange(parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
         return np.append(np.searchsorted(self.grams, bounds), len(self.grams))
 
 
-def _explode(parts: int):
+def bounds_of(parts: int) -> np.ndarray:
+    return (np.arange(parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
+
+
+def _explode(parts: int, order: int):
     def run(batches):
+        bounds = bounds_of(parts)
         for batch in batches:
             for part in chunks(batch, limit=BLOCK):
-                b = Block(part)
-                cut = b.slices(parts)
+                b = Block(part, order)
+                cut = b.slices(bounds)
                 some = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(some), name_of(part))), pa.array(some.astype(np.int32)),
@@ -114,32 +126,37 @@ def _texts(batches):
                 pa.array([part.column("text").to_pylist()], pa.list_(pa.string()))], ["block", "doc_id", "row", "text"])
 
 
-def score_block(b: Block, total: np.ndarray, n_words: int) -> pd.DataFrame:
-    """Log scores of a block's documents, given the corpus totals of its n-grams."""
+def score_block(b: Block, total: np.ndarray, n_words: int, order: int) -> pd.DataFrame:
+    """Log scores of a block's documents, given the corpus totals of its n-grams; ``n_k``: words scored by k-grams."""
     w = b.words
     n_docs = len(w.first) - 1
     size = np.diff(w.first)
-
-    def rest(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Total of the n-gram at each position without its document's own."""
-        _, back, own = np.unique(w.doc[at] * np.int64(len(b.grams) + 1) + gram[at], return_inverse=True, return_counts=True)
-        return total[gram[at]] - own[back]
-
-    every = np.arange(len(w.hash))
     left = np.maximum(n_words - size, 1)[w.doc]
-    one = rest(b.one, every)
-    s = np.where(one > 0, ALPHA * one / left, ALPHA ** 2 / left)
-    pairs = np.flatnonzero(b.two >= 0)
-    two = rest(b.two, pairs)
-    good = two > 0
-    s[pairs[good] + 1] = two[good] / one[pairs[good]]
-    log = np.bincount(w.doc, weights=np.log(s), minlength=n_docs) if len(s) else np.zeros(n_docs)
-    hits = np.bincount(w.doc[pairs[good]], minlength=n_docs)
-    return pd.DataFrame({"n_words": size, "n_bigrams": hits, "log_score": log})
-
-
-def scores(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_bigrams, log_score, mean_log`` for every row of ``docs``."""
+    s = ALPHA ** order / left
+    used = np.zeros(len(s), np.int8)
+    context = left  # remaining count of the k - 1 words that begin at a place
+    for k in range(1, order + 1):
+        at, of = b.at[k - 1], b.of[k - 1]
+        # an n-gram's total without its document's own
+        _, back, own = np.unique(w.doc[at] * np.int64(len(b.grams) + 1) + of, return_inverse=True, return_counts=True)
+        rest = total[of] - own[back]
+        hit = np.flatnonzero(rest > 0)
+        last = at[hit] + k - 1
+        s[last] = ALPHA ** (order - k) * rest[hit] / context[at[hit]]
+        used[last] = k
+        if k < order:
+            context = np.zeros(len(s), np.int64)
+            context[at] = rest
+    found = {"n_words": size}
+    for k in range(2, order + 1):
+        found[f"n_{k}"] = np.bincount(w.doc[used == k], minlength=n_docs)
+    found["log_score"] = np.bincount(w.doc, weights=np.log(s), minlength=n_docs) if len(s) else np.zeros(n_docs)
+    return pd.DataFrame(found)
+
+
+def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``doc_id, n_words, n_2 ... n_order, log_score, mean_log`` for every row of ``docs``;
+    ``n_k``: words that an n-gram of k words scores."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
 
     def words(batches):
@@ -150,10 +167,10 @@ def scores(docs: DataFrame) -> DataFrame:
                     pa.array([part.column("text").nbytes])], ["words", "bytes"])
 
     size = docs.select("text").mapInArrow(words, "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
-    n_words, parts = size[0] or 0, max(1, -(-(size[1] or 0) // SLICE))
+    n_words, parts = size[0] or 0, min(MAX_PARTS, max(1, math.ceil((size[1] or 0) * order / (2 * SLICE))))
 
     tables = docs.select("text", "row").mapInArrow(
-        _explode(parts), "block long, slice int, grams binary, counts binary")
+        _explode(parts, order), "block long, slice int, grams binary, counts binary")
     totals = tables.groupBy("slice").applyInArrow(_total, "block long, slice int, totals binary")
     blocks = docs.mapInArrow(_texts, "block long, doc_id array<long>, row array<long>, text array<string>")
 
@@ -162,19 +179,20 @@ def scores(docs: DataFrame) -> DataFrame:
         for i in range(left.num_rows):
             part = pa.RecordBatch.from_arrays(
                 [pa.array(left["text"][i].as_py(), pa.string()), pa.array(left["row"][i].as_py(), pa.int64())], ["text", "row"])
-            b = Block(part)
+            b = Block(part, order)
             if right.num_rows == 0 and len(b.grams):
                 raise ValueError("docs came in another order in its second read; write it to a table first")
             # equal runs of rows share a name, and so their totals
-            _, order = np.unique(right["slice"].to_numpy(), return_index=True)
+            _, firsts = np.unique(right["slice"].to_numpy(), return_index=True)
             total = np.concatenate([np.zeros(0, np.int64), *(unpacked(right["totals"][int(j)].as_py())
-                                                             for j in order)])
-            found = score_block(b, total, n_words)
+                                                             for j in firsts)])
+            found = score_block(b, total, n_words, order)
             found.insert(0, "doc_id", pd.array(left["doc_id"][i].as_py(), "Int64"))
             out.append(pa.Table.from_pandas(found, preserve_index=False))
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_bigrams", pa.int64()), ("log_score", pa.float64())])
+        schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in counts), ("log_score", pa.float64())])
         return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
 
+    counts = ["n_words", *(f"n_{k}" for k in range(2, order + 1))]
     found = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
-        join, "doc_id long, n_words long, n_bigrams long, log_score double")
+        join, ", ".join(["doc_id long", *(f"{c} long" for c in counts), "log_score double"]))
     return found.withColumn("mean_log", F.expr("log_score / nullif(n_words, 0)"))

@@ -85,9 +85,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff log score of every document under the bigram counts of all others."""
+    """Stupid-backoff log score of every document under the trigram counts of all others."""
     return backoff.scores(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "n_bigrams", F.round("log_score", 4).alias("log_score"),
+        "doc_id", "n_words", F.col("n_2").alias("n_bigrams"), F.col("n_3").alias("n_trigrams"), F.round("log_score", 4).alias("log_score"),
         F.round("mean_log", 6).alias("mean_log"))
 
 

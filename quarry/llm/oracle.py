@@ -74,23 +74,30 @@ WITH texts AS (
                             '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 words AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM texts),
-grams AS (SELECT rid, i, x, lag(x) OVER (PARTITION BY rid ORDER BY i) AS v FROM words),
+grams AS (SELECT rid, i, x, lag(x) OVER w AS v, lag(x, 2) OVER w AS u FROM words WINDOW w AS (PARTITION BY rid ORDER BY i)),
 size AS (SELECT count(*) AS n FROM words),
 one AS (SELECT rid, x, count(*) AS own, sum(count(*)) OVER (PARTITION BY x) AS total FROM grams GROUP BY rid, x),
 two AS (SELECT rid, v, x, count(*) AS own, sum(count(*)) OVER (PARTITION BY v, x) AS total
         FROM grams WHERE v IS NOT NULL GROUP BY rid, v, x),
+three AS (SELECT rid, u, v, x, count(*) AS own, sum(count(*)) OVER (PARTITION BY u, v, x) AS total
+          FROM grams WHERE u IS NOT NULL GROUP BY rid, u, v, x),
 scored AS (
-  SELECT g.rid, coalesce(b.total - b.own, 0) AS c2, a.total - a.own AS c1, p.total - p.own AS cv,
-         greatest(size.n - len(t.w), 1) AS n
+  SELECT g.rid, coalesce(d.total - d.own, 0) AS c3, c.total - c.own AS cuv, coalesce(b.total - b.own, 0) AS c2,
+         a.total - a.own AS c1, p.total - p.own AS cv, greatest(size.n - len(t.w), 1) AS n
   FROM grams g JOIN size ON true JOIN texts t ON t.rid = g.rid
   JOIN one a ON a.rid = g.rid AND a.x = g.x
   LEFT JOIN one p ON p.rid = g.rid AND p.x = g.v
-  LEFT JOIN two b ON b.rid = g.rid AND b.v = g.v AND b.x = g.x),
+  LEFT JOIN two b ON b.rid = g.rid AND b.v = g.v AND b.x = g.x
+  LEFT JOIN two c ON c.rid = g.rid AND c.v = g.u AND c.x = g.v
+  LEFT JOIN three d ON d.rid = g.rid AND d.u = g.u AND d.v = g.v AND d.x = g.x),
 summed AS (
-  SELECT rid, count(*) FILTER (c2 > 0) AS n_bigrams,
-         sum(ln(CASE WHEN c2 > 0 THEN c2 / cv WHEN c1 > 0 THEN 0.4::DOUBLE * c1 / n ELSE 0.4::DOUBLE * 0.4::DOUBLE / n END)) AS s
+  SELECT rid, count(*) FILTER (c3 = 0 AND c2 > 0) AS n_bigrams, count(*) FILTER (c3 > 0) AS n_trigrams,
+         sum(ln(CASE WHEN c3 > 0 THEN c3 / cuv WHEN c2 > 0 THEN 0.4::DOUBLE * c2 / cv
+                     WHEN c1 > 0 THEN 0.4::DOUBLE * 0.4::DOUBLE * c1 / n
+                     ELSE 0.4::DOUBLE * 0.4::DOUBLE * 0.4::DOUBLE / n END)) AS s
   FROM scored GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_bigrams, 0)::BIGINT AS n_bigrams,
+       coalesce(n_trigrams, 0)::BIGINT AS n_trigrams,
        round(coalesce(s, 0), 4) AS log_score, round(s / nullif(len(w), 0), 6) AS mean_log
 FROM texts LEFT JOIN summed USING (rid)
 """
