@@ -1,13 +1,25 @@
 """Small awkward inputs shared by the tests of this folder."""
 
+import pathlib
 import random
+import re
 
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()),
                    StructField("source", StringType()), StructField("n_chars", LongType())])
-# names that operators use inside
-CLASH = ["row", "cls", "t", "score", "hash", "block", "comp", "n", "key", "pos", "grp", "ids", "letter", "rank", "label"]
+
+
+def used_names():
+    """Every name in quotes in the operators' modules that could be a column: operators use them inside."""
+    found = set()
+    for path in (pathlib.Path(__file__).parents[2] / "quarry" / "llm").glob("*.py"):
+        if path.name not in ("oracle.py", "__init__.py"):
+            found |= {m.lower() for m in re.findall(r"[\"'](_{0,2}[a-zA-Z][a-zA-Z0-9_]{0,20})[\"']", path.read_text())}
+    return sorted(found - {f.name for f in DOCS.fields})
+
+
+CLASH = used_names()
 
 
 def words(n, seed=0, vocabulary=400):
@@ -29,9 +41,7 @@ def messy(spark):
             (5, "ünïcödé 漢字 😀 \x00 ñandú", "es", "b", -1), (6, long, "en", "a", len(long)), (7, "?!", "en", "a", 2),
             (8, "same row", "en", "a", 8), (8, "same row", "en", "a", 8), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, DOCS)
-    for i, c in enumerate(CLASH):
-        df = df.selectExpr("*", f"{i} as `{c}`")
-    return df
+    return df.selectExpr("*", *[f"{i} as `{c}`" for i, c in enumerate(CLASH)])
 
 
 def empty(spark):

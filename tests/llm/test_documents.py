@@ -3,6 +3,7 @@
 import gc
 import math
 import re
+import tracemalloc
 import weakref
 import zlib
 from collections import Counter, defaultdict
@@ -223,37 +224,42 @@ def test_passages_awkward(spark):
 
 # --- language-model scores -------------------------------------------------------------------------
 
-def test_backoff_equals_brute_force(spark):
-    rows = [(i, " ".join(words(20 + i, i, 30))) for i in range(30)] + [(90, "only here"), (91, "")]
-    one, two = Counter(), Counter()
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_backoff_equals_brute_force(spark, order):
+    rows = [(i, " ".join(words(20 + i, i, 8))) for i in range(30)] + [(90, "only here"), (91, ""), (92, "w1x")]
+
+    def grams(w):
+        return Counter(tuple(w[i:i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+
+    every = Counter()
     for _, t in rows:
-        w = tokens(t)
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-    n = sum(one.values())
-    got = {r.doc_id: r for r in backoff.scores(frame(spark, rows)).collect()}
+        every.update(grams(tokens(t)))
+    n = sum(c for g, c in every.items() if len(g) == 1)
+    got = {r.doc_id: r for r in backoff.scores(frame(spark, rows), order).collect()}
     for d, t in rows:
         w = tokens(t)
-        a, b = Counter(w), Counter(zip(w, w[1:], strict=False))
-        total = 0.0
-        for i, x in enumerate(w):
-            pair = (w[i - 1], x)
-            if i and two[pair] - b[pair] > 0:
-                total += math.log((two[pair] - b[pair]) / (one[w[i - 1]] - a[w[i - 1]]))
-            elif one[x] - a[x] > 0:
-                total += math.log(0.4 * (one[x] - a[x]) / (n - len(w)))
+        own, total, used = grams(w), 0.0, Counter()
+        for i in range(len(w)):
+            for k in range(min(order, i + 1), 0, -1):
+                g = tuple(w[i - k + 1:i + 1])
+                if every[g] - own[g] > 0:
+                    context = every[g[:-1]] - own[g[:-1]] if k > 1 else n - len(w)
+                    total += math.log(0.4 ** (order - k) * (every[g] - own[g]) / context)
+                    used[k] += 1
+                    break
             else:
-                total += math.log(0.16 / (n - len(w)))
+                total += math.log(0.4 ** order / (n - len(w)))
         assert got[d].n_words == len(w) and got[d].log_score == pytest.approx(total)
+        assert all(got[d][f"n_{k}"] == used[k] for k in range(2, order + 1))
     assert got[91].mean_log is None
 
 
 def test_backoff_awkward(spark):
     rows = backoff.scores(messy(spark)).collect()
-    assert len(rows) == 12 and sum(r.doc_id == 8 and r.n_bigrams == 1 for r in rows) == 2
+    assert len(rows) == 12 and sum(r.doc_id == 8 and r.n_2 == 1 for r in rows) == 2
     assert all((r.mean_log is None) == (r.n_words == 0) for r in rows)
     assert backoff.scores(empty(spark)).count() == 0
-    assert [r.log_score for r in backoff.scores(frame(spark, [(1, "a")])).collect()] == [pytest.approx(math.log(0.16))]
+    assert [r.log_score for r in backoff.scores(frame(spark, [(1, "a")])).collect()] == [pytest.approx(math.log(0.064))]
 
 
 # --- secrets ---------------------------------------------------------------------------------------
@@ -481,3 +487,135 @@ def test_decontamination_awkward(spark):
     assert kept.columns == df.columns and kept.count() == 9
     assert decontam.matches(df, bench(spark, [])).count() == 0 and decontam.clean(df, bench(spark, [])).count() == 12
     assert decontam.matches(empty(spark), items).count() == 0
+
+
+@pytest.mark.parametrize("drop", [4, 9])
+def test_partenum_large_family(spark, drop):
+    """A large family whose members link through others, and one that stays just below the similarity."""
+    rng = np.random.default_rng(drop)
+    base, rows = words(120, 77), []
+    for i in range(160):  # `drop` words replaced, far apart: five shingles each
+        w = list(base)
+        for at in rng.permutation(24)[:drop]:
+            w[5 * int(at) + int(rng.integers(0, 5))] = f"z{rng.integers(0, 10 ** 9)}"
+        rows.append((i, " ".join(w)))
+    docs = frame(spark, rows)
+    assert Counter(map(tuple, partenum.jaccard_components(docs).collect())) == components_by_hand(rows)
+
+
+def test_partenum_groups_give_forests(spark):
+    """What leaves a group: candidates' own rows, then fewer links than members; equal to all links by hand."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2 ** 63, 100).astype(np.uint64))]
+    for _ in range(80):
+        s = sets[0].copy()
+        s[rng.permutation(len(s))[:int(rng.integers(1, 14))]] = rng.integers(0, 2 ** 63, 1)
+        sets.append(np.unique(s))
+    band = [len(s).bit_length() - 1 for s in sets]
+    rows = pa.table({"grp": pa.array([1] * len(sets), pa.int64()), "sig": list(range(len(sets))), "scheme": pa.array([6] * len(sets), pa.int64()),
+                     "side": [False] * len(sets), "cls": list(range(len(sets))), "comp": list(range(len(sets))),
+                     "earlier": pa.array([[]] * len(sets), pa.list_(pa.int64())), "size": [len(s) for s in sets],
+                     "band": band, "line": pa.array([partenum.outline(s, 6).tobytes() for s in sets], pa.binary()),
+                     "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+    links = [(x, y) for b in partenum._joined(rows.to_batches()) for x, y in zip(*map(pa.Array.to_pylist, b.columns), strict=True)]
+    paired = pa.Table.from_batches(list(partenum._paired(rows.to_batches())))
+    assert len(links) < len(sets) and paired.num_rows <= len(sets)
+
+    def groups(pairs):
+        at = list(range(len(sets)))
+        for a, b in pairs:
+            at = [at[b] if k == at[a] else k for k in at]
+        return {frozenset(i for i, k in enumerate(at) if k == g) for g in at}
+
+    every = [(x, y) for x in range(len(sets)) for y in range(x) if 100 * len(np.intersect1d(sets[x], sets[y]))
+             >= 80 * len(np.union1d(sets[x], sets[y]))]
+    assert groups(links) == groups(every)
+
+
+def test_inserted_words_are_reached(spark):
+    """Words put in between, which stretch a copy to twice the item's length, and any mix of edits."""
+    item = words(40, 70, 3000)
+    stretched = [w for i, x in enumerate(item) for w in ([x, f"p{i}", f"q{i}"] if i % 2 and i < 36 else [x])]
+    rng = np.random.default_rng(12)
+    items, rows = [item], [(0, " ".join(stretched)), (1, " ".join(words(90, 71, 3000) + stretched + words(90, 72, 3000)))]
+    for i in range(60):
+        own, out = words(int(rng.integers(12, 90)), 800 + i, 3000), []
+        put, drop, swap = rng.random(3) * (0.5, 0.2, 0.2)
+        for x in own:
+            kind = rng.random()
+            if kind < drop:
+                continue
+            out.append(f"s{rng.integers(0, 10 ** 9)}" if kind < drop + swap else x)
+            while rng.random() < put:
+                out.append(f"i{rng.integers(0, 10 ** 9)}")
+        items.append(own)
+        rows.append((len(rows), " ".join(words(150, 2000 + i, 3000) + out + words(150, 3000 + i, 3000))))
+    want = {}
+    for d, t in rows:
+        w = tokens(t)
+        own = {tuple(w[j:j + 3]) for j in range(len(w) - 2)}
+        for i, x in enumerate(items):
+            if own & {tuple(x[j:j + 3]) for j in range(len(x) - 2)} and local_score(x, w) >= len(x):
+                want[d, i] = local_score(x, w)
+    assert want[0, 0] == want[1, 0] == 44 and len(want) > 30
+    docs, benchmark = frame(spark, rows), bench(spark, [(i, " ".join(x)) for i, x in enumerate(items)])
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.matches(docs, benchmark).collect()} == want
+
+
+def test_one_repeated_word_stays_small(monkeypatch):
+    """A long text of one word against an item of it: hits are taken in bounded runs, also inside a document."""
+    items = decontam.Items([1], ["same " * 300])
+    find = decontam._scanner(items, 0.5)
+    peak = []
+    for n in (20_000, 160_000):
+        w = decontam.words_of(pa.array(["same " * n, "other words entirely here"]))
+        tracemalloc.start()
+        (row,) = find(w)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert row[:3] == (0, 0, 600) and row[4] - row[3] == 299
+    assert peak[1] < 150 << 20
+    w = decontam.words_of(pa.array(["same " * 5000 + "x " * 900 + "same " * 100]))
+    whole = find(w)
+    monkeypatch.setattr(decontam, "_ROWS", 1000)
+    assert find(w) == whole
+
+
+# --- samples and clashing names ---------------------------------------------------------------------
+
+def test_language_equals_mean_of_embeddings(spark):
+    """Scores are those of averaged subword embeddings under the linear map, computed text by text."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(60)
+    rows = docs.collect()
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in rows:
+        i, n = langid.counts(pa.array([r.text]))[0]
+        z = sum(k * model.logits[b].astype(float) for b, k in zip(i, n, strict=True)) / n.sum() / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[r.doc_id].lang_pred == model.langs[int(p.argmax())] and abs(got[r.doc_id].score - p.max()) < 1e-4
+
+
+def test_samples_are_bounded_exactly(spark):
+    rows = [(None, f"text number {i} without id", "en", "s", 1) for i in range(40)] + [(i, f"andere {i}", "de", "s", 1) for i in range(30)]
+    got = Counter(r.lang for r in langid.sample(frame(spark, rows + rows), per_lang=8).collect())
+    assert got == {"en": 8, "de": 8}
+    docs = frame(spark, [(i % 5, f"repeated id {i}") for i in range(30)])
+    few = quality.fit(docs, labels(spark, [(i, i % 2, 0) for i in range(5)]), limit=3)
+    assert len(quality.score(docs, few).collect()) == 30
+
+
+def test_clashing_names_in_every_operator(spark):
+    """All names that modules use inside, as further columns; several blocks of items."""
+    df = messy(spark)
+    assert {"quality", "key", "score", "grp", "rank"} <= set(df.columns)
+    machine = quality.fit(df, labels(spark, [(1, 1, 0), (6, 0, 0)]))
+    assert quality.keep(df, machine, 0.0).columns == df.columns
+    items = bench(spark, [(i, " ".join(words(30, 40 + i))) for i in range(8)])
+    old = decontam.BLOCK_BYTES
+    decontam.BLOCK_BYTES = 300
+    try:
+        assert decontam.clean(df, items).columns == df.columns
+    finally:
+        decontam.BLOCK_BYTES = old
+    assert partenum.keep_one(df).columns == df.columns
