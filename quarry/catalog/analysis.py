@@ -24,14 +24,15 @@ MATRIX_2 = ["price", "depth", "height", "width", "v_furniture", "s3", "s2", "s1"
 DIM = 64
 
 
-def prepared(spark, sf) -> DataFrame:
-    """Items after cleaning, median imputation, label codes and geometry.
+def prepared(spark, sf, codes: bool = False) -> DataFrame:
+    """Items after cleaning, median imputation and geometry; with label ``codes`` where a query reads them.
     Imputation runs before the label codes (they touch different columns, so
     the result is the same) to keep the code joins out of its boundary pass."""
     items = cl.discounts(cl.clean_old_price(tb.items(spark, sf)))
     items = cl.impute_group_median(items, "category", SIDES)
-    items = cl.label_encode(items, {"other_colors": "other_colors_le",
-                                    "category": "other_category_le"})
+    if codes:
+        items = cl.label_encode(items, {"other_colors": "other_colors_le",
+                                        "category": "other_category_le"})
     return cl.add_geometry(items)
 
 
@@ -76,7 +77,7 @@ def q_pearson(spark, sf):
 
 @query("spearman_matrix")
 def q_spearman_matrix(spark, sf):
-    return st.spearman_matrix(prepared(spark, sf), MATRIX_1)
+    return st.spearman_matrix(prepared(spark, sf, codes=True), MATRIX_1)
 
 
 @query("feature_selection")
