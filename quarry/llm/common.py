@@ -110,6 +110,30 @@ def deal(entries: DataFrame, bucket: list[str], member: str, size: int | str) ->
             .withColumn("side", F.col("q") > F.col("r")).drop("n", "s", "q", "r"))
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def trimmed(run):
+    """``run`` over batches; its task gives freed memory back when it ends.
+
+    Workers serve many tasks, and what the allocators keep of one adds up beside
+    the executor's heap."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return whole
+
+
 def groups_of(batches, key: str = "grp"):
     """Tables of the rows of each group, from batches sorted by group; a group may span batches."""
     held = []

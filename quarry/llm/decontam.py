@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small, written
+from quarry.llm.common import small, trimmed, written
 from quarry.llm.text import PUNCTUATED, Words, chunks, mix, utf8
 
 SEED = 3
@@ -312,4 +312,4 @@ def _block_clean(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 keep[[r[0] for r in find(words_of(part.column("text")))]] = False
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, deal, groups_of, small, written
+from quarry.llm.common import components, deal, groups_of, small, trimmed, written
 from quarry.llm.text import Words, chunks, mix, run_hash, utf8
 
 SHINGLE = 5
@@ -148,7 +148,7 @@ def _frequent(batches):
 
 def frequency_levels(docs: DataFrame) -> np.ndarray:
     """Level (0: not frequent, else log2 of the documents) of each of 2 ** 20 slots; a fixed size."""
-    rows = docs.select("text").mapInArrow(_frequent, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()
+    rows = docs.select("text").mapInArrow(trimmed(_frequent), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()
     hot = np.zeros(1 << _SLOTS, np.int64)
     for slot, n in rows:
         hot[slot] = int(n).bit_length()
@@ -232,16 +232,16 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     texts = _texts_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), docs, sets)
     joined = (pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
               .join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b"))
-    return written(joined.mapInArrow(_verify, "a long, b long"), "links")
+    return written(joined.mapInArrow(trimmed(_verify), "a long, b long"), "links")
 
 
 def class_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between classes that connect all classes connected by links."""
     sigs = sets.where("size(sigs) > 0").select("cls", "sigs")
-    hubs = sigs.mapInArrow(_local_star(True), "sig long, cls long")
+    hubs = sigs.mapInArrow(trimmed(_local_star(True)), "sig long, cls long")
     hubs = hubs.withColumn("hub", F.min("cls").over(Window.partitionBy("sig"))).where("cls <> hub")
     pairs = written(hubs.select(F.col("cls").alias("a"), F.col("hub").alias("b"))
-                    .union(sigs.mapInArrow(_local_star(False), "a long, b long")).distinct(), "pairs")
+                    .union(sigs.mapInArrow(trimmed(_local_star(False)), "a long, b long")).distinct(), "pairs")
     links = _linked(pairs, docs, sets)
 
     # every class that shares a signature with another is in `pairs`
@@ -366,7 +366,7 @@ def _across(rest: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     No pair leaves a group otherwise."""
     texts = _texts_of(rest.select("cls").distinct(), docs, sets)
     lines = written(texts.mapInArrow(
-        _outlines, "cls long, size long, band long, own binary, next binary, shingles binary"), "outlines")
+        trimmed(_outlines), "cls long, size long, band long, own binary, next binary, shingles binary"), "outlines")
     most = f"least({GROUP}, greatest(16, shiftright({SET_BYTES >> 4}, cast(sig & {SCHEME} as int))))"
     dealt = deal(rest.select("sig", "cls", "comp"), ["sig"], "cls", most).withColumn("scheme", F.expr(f"sig & {SCHEME}L"))
     line = F.when(F.col("band") == F.col("scheme"), F.col("own")).otherwise(F.col("next")).alias("line")
@@ -375,20 +375,20 @@ def _across(rest: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     def grouped(rows, *more):
         return rows.join(lines, "cls").select(*names, "size", "band", line, *more).repartition("grp").sortWithinPartitions("grp")
 
-    some = written(grouped(dealt).mapInArrow(_paired, MEMBER), "paired")
+    some = written(grouped(dealt).mapInArrow(trimmed(_paired), MEMBER), "paired")
     held = rest.groupBy("cls").agg(F.collect_set("sig").alias("sigs"))  # no more than a set emits
     earlier = F.expr(f"filter(sigs, x -> x < sig and (x & {SCHEME}L) = scheme)")
     first = written(grouped(some.join(held, "cls").withColumn("earlier", earlier), "earlier").mapInArrow(
-        _paired, MEMBER), "first")
+        trimmed(_paired), MEMBER), "first")
     chosen = first.join(held, "cls").withColumn("earlier", earlier)
-    return written(grouped(chosen, "earlier", "shingles").mapInArrow(_joined, "a long, b long"), "joined")
+    return written(grouped(chosen, "earlier", "shingles").mapInArrow(trimmed(_joined), "a long, b long"), "joined")
 
 
 def _placed(docs: DataFrame) -> DataFrame:
     """``doc_id, row, n_shingles, comp`` for every row of ``docs(doc_id, text, row)``; ``comp`` names the component."""
     hot = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))
     sets = written(docs.select("doc_id", "row", "text").mapInArrow(
-        _describe(hot), "doc_id long, row long, n_shingles long, cls long, sigs array<long>"), "sets")
+        trimmed(_describe(hot)), "doc_id long, row long, n_shingles long, cls long, sigs array<long>"), "sets")
     comp = written(components(class_links(docs, sets)), "classes")
     return sets.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
         "doc_id", "row", "n_shingles", F.coalesce("comp", "cls").alias("comp"))

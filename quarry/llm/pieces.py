@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import trimmed
 from quarry.llm.text import chunks, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -307,4 +308,4 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id") -> DataF
                     pa.array(same, mask=null.to_numpy(zero_copy_only=False))], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+        trimmed(run), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")

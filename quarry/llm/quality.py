@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hash_fold
+from quarry.llm.common import hash_fold, trimmed
 from quarry.llm.text import Words, chunks, utf8
 
 WORDS = 1 << 16
@@ -214,4 +214,4 @@ def keep(docs: DataFrame, machine: Machine, accept: float = ACCEPT) -> DataFrame
                 good = shared.value.score(view) >= accept
                 yield part.select(given).filter(pa.array(good))
 
-    return docs.withColumn(chars, _inputs(docs)[1]).mapInArrow(run, docs.schema)
+    return docs.withColumn(chars, _inputs(docs)[1]).mapInArrow(trimmed(run), docs.schema)

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import trimmed
 from quarry.llm.text import chunks, spans_of, utf8
 
 # The patterns, least lengths and their order.
@@ -246,4 +247,4 @@ def redact(docs: DataFrame, models: Models, mark: str = "[SECRET]") -> DataFrame
                     columns["n_chars"] = pa.array(sizes, part.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
