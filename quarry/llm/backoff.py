@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import give_back, trimmed
 from quarry.llm.text import Words, chunks, mix, utf8
 
 ALPHA = 0.4
@@ -54,14 +55,36 @@ def name_of(part: pa.RecordBatch) -> int:
         return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def _squeezed(raw: bytes, level: int = 1) -> bytes:
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
+
+
+def _opened(raw: bytes) -> bytes:
+    return pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True)
+
+
 def packed(n: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs; the first byte says how many."""
-    size = np.min_scalar_type(int(n.max()) if len(n) else 0).itemsize
-    return bytes([size]) + n.astype(f"<u{size}").tobytes()
+    """Whole numbers in as few bytes each as the largest needs (the first byte says how many),
+    the low bytes of all before the next ones, compressed: the high bytes are nearly all 0."""
+    size = max(1, -(-int(n.max()).bit_length() // 8)) if len(n) else 1
+    planes = np.ascontiguousarray(n, "<u8").view(np.uint8).reshape(len(n), 8)[:, :size].T
+    return bytes([size]) + _squeezed(planes.tobytes())
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    size, planes = raw[0], np.frombuffer(_opened(raw[1:]), np.uint8)
+    out = np.zeros((len(planes) // size, 8), np.uint8)
+    out[:, :size] = planes.reshape(size, -1).T
+    return out.view("<u8").ravel()
+
+
+def names_packed(grams: np.ndarray) -> bytes:
+    """Sorted distinct names as their steps."""
+    return packed(np.diff(grams, prepend=grams.dtype.type(0)))
+
+
+def names_unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=np.uint64)
 
 
 class Block:
@@ -99,15 +122,21 @@ def _explode(parts: int, order: int):
                 some = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(some), name_of(part))), pa.array(some.astype(np.int32)),
-                    pa.array([b.grams[cut[p]:cut[p + 1]].tobytes() for p in some], pa.binary()),
+                    pa.array([names_packed(b.grams[cut[p]:cut[p + 1]] - bounds[p]) for p in some], pa.binary()),
                     pa.array([packed(b.counts[cut[p]:cut[p + 1]]) for p in some], pa.binary())],
                     ["block", "slice", "grams", "counts"])
     return run
 
 
-def _total(rows: pa.Table) -> pa.Table:
+def _totals(rows: pa.Table) -> pa.Table:
     """Totals of a table partition, in the order of each block's n-grams."""
-    grams = [np.frombuffer(x.as_py(), np.uint64) for x in rows["grams"]]
+    out = _total(rows)
+    give_back()
+    return out
+
+
+def _total(rows: pa.Table) -> pa.Table:
+    grams = [names_unpacked(x.as_py()) for x in rows["grams"]]
     counts = np.concatenate([unpacked(x.as_py()) for x in rows["counts"]])
     _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
@@ -116,6 +145,18 @@ def _total(rows: pa.Table) -> pa.Table:
                      "totals": pa.array([packed(total[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
 
+def _stored(texts: pa.Array) -> bytes:
+    """A column of texts as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("text", texts.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([texts], ["text"]))
+    return _squeezed(sink.getvalue().to_pybytes(), 3)
+
+
+def _read(raw: bytes) -> pa.Array:
+    return pa.ipc.open_stream(_opened(raw)).read_all()["text"].combine_chunks()
+
+
 def _texts(batches):
     """Blocks as single rows: the texts and ids of each."""
     for batch in batches:
@@ -123,7 +164,7 @@ def _texts(batches):
             yield pa.RecordBatch.from_arrays([
                 pa.array([name_of(part)], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([part.column("row").to_pylist()], pa.list_(pa.int64())),
-                pa.array([part.column("text").to_pylist()], pa.list_(pa.string()))], ["block", "doc_id", "row", "text"])
+                pa.array([_stored(part.column("text"))], pa.binary())], ["block", "doc_id", "row", "text"])
 
 
 def score_block(b: Block, total: np.ndarray, n_words: int, order: int) -> pd.DataFrame:
@@ -166,25 +207,30 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     pa.array([len(Words(*utf8(part.column("text"))).hash)]),
                     pa.array([part.column("text").nbytes])], ["words", "bytes"])
 
-    size = docs.select("text").mapInArrow(words, "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
+    size = docs.select("text").mapInArrow(trimmed(words), "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
     n_words, parts = size[0] or 0, min(MAX_PARTS, max(1, math.ceil((size[1] or 0) * order / (2 * SLICE))))
 
     tables = docs.select("text", "row").mapInArrow(
-        _explode(parts, order), "block long, slice int, grams binary, counts binary")
-    totals = tables.groupBy("slice").applyInArrow(_total, "block long, slice int, totals binary")
-    blocks = docs.mapInArrow(_texts, "block long, doc_id array<long>, row array<long>, text array<string>")
+        trimmed(_explode(parts, order)), "block long, slice int, grams binary, counts binary")
+    totals = tables.groupBy("slice").applyInArrow(_totals, "block long, slice int, totals binary")
+    blocks = docs.mapInArrow(trimmed(_texts), "block long, doc_id array<long>, row array<long>, text binary")
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = joined(left, right)
+        give_back()
+        return out
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for i in range(left.num_rows):
             part = pa.RecordBatch.from_arrays(
-                [pa.array(left["text"][i].as_py(), pa.string()), pa.array(left["row"][i].as_py(), pa.int64())], ["text", "row"])
+                [_read(left["text"][i].as_py()), pa.array(left["row"][i].as_py(), pa.int64())], ["text", "row"])
             b = Block(part, order)
             if right.num_rows == 0 and len(b.grams):
                 raise ValueError("docs came in another order in its second read; write it to a table first")
             # equal runs of rows share a name, and so their totals
             _, firsts = np.unique(right["slice"].to_numpy(), return_index=True)
-            total = np.concatenate([np.zeros(0, np.int64), *(unpacked(right["totals"][int(j)].as_py())
+            total = np.concatenate([np.zeros(0, np.int64), *(unpacked(right["totals"][int(j)].as_py()).astype(np.int64)
                                                              for j in firsts)])
             found = score_block(b, total, n_words, order)
             found.insert(0, "doc_id", pd.array(left["doc_id"][i].as_py(), "Int64"))

@@ -254,6 +254,15 @@ def test_backoff_equals_brute_force(spark, order):
     assert got[91].mean_log is None
 
 
+def test_packed_numbers_round_trip():
+    rng = np.random.default_rng(1)
+    for n in ([], [0], [0, 0, 0], [1, 255, 256], [2 ** 40, 3], rng.integers(0, 2 ** 63, 500)):
+        n = np.array(n, np.uint64)
+        assert backoff.unpacked(backoff.packed(n)).tolist() == n.tolist()
+        names = np.unique(n)
+        assert backoff.names_unpacked(backoff.names_packed(names)).tolist() == names.tolist()
+
+
 def test_backoff_awkward(spark):
     rows = backoff.scores(messy(spark)).collect()
     assert len(rows) == 12 and sum(r.doc_id == 8 and r.n_2 == 1 for r in rows) == 2
