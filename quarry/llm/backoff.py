@@ -87,6 +87,21 @@ def names_unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(unpacked(raw), dtype=np.uint64)
 
 
+def names_of(part: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct names of the n-grams of a run of texts, and their counts: all that the tables need."""
+    w = Words(*utf8(part.column("text")))
+    names = [w.hash]
+    for k in range(2, order + 1):
+        gram, ok = w.grams(k)
+        names.append(gram[ok])
+    del w
+    grams = np.concatenate(names)
+    del names
+    grams.sort()
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][:len(grams)])
+    return grams[first], np.diff(first, append=len(grams))
+
+
 class Block:
     """Words of a run of texts, and its n-grams of each length by hash."""
 
@@ -103,9 +118,6 @@ class Block:
         #: places of n-grams of each length, by their first word, and their numbers there
         self.at, self.of = at, [inverse[x:y].astype(np.int32) for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
-    def slices(self, bounds: np.ndarray) -> np.ndarray:
-        """First n-gram of each table partition (hash ranges of equal width)."""
-        return np.append(np.searchsorted(self.grams, bounds), len(self.grams))
 
 
 def bounds_of(parts: int) -> np.ndarray:
@@ -117,13 +129,14 @@ def _explode(parts: int, order: int):
         bounds = bounds_of(parts)
         for batch in batches:
             for part in chunks(batch, limit=BLOCK):
-                b = Block(part, order)
-                cut = b.slices(bounds)
+                grams, counts = names_of(part, order)
+                # first n-gram of each table partition (hash ranges of equal width)
+                cut = np.append(np.searchsorted(grams, bounds), len(grams))
                 some = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(some), name_of(part))), pa.array(some.astype(np.int32)),
-                    pa.array([names_packed(b.grams[cut[p]:cut[p + 1]] - bounds[p]) for p in some], pa.binary()),
-                    pa.array([packed(b.counts[cut[p]:cut[p + 1]]) for p in some], pa.binary())],
+                    pa.array([names_packed(grams[cut[p]:cut[p + 1]] - bounds[p]) for p in some], pa.binary()),
+                    pa.array([packed(counts[cut[p]:cut[p + 1]]) for p in some], pa.binary())],
                     ["block", "slice", "grams", "counts"])
     return run
 

@@ -36,6 +36,33 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
         return np.cumprod(p, dtype=U)
 
 
+_STEP = 1 << 16
+
+
+def _powers_at(at: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
+    """Powers of ``base`` with the exponents ``at`` (below ``n``), from two short tables."""
+    with np.errstate(over="ignore"):
+        near = _powers(_STEP, base)
+        far = _powers(n // _STEP + 1, U(pow(int(base), _STEP, 1 << 64)))
+        return far[at // _STEP] * near[at % _STEP]
+
+
+def _weighted_sums(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sums of ``codes[data] * _BASE ** place`` before each place, taken in short steps: only the sums span the data."""
+    total = np.zeros(len(data) + 1, U)
+    near, scale = _powers(min(_STEP, len(data)), _BASE), U(1)
+    step = U(pow(int(_BASE), _STEP, 1 << 64))
+    with np.errstate(over="ignore"):
+        for s in range(0, len(data), _STEP):
+            part = codes[data[s:s + _STEP]]
+            part *= near[:len(part)]
+            part *= scale
+            part[0] += total[s]
+            np.cumsum(part, dtype=U, out=total[s + 1:s + 1 + len(part)])
+            scale = scale * step
+    return total
+
+
 def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every maximal run of marked bytes; runs end with their document."""
     n = len(inside)
@@ -65,9 +92,8 @@ class Words:
         self.first = np.searchsorted(self.doc, np.arange(len(offsets)))
         self.offsets = offsets
         with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, U)
-            np.cumsum(codes[data] * _powers(n, _BASE), dtype=U, out=total[1:])
-            h = (total[self.end] - total[self.start]) * _powers(n + 1, _BASE_INV)[self.start]
+            total = _weighted_sums(data, codes)
+            h = (total[self.end] - total[self.start]) * _powers_at(self.start, n + 1, _BASE_INV)
             self.hash = mix(h + (self.end - self.start).astype(U) * GRAM)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:

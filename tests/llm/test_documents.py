@@ -628,3 +628,23 @@ def test_clashing_names_in_every_operator(spark):
     finally:
         decontam.BLOCK_BYTES = old
     assert partenum.keep_one(df).columns == df.columns
+
+
+def test_memory_of_words_and_names():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (2_000, 5))) for _ in range(170)]
+    part = pa.RecordBatch.from_pydict({"text": texts})
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    try:
+        grams, counts = backoff.names_of(part, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 25 * size  # sums of a byte take 8; one more array as wide at each step would not fit
+    block = backoff.Block(part, 3)
+    assert (grams == block.grams).all() and (counts == block.counts).all()
