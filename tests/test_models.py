@@ -119,3 +119,46 @@ def test_regressors_learn_linear_target(spark):
     assert tree["r2"] > 0.8
     rff = ml.metrics(ml.kernel_predict(split), "kernel_rff").first()
     assert rff["r2"] > 0.8
+
+
+def test_equal_distances_are_taken_in_bounded_runs():
+    """Rows that all lie as far from every query were candidates at once, with all their components."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quarry.operators import neighbours as nb
+
+    n, m, d = 3000, 1500, 32
+    t = np.zeros((n, d))
+    t[np.arange(n), np.arange(n) % d] = 1.0
+    q = np.zeros((m, d))
+    train = pa.table({"t_id": np.arange(n)[::-1].copy(), "t_vec": list(t), "t_label": np.zeros(n)})
+    test = pa.table({"q_id": np.arange(m), "q_row": np.arange(m), "q_truth": np.zeros(m), "q_vec": list(q)})
+    tracemalloc.start()
+    try:
+        got = nb._best(3)((), test, train)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got["tid"].to_pylist() == [0, 1, 2] * m and set(got["dist"].to_pylist()) == {1.0}
+    assert peak < 300 << 20  # 1500 * 3000 candidates of 32 doubles are 1,150 MB
+
+
+@pytest.mark.parametrize("pivots", [None, 3, 90])
+def test_copies_in_few_and_many_dimensions(spark, pivots):
+    """Many copies of few vectors: the first ids of a vector are its neighbours, work does not grow with copies."""
+    rng = np.random.default_rng(2)
+    for d in (3, 12):
+        kinds = rng.integers(0, 50, (40, d)).astype(float)
+        x = kinds[np.r_[np.zeros(500, int), rng.integers(0, 40, 300)]]
+        df = spark.createDataFrame([(i, [float(v) for v in x[i]], float(i % 3)) for i in range(len(x))],
+                                   "id long, vec array<double>, label double")
+        report = {}
+        got = {}
+        for r in neighbours(df.where("id % 4 > 0"), df.where("id % 4 = 0"), 3, block_rows=50, pivots=pivots,
+                            report=report).orderBy("qrow", "nb_rank").collect():
+            got.setdefault(r["qid"], []).append(r["tid"])
+        ids = np.arange(len(x))
+        assert got == _brute(x, None, ids[ids % 4 > 0], ids[ids % 4 == 0], 3)
+        assert report["train"] <= 3 * 40
