@@ -93,3 +93,62 @@ def test_least_squares_equals_numpy(spark):
     got = ml.least_squares(df, ["a", "b", "c", "d", "e"]).collect()  # d constant, e a sum of others
     assert np.allclose(sorted(r.prediction for r in got), sorted(design[test] @ beta))
     assert ml.least_squares(df.where("split = 'test'"), ["a"]).where("prediction is not null").count() == 0
+
+
+def test_bins_are_cut_again_until_exact(spark, monkeypatch):
+    """Uneven values, few rows taken one by one, few nodes in a pass: the splits are the best ones still."""
+    monkeypatch.setattr(tr, "DIRECT", 4)
+    monkeypatch.setattr(tr, "NODES", 2)
+    monkeypatch.setattr(tr, "BINS", 64)
+    rng = np.random.default_rng(11)
+    n = 600
+    x = np.c_[np.exp(rng.normal(0, 6, n)), rng.integers(0, 9, n), -np.exp(rng.normal(0, 3, n))]
+    y = (np.log(x[:, 0]) * 3 + x[:, 1] + rng.normal(0, 2, n)).round()
+    test = np.arange(n) % 4 == 0
+    df = spark.createDataFrame([(*map(float, x[i]), float(y[i]), "test" if test[i] else "train") for i in range(n)],
+                               "a double, b double, c double, label double, split string")
+    want = brute(x[~test], y[~test], np.ones((~test).sum()), x[test], 3)
+    got = tr.fit_predict(df, ["a", "b", "c"], max_depth=3, local_rows=20).collect()
+    assert sorted((r.label, round(r.prediction, 9)) for r in got) == sorted(
+        (a, round(b, 9)) for a, b in zip(y[test], want, strict=True))
+
+
+def test_bound_of_a_bin_holds():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, a, b = 60, *sorted(rng.integers(0, 61, 2))
+        y = np.round(rng.normal(0, 5, n) ** 3)
+        sums = np.r_[0.0, np.cumsum(y)]
+        inside = y[a:b]
+        if not len(inside):
+            continue
+        one = [np.array([float(v)]) for v in (n, y.sum(), a, sums[a], b - a, inside.sum(), inside.min(), inside.max())]
+        most = max((sums[i] ** 2 / i + (sums[n] - sums[i]) ** 2 / (n - i) for i in range(max(a, 1), min(b, n - 1) + 1)), default=0)
+        assert tr._greatest(*one)[0] >= most * (1 - 1e-9)
+
+
+def test_large_nodes_send_bins_not_rows(spark):
+    """What the split search shuffles: bins and the values of the last few bins, not every value of every feature."""
+    from pyspark.sql import functions as F
+
+    n = 30_000
+    rows = spark.range(n).select(F.lit(0).alias("g"), F.array(F.rand(1), F.rand(2)).alias("x"), F.lit(1).alias("w")).withColumn(
+        "y", F.round(F.get("x", F.lit(0)) * 100 + F.rand(3)))
+    from quarry.session import cut_lineage
+    rows = cut_lineage(rows)
+    sent = []
+    inside = tr._inside
+
+    def counting(told, features):
+        run = inside(told, features)
+        sent.append(sum(r.n for r in rows.mapInArrow(run, "bin long, v double, w double, wy double").groupBy().agg(
+            F.count("*").alias("n")).collect()))
+        return run
+
+    tr._inside = counting
+    try:
+        (g, f, cut), = tr.best_splits(rows, [(n, rows.agg(F.sum("y")).first()[0], [0.0, 0.0], [1.0, 1.0])], 2)
+    finally:
+        tr._inside = inside
+    assert (g, f) == (0, 0) and 0.4 < cut < 0.6
+    assert sum(sent) < 0.1 * 2 * n
