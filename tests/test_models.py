@@ -162,3 +162,25 @@ def test_copies_in_few_and_many_dimensions(spark, pivots):
         ids = np.arange(len(x))
         assert got == _brute(x, None, ids[ids % 4 > 0], ids[ids % 4 == 0], 3)
         assert report["train"] <= 3 * 40
+
+
+def test_kernel_model_equals_mllib_ridge_without_its_passes(spark, monkeypatch):
+    """The same model as MLlib's ridge on the same features, in three jobs over the rows and no MLlib fit."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(6)
+    x = np.c_[rng.normal(5, 2, (400, 3)), np.full(400, 3.0)]  # one constant feature
+    y = (np.sin(x[:, 0]) * 40 + x[:, 1] ** 2 + 1000 + rng.normal(0, 2, 400)).astype(int)
+    df = spark.createDataFrame([(i, *map(float, x[i]), int(y[i]), "test" if i % 4 == 0 else "train") for i in range(400)],
+                               "id long, a double, b double, c double, k double, label int, split string")
+    names = ["a", "b", "c", "k"]
+    rff, cols = ml.fourier_features(df, names, 40)
+    data = VectorAssembler(inputCols=cols, outputCol="features").transform(rff)
+    fit = LinearRegression(featuresCol="features", labelCol="label", regParam=1e-3, elasticNetParam=0.0, solver="normal").fit(
+        data.where("split = 'train'"))
+    want = {r.id: r.prediction for r in fit.transform(data.where("split = 'test'")).collect()}
+    monkeypatch.setattr(ml, "LinearRegression", None)
+    got = {r.id: r.prediction for r in ml.kernel_predict(df, names).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) for i in want)
+    assert ml.kernel_predict(df.where("split = 'test'"), names).where("prediction is not null").count() == 0
