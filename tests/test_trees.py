@@ -152,3 +152,49 @@ def test_large_nodes_send_bins_not_rows(spark):
         tr._inside = inside
     assert (g, f) == (0, 0) and 0.4 < cut < 0.6
     assert sum(sent) < 0.1 * 2 * n
+
+
+def test_forest_grown_in_tasks_equals_the_levels_on_the_executors(spark, monkeypatch):
+    """Rows that fit a task are not copied for every tree, and give the same forest."""
+    df, x, y = data(spark, 400, 8, 12)
+    df = df.repartition(3)
+    asked = dict(features=["a", "b", "c"], trees=7, bootstrap=True)
+    monkeypatch.setattr(tr, "PACK_ROWS", 50)
+    monkeypatch.setattr(tr, "BLOCK", 16)
+
+    def trees_of_rows(*_):
+        raise AssertionError("rows were copied for every tree")
+
+    with monkeypatch.context() as held:
+        held.setattr(tr, "_local", trees_of_rows)
+        for depth in (None, 3):
+            one = sorted((r.rid, r.label, round(r.prediction, 9)) for r in tr.fit_predict(df, max_depth=depth, **asked).collect())
+            with monkeypatch.context() as far:
+                far.setattr(tr, "PACKED", 0)
+                far.setattr(tr, "_local", LOCAL)
+                two = sorted((r.rid, r.label, round(r.prediction, 9)) for r in tr.fit_predict(
+                    df, max_depth=depth, local_rows=60, **asked).collect())
+            assert len(one) == 100 and one == two
+    assert tr.fit_predict(df.where("split = 'train'"), **asked).count() == 0
+    assert tr.fit_predict(df.where("split = 'test'"), **asked).count() == 0
+
+
+LOCAL = tr._local
+
+
+def test_bootstrap_weights_are_those_of_spark(spark):
+    rid = np.r_[np.arange(50), (1 << 33) + np.arange(50)]
+    u = F.pmod(F.xxhash64(F.lit(5), F.lit(41), "rid"), F.lit(1 << 53)) / float(1 << 53)
+    want = [sum(r.u >= t for t in tr._poisson_steps()) for r in spark.createDataFrame(
+        [(int(i),) for i in rid], "rid long").select("rid", u.alias("u")).orderBy("rid").collect()]
+    assert tr.poisson(5, 41, rid).tolist() == want and 0.7 < np.mean(want) < 1.3
+
+
+def test_grow_with_many_and_few_values_equals_brute_force():
+    """A feature's values are summed up or its rows sorted: the splits are the same."""
+    rng = np.random.default_rng(2)
+    for n in (3, 50, 300):
+        x = np.c_[rng.normal(0, 1, n).round(6), rng.integers(0, 3, n), rng.integers(0, 40, n)]
+        y, w = (x[:, 0] * 5 + x[:, 1] + rng.normal(0, 3, n)).round(), rng.integers(1, 4, n).astype(float)
+        xt = x[rng.integers(0, n, 80)] + rng.normal(0, 0.2, (80, 3)).round(2)
+        assert np.allclose(tr.walk(tr.grow(x, y, w), xt), brute(x, y, w, xt))
