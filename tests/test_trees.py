@@ -166,12 +166,12 @@ def test_forest_grown_in_tasks_equals_the_levels_on_the_executors(spark, monkeyp
         raise AssertionError("rows were copied for every tree")
 
     with monkeypatch.context() as held:
-        held.setattr(tr, "_local", trees_of_rows)
+        held.setattr(tr, "_Top", trees_of_rows)
         for depth in (None, 3):
             one = sorted((r.rid, r.label, round(r.prediction, 9)) for r in tr.fit_predict(df, max_depth=depth, **asked).collect())
             with monkeypatch.context() as far:
                 far.setattr(tr, "PACKED", 0)
-                far.setattr(tr, "_local", LOCAL)
+                far.setattr(tr, "_Top", LEVELS)
                 two = sorted((r.rid, r.label, round(r.prediction, 9)) for r in tr.fit_predict(
                     df, max_depth=depth, local_rows=60, **asked).collect())
             assert len(one) == 100 and one == two
@@ -179,7 +179,7 @@ def test_forest_grown_in_tasks_equals_the_levels_on_the_executors(spark, monkeyp
     assert tr.fit_predict(df.where("split = 'test'"), **asked).count() == 0
 
 
-LOCAL = tr._local
+LEVELS = tr._Top
 
 
 def test_bootstrap_weights_are_those_of_spark(spark):
@@ -198,3 +198,31 @@ def test_grow_with_many_and_few_values_equals_brute_force():
         y, w = (x[:, 0] * 5 + x[:, 1] + rng.normal(0, 3, n)).round(), rng.integers(1, 4, n).astype(float)
         xt = x[rng.integers(0, n, 80)] + rng.normal(0, 0.2, (80, 3)).round(2)
         assert np.allclose(tr.walk(tr.grow(x, y, w), xt), brute(x, y, w, xt))
+
+
+def test_levels_store_the_rows_once(spark, monkeypatch):
+    """Nodes are told by the splits so far: rows are stored once, equal ones as one, whatever the number of levels."""
+    df, x, y = data(spark, 900, 6, 5)
+    stored = []
+    cut = tr.cut_lineage
+    monkeypatch.setattr(tr, "cut_lineage", lambda rows: stored.append(cut(rows)) or stored[-1])
+    test = np.arange(len(y)) % 4 == 0
+    want = brute(x[~test], y[~test], np.ones((~test).sum()), x[test])
+    got = tr.fit_predict(df, ["a", "b", "c"], local_rows=9)
+    assert len(stored) == 1
+    assert stored[0].agg(F.sum("many")).first()[0] == len(np.unique(np.c_[x, y], axis=0)) < 900
+    rows = got.collect()
+    assert len({r.rid for r in rows}) == len(rows) == test.sum()
+    assert sorted((r.label, round(r.prediction, 9)) for r in rows) == sorted((a, round(b, 9)) for a, b in zip(y[test], want, strict=True))
+
+
+def test_many_test_rows_of_one_node_go_to_several_tasks(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (400, 2)).round(3)
+    y = (x[:, 0] > 0) * 10.0 + rng.integers(0, 3, 400)
+    fit = np.arange(400) < 30
+    df = spark.createDataFrame([(*map(float, x[i]), float(y[i]), "train" if fit[i] else "test") for i in range(400)],
+                               "a double, b double, label double, split string")
+    want = brute(x[fit], y[fit], np.ones(fit.sum()), x[~fit])
+    got = tr.fit_predict(df, ["a", "b"], local_rows=40).collect()  # ten parts
+    assert sorted((r.label, round(r.prediction, 9)) for r in got) == sorted((a, round(b, 9)) for a, b in zip(y[~fit], want, strict=True))
