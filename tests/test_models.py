@@ -184,3 +184,13 @@ def test_kernel_model_equals_mllib_ridge_without_its_passes(spark, monkeypatch):
     got = {r.id: r.prediction for r in ml.kernel_predict(df, names).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) for i in want)
     assert ml.kernel_predict(df.where("split = 'test'"), names).where("prediction is not null").count() == 0
+
+
+def test_a_checkpoint_is_not_written_again(spark):
+    """Models that are fitted on one split store it once."""
+    from quarry.session import cut_lineage
+
+    one = cut_lineage(spark.range(10).withColumn("v", F.col("id") * 2))
+    assert cut_lineage(one) is one
+    other = cut_lineage(one.where("id > 3"))
+    assert other is not one and sorted(r.v for r in other.collect()) == [8, 10, 12, 14, 16, 18] and one.count() == 10
